@@ -1,6 +1,6 @@
 """Column functions: pure Catalyst expressions without state."""
 
-from assayline.functions.numeric import cut, guarded_ratio, missing_as_null, round_half_even, within
+from assayline.functions.numeric import cut, guarded_ratio, missing_as_null, round_half_even
 from assayline.functions.randomness import key_digest, hash_uniform, hash_normal, hash_exponential
 from assayline.functions.scores import (
     clamp_round,
@@ -31,5 +31,4 @@ __all__ = [
     "round_half_even",
     "rule_score",
     "title",
-    "within",
 ]

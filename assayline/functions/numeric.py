@@ -42,10 +42,6 @@ def round_half_even(col: Column, digits: int = 0) -> Column:
     return F.rint(col * F.lit(10.0**digits)) / F.lit(10.0**digits)
 
 
-def within(actual: Column, predicted: Column, tolerance: float) -> Column:
-    return F.abs(actual - predicted) <= F.lit(tolerance)
-
-
 def missing_as_null(df: DataFrame) -> DataFrame:
     """Turn NaN into NULL in every floating-point column.
 

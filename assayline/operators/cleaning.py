@@ -9,21 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayline.operators.quantiles import exact_quantiles
-from assayline.operators.wide import numeric_columns, per_column, quoted
+from assayline.operators.wide import identifier, number, numeric_columns, per_column, quoted, text
 
 
-def _missing(df: DataFrame, name: str) -> Column:
-    col = quoted(name)
-    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
-    return col.isNull() | F.isnan(col) if floating else col.isNull()
+_FLOATING = (T.DoubleType, T.FloatType)
+
+
+def _missing(kind: T.DataType, name: str) -> str:
+    """Test for NULL or NaN as SQL text."""
+    test = f"{identifier(name)} IS NULL"
+    return f"({test} OR isnan({identifier(name)}))" if isinstance(kind, _FLOATING) else test
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows ``(feature, missing, rows)``, one per column."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     return per_column(
         df,
         columns or df.columns,
-        lambda c: {"missing": F.count_if(_missing(df, c)), "rows": F.count(F.lit(1))},
+        lambda c: {"missing": f"count_if({_missing(kinds[c], c)})", "rows": "count(1)"},
     )
 
 
@@ -35,14 +39,16 @@ def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 def fill_missing(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
     """Replace NULL and NaN by a constant per column; a narrow projection."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     filled = {}
     for name, value in values.items():
-        kind = df.schema[name].dataType
+        kind = kinds[name]
         # A median of whole numbers may be fractional, so integer columns turn into doubles
         # only where they have to.
         if isinstance(kind, T.IntegralType) and not float(value).is_integer():
             kind = T.DoubleType()
-        filled[name] = F.when(~_missing(df, name), quoted(name)).otherwise(F.lit(value)).cast(kind)
+        choice = f"CASE WHEN {_missing(kinds[name], name)} THEN {number(value)} ELSE {identifier(name)} END"
+        filled[name] = F.expr(f"CAST({choice} AS {kind.simpleString()})")
     return df.withColumns(filled) if filled else df
 
 
@@ -95,14 +101,14 @@ def violations(
 ) -> Column:
     """Comma-joined names of the columns out of range or domain (missing counts as out)."""
     names = names or {}
-    tests = []
-    for measure, (low, high) in ranges.items():
-        col = quoted(names.get(measure, measure))
-        tests.append(F.when(~F.coalesce(col.between(low, high), F.lit(False)), F.lit(measure)))
+    accepted = {
+        name: f"{identifier(names.get(name, name))} BETWEEN {number(low)} AND {number(high)}"
+        for name, (low, high) in ranges.items()
+    }
     for name, allowed in (domains or {}).items():
-        col = quoted(names.get(name, name))
-        tests.append(F.when(~F.coalesce(col.isin(*allowed), F.lit(False)), F.lit(name)))
-    return F.concat_ws(",", *tests)
+        accepted[name] = f"{identifier(names.get(name, name))} IN ({', '.join(text(a) for a in allowed)})"
+    tests = [f"CASE WHEN coalesce({test}, false) THEN NULL ELSE {text(n)} END" for n, test in accepted.items()]
+    return F.expr(f"concat_ws(',', {', '.join(tests)})")
 
 
 def validate(df: DataFrame, ranges, domains=None, names=None) -> DataFrame:

@@ -4,36 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.functions.numeric import within
-from assayline.operators.wide import quoted
+from assayline.operators.wide import identifier, number, quoted, stacked_aggregate, text
 
 TOLERANCES = (0.5, 1.0, 1.5)
 
 
-def metric_columns(actual: Column, predicted: Column) -> dict[str, Column]:
-    """Aggregates ``n, mse, mae, rmse, r2``; rows with a missing side are left out.
+def metric_expressions(actual: str, predicted: str) -> dict[str, str]:
+    """Aggregates ``n, mse, mae, rmse, r2`` as SQL text; rows with a missing side are left out.
 
     R² uses the population variance, whose partial results merge without cancellation. On
     a constant target it is 1 for a perfect and 0 for any other prediction.
     """
-    both = actual.isNotNull() & predicted.isNotNull()
-    error = F.when(both, actual - predicted)
-    mse = F.avg(error * error)
-    spread = F.var_pop(F.when(both, actual.cast("double")))
-    r2 = (
-        F.when(F.count(error) < 2, F.lit(None).cast("double"))
-        .when(spread == 0.0, F.when(mse == 0.0, 1.0).otherwise(0.0))
-        .otherwise(1.0 - F.try_divide(mse, spread))
-    )
+    y, p = identifier(actual), identifier(predicted)
+    error = f"CAST({y} - {p} AS DOUBLE)"
+    mse = f"avg({error} * {error})"
+    spread = f"var_pop(CASE WHEN {p} IS NOT NULL THEN CAST({y} AS DOUBLE) END)"
     return {
-        "n": F.count(error),
+        "n": f"count({error})",
         "mse": mse,
-        "mae": F.avg(F.abs(error)),
-        "rmse": F.sqrt(mse),
-        "r2": r2,
+        "mae": f"avg(abs({error}))",
+        "rmse": f"sqrt({mse})",
+        "r2": f"CASE WHEN count({error}) < 2 THEN CAST(NULL AS DOUBLE)"
+        f" WHEN {spread} = 0D THEN CASE WHEN {mse} = 0D THEN 1D ELSE 0D END"
+        f" ELSE 1D - try_divide({mse}, {spread}) END",
     }
 
 
@@ -41,43 +37,34 @@ def regression_metrics(
     df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Rows ``(by..., n, mse, mae, rmse, r2)``."""
-    measures = metric_columns(quoted(actual), quoted(predicted))
-    return df.groupBy(*[quoted(b) for b in by]).agg(*[m.alias(n) for n, m in measures.items()])
+    return stacked_aggregate(df, [metric_expressions(actual, predicted)], by)
 
 
 def metrics_of_models(
     df: DataFrame, actual: str, predictions: dict[str, str], by: Sequence[str] = ("split",)
 ) -> DataFrame:
     """Metrics of several prediction columns from one scan: rows ``(by..., model, n, ...)``."""
-    wide = df.groupBy(*[quoted(b) for b in by]).agg(
-        *[
-            F.struct(
-                F.lit(model).alias("model"),
-                *[m.alias(n) for n, m in metric_columns(quoted(actual), quoted(column)).items()],
-            ).alias(f"m{i}")
-            for i, (model, column) in enumerate(predictions.items())
-        ]
-    )
-    rows = F.array(*[F.col(f"m{i}") for i in range(len(predictions))])
-    return wide.select(*[quoted(b) for b in by], F.inline(rows))
+    rows = [
+        {"model": text(model), **metric_expressions(actual, column)} for model, column in predictions.items()
+    ]
+    return stacked_aggregate(df, rows, by)
 
 
 def tolerance_accuracy(
     df: DataFrame, actual: str, predicted: str, tolerances: Sequence[float] = TOLERANCES
 ) -> DataFrame:
     """Rows ``(tolerance, percentage)`` of predictions no further off than the tolerance."""
-    wide = df.agg(
-        *[
-            F.struct(
-                F.lit(t).alias("tolerance"),
-                (F.lit(100.0) * F.avg(within(quoted(actual), quoted(predicted), t).cast("double"))).alias(
-                    "percentage"
-                ),
-            ).alias(f"t{i}")
-            for i, t in enumerate(tolerances)
-        ]
+    error = f"abs({identifier(actual)} - {identifier(predicted)})"
+    return stacked_aggregate(
+        df,
+        [
+            {
+                "tolerance": number(t),
+                "percentage": f"100D * avg(CAST({error} <= {number(t)} AS DOUBLE))",
+            }
+            for t in tolerances
+        ],
     )
-    return wide.select(F.inline(F.array(*[F.col(f"t{i}") for i in range(len(tolerances))])))
 
 
 def prediction_ranges(df: DataFrame, actual: str, predicted: str) -> DataFrame:

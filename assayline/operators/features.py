@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayline.operators.wide import per_column, quoted
+from assayline.operators.wide import identifier, number, per_column, quoted
 from assayline.session import SMALL_TABLE_ROWS, lookup_join, small_or_written, write_through
 
 # Up to this many labels the codes are an inline expression instead of a join.
@@ -93,8 +93,8 @@ def fit_scaler(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float,
         df,
         columns,
         lambda c: {
-            "mean": F.avg(quoted(c).cast("double")),
-            "deviation": F.stddev_pop(quoted(c).cast("double")),
+            "mean": f"avg(CAST({identifier(c)} AS DOUBLE))",
+            "deviation": f"stddev_pop(CAST({identifier(c)} AS DOUBLE))",
         },
     ).collect()
     return {r["feature"]: (r["mean"] or 0.0, r["deviation"] or 1.0) for r in rows}
@@ -102,4 +102,6 @@ def fit_scaler(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float,
 
 def scale(df: DataFrame, scaler: Mapping[str, tuple[float, float]]) -> DataFrame:
     """``(x - mean) / deviation``; a narrow projection with constants."""
-    return df.withColumns({c: (quoted(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scaler.items()})
+    return df.withColumns(
+        {c: F.expr(f"({identifier(c)} - {number(m)}) / {number(s)}") for c, (m, s) in scaler.items()}
+    )

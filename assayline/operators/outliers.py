@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.operators.quantiles import exact_quantiles
-from assayline.operators.wide import per_column, present, quoted
+from assayline.operators.wide import number, per_column, present, quoted
 
 FENCE = 1.5
 POLICIES = ("select", "drop", "clip")
@@ -35,10 +34,10 @@ def fit_fences(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float,
     return {r["feature"]: (r["lower_bound"], r["upper_bound"]) for r in rows}
 
 
-def is_outlier(name: str, fences: Mapping[str, tuple[float, float]]) -> Column:
+def is_outlier(name: str, fences: Mapping[str, tuple[float, float]]) -> str:
+    """Test against the fences as SQL text; a missing value is no outlier."""
     low, high = fences[name]
-    value = present(quoted(name))
-    return F.coalesce((value < low) | (value > high), F.lit(False))
+    return f"coalesce({present(name)} < {number(low)} OR {present(name)} > {number(high)}, false)"
 
 
 def outlier_report(
@@ -46,16 +45,14 @@ def outlier_report(
 ) -> DataFrame:
     """Rows ``(feature, outliers, percentage, lower_bound, upper_bound)`` in one pass."""
     fences = fences or fit_fences(df, columns)
-    known = [c for c in columns if c in fences]
     return per_column(
         df,
-        known,
+        [c for c in columns if c in fences],
         lambda c: {
-            "outliers": F.count_if(is_outlier(c, fences)),
-            "percentage": F.lit(100.0)
-            * F.try_divide(F.count_if(is_outlier(c, fences)).cast("double"), F.count(F.lit(1))),
-            "lower_bound": F.lit(fences[c][0]),
-            "upper_bound": F.lit(fences[c][1]),
+            "outliers": f"count_if({is_outlier(c, fences)})",
+            "percentage": f"100D * try_divide(CAST(count_if({is_outlier(c, fences)}) AS DOUBLE), count(1))",
+            "lower_bound": number(fences[c][0]),
+            "upper_bound": number(fences[c][1]),
         },
     )
 
@@ -79,5 +76,5 @@ def treat_outliers(
             value = quoted(c)
             clipped[c] = F.when(value < low, F.lit(low)).when(value > high, F.lit(high)).otherwise(value)
         return df.withColumns(clipped)
-    any_outlier = reduce(lambda a, b: a | b, [is_outlier(c, fences) for c in known], F.lit(False))
-    return df.where(any_outlier if policy == "select" else ~any_outlier)
+    any_outlier = " OR ".join(is_outlier(c, fences) for c in known) or "false"
+    return df.where(any_outlier if policy == "select" else f"NOT ({any_outlier})")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assayline.operators.cleaning import duplicate_count, missing_counts
 from assayline.operators.quantiles import exact_quantiles
 from assayline.operators.relations import top_correlated
-from assayline.operators.wide import numeric_columns, per_column, present, quoted
+from assayline.operators.wide import identifier, numeric_columns, per_column, present, quoted, text
 from assayline.session import lookup_join, small_or_written
 
 
@@ -22,11 +22,11 @@ def table_info(df: DataFrame) -> DataFrame:
         df,
         df.columns,
         lambda c: {
-            "position": F.lit(order[c]),
-            "dtype": F.lit(dtypes[c]),
-            "non_null": F.count(quoted(c)),
-            "rows": F.count(F.lit(1)),
-            "columns": F.lit(len(df.columns)),
+            "position": str(order[c]),
+            "dtype": text(dtypes[c]),
+            "non_null": f"count({identifier(c)})",
+            "rows": "count(1)",
+            "columns": str(len(order)),
         },
     )
 
@@ -43,11 +43,11 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         df,
         columns,
         lambda c: {
-            "count": F.count(present(quoted(c))),
-            "mean": F.avg(present(quoted(c))),
-            "std": F.stddev_samp(present(quoted(c))),
-            "min": F.min(present(quoted(c))),
-            "max": F.max(present(quoted(c))),
+            "count": f"count({present(c)})",
+            "mean": f"avg({present(c)})",
+            "std": f"stddev_samp({present(c)})",
+            "min": f"min({present(c)})",
+            "max": f"max({present(c)})",
         },
     )
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).select(
@@ -94,16 +94,16 @@ def range_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         df,
         columns,
         lambda c: {
-            "min": F.min(present(quoted(c))),
-            "max": F.max(present(quoted(c))),
-            "mean": F.avg(present(quoted(c))),
+            "min": f"min({present(c)})",
+            "max": f"max({present(c)})",
+            "mean": f"avg({present(c)})",
         },
     )
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Rows ``(bin, lower, upper, count)``: equal widths, last bin closed, empty bins kept."""
-    value = present(quoted(column))
+    value = F.expr(present(column))
     low, high = df.agg(F.min(value), F.max(value)).first()
     spark = df.sparkSession
     if low is None:
@@ -147,7 +147,7 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
         (F.col("q2") + reach).alias("fence_high"),
     )
     boxes = small_or_written(boxes, "boxes")
-    slim = df.select(*[quoted(b) for b in by], present(quoted(column)).alias("value"))
+    slim = df.select(*[quoted(b) for b in by], F.expr(present(column)).alias("value"))
     located = lookup_join(slim.where(F.col("value").isNotNull()), boxes, list(by))
     inside = F.col("value").between(F.col("fence_low"), F.col("fence_high"))
     return located.groupBy(*[quoted(b) for b in by], "n", "q1", "median", "q3").agg(

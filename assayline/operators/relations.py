@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.operators.wide import per_column, present, quoted
+from assayline.operators.wide import number, per_column, present, quoted
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:
@@ -26,50 +26,54 @@ def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
 
     Two passes: means first, then plain sums of centred products. Sums that several pairs
     share are computed once, so ``k`` complete columns need ``k*(k+1)/2`` of them, where
-    ``corr`` would keep six running values per pair. NULL for a constant column.
+    ``corr`` would keep six running values per pair. One row of sums reaches the driver.
+    NULL for a constant column.
     """
     pairs = list(pairs)
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
-    facts = {r["feature"]: r for r in _extent(df, names).collect()}  # one row per column
-    centred = {c: present(quoted(c)) - F.lit(facts[c]["mean"]) for c in names}
+    facts = {r["feature"]: r for r in _extent(df, names).collect()}
+    slot = {c: f"d{i}" for i, c in enumerate(names)}
     complete = {c for c in names if facts[c]["present"] == facts[c]["rows"]}
-    varying = [(a, b) for a, b in pairs if all(facts[c]["least"] != facts[c]["greatest"] for c in (a, b))]
+    constant = {c for c in names if facts[c]["least"] == facts[c]["greatest"]}
+    open_pairs = [(a, b) for a, b in pairs if a != b and not {a, b} & constant]
 
-    sums: dict[tuple, Column] = {}
-
-    def total(a: str, b: str, *factors: str) -> Column:
-        """Sum of a product of centred columns over the rows where both ``a`` and ``b`` are present.
+    def total(pair: tuple[str, str], *factors: str) -> str:
+        """Sum of a product of centred columns over the rows where the pair is present.
 
         A product with a missing factor is missing and drops out of the sum by itself.
         """
-        masks = tuple(sorted({c for c in (a, b) if c not in complete and c not in factors}))
-        key = (tuple(sorted(factors)), masks)
-        if key not in sums:
-            product = reduce(lambda x, y: x * y, [centred[f] for f in factors], F.lit(1.0))
-            seen = reduce(lambda x, y: x & y, [centred[m].isNotNull() for m in masks], F.lit(True))
-            sums[key] = F.sum(F.when(seen, product))
-        return F.col(f"s{list(sums).index(key)}")
+        product = "*".join(sorted(slot[f] for f in factors)) or "1D"
+        masks = sorted(slot[c] for c in set(pair) - complete - set(factors))
+        if masks:
+            seen = " AND ".join(f"{m} IS NOT NULL" for m in masks)
+            product = f"CASE WHEN {seen} THEN {product} END"
+        return f"sum({product})"
+
+    wanted = {
+        (a, b): [total((a, b), *f) for f in ((), (a,), (b,), (a, a), (b, b), (a, b))] for a, b in open_pairs
+    }
+    sums = list(dict.fromkeys(s for needed in wanted.values() for s in needed))
+    values: dict[str, float | None] = {}
+    if sums:
+        centred = df.selectExpr(
+            *[f"{present(c)} - {number(facts[c]['mean'])} AS {slot[c]}" for c in names]
+        )
+        values = dict(zip(sums, centred.agg(*[F.expr(s) for s in sums]).first()))
 
     rows = []
     for a, b in pairs:
-        if (a, b) not in varying:
-            corr = F.lit(None).cast("double")
-        elif a == b:
-            corr = F.lit(1.0)
+        if (a, b) in wanted:
+            rows.append((a, b, _pearson(*[values[s] for s in wanted[a, b]])))
         else:
-            n, x, y = total(a, b), total(a, b, a), total(a, b, b)
-            xx, yy, xy = total(a, b, a, a), total(a, b, b, b), total(a, b, a, b)
-            spread = F.sqrt((xx - x * x / n) * (yy - y * y / n))
-            raw = F.try_divide(xy - x * y / n, spread)
-            corr = F.when(raw.isNotNull(), F.greatest(F.least(raw, F.lit(1.0)), F.lit(-1.0)))
-        rows.append(
-            F.struct(F.lit(a).alias("feature_x"), F.lit(b).alias("feature_y"), corr.alias("corr"))
-        )
-    if sums:
-        wide = df.agg(*[column.alias(f"s{i}") for i, column in enumerate(sums.values())])
-    else:
-        wide = df.sparkSession.range(1)
-    return wide.select(F.inline(F.array(*rows)))
+            rows.append((a, b, None if {a, b} & constant else 1.0))
+    return df.sparkSession.createDataFrame(rows, "feature_x string, feature_y string, corr double")
+
+
+def _pearson(n, x, y, xx, yy, xy) -> float | None:
+    if not n:
+        return None
+    spread = (xx - x * x / n) * (yy - y * y / n)
+    return max(-1.0, min(1.0, (xy - x * y / n) / math.sqrt(spread))) if spread > 0.0 else None
 
 
 def _extent(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -77,11 +81,11 @@ def _extent(df: DataFrame, names: Sequence[str]) -> DataFrame:
         df,
         names,
         lambda c: {
-            "rows": F.count(F.lit(1)),
-            "present": F.count(present(quoted(c))),
-            "mean": F.coalesce(F.avg(present(quoted(c))), F.lit(0.0)),
-            "least": F.min(present(quoted(c))),
-            "greatest": F.max(present(quoted(c))),
+            "rows": "count(1)",
+            "present": f"count({present(c)})",
+            "mean": f"coalesce(avg({present(c)}), 0D)",
+            "least": f"min({present(c)})",
+            "greatest": f"max({present(c)})",
         },
     )
 
@@ -97,7 +101,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], lower_only: bool =
     triangle = correlation_pairs(df, lower if lower_only else lower + own)
     if lower_only:
         return triangle
-    # The aggregate is one row; both orientations come from that row, not from a second scan.
+    # Both orientations come from the few computed rows, not from a second scan.
     swapped = F.struct(
         F.col("feature_y").alias("feature_x"), F.col("feature_x").alias("feature_y"), F.col("corr")
     )
@@ -124,15 +128,12 @@ def top_correlated(df: DataFrame, features: Sequence[str], target: str, k: int =
 
 def trend_line(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Rows ``(feature, slope, intercept)`` of the least-squares line through each scatter."""
-    y = present(quoted(target))
-    wide = df.agg(
-        *[
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.regr_slope(y, present(quoted(f))).alias("slope"),
-                F.regr_intercept(y, present(quoted(f))).alias("intercept"),
-            ).alias(f"t{i}")
-            for i, f in enumerate(features)
-        ]
+    y = present(target)
+    return per_column(
+        df,
+        features,
+        lambda f: {
+            "slope": f"regr_slope({y}, {present(f)})",
+            "intercept": f"regr_intercept({y}, {present(f)})",
+        },
     )
-    return wide.select(F.inline(F.array(*[F.col(f"t{i}") for i in range(len(features))])))

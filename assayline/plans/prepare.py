@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.functions.numeric import missing_as_null
@@ -15,7 +15,7 @@ from assayline.operators.cleaning import drop_duplicates, fill_missing, fit_medi
 from assayline.operators.features import Labels, align_schema, fit_labels, fit_scaler, scale
 from assayline.operators.outliers import treat_outliers
 from assayline.operators.split import fold_of, stratified_split
-from assayline.operators.wide import present, quoted
+from assayline.operators.wide import identifier, number, present, quoted
 from assayline.session import write_through
 from assayline.spec import TableSpec
 
@@ -30,10 +30,6 @@ class Preparation:
     scaler: dict[str, tuple[float, float]]
     seed: int
 
-    def _scaled(self, name: str, value: Column) -> Column:
-        mean, deviation = self.scaler[name]
-        return (value - F.lit(mean)) / F.lit(deviation)
-
     def transform(self, df: DataFrame) -> DataFrame:
         """Append the model columns as vector ``features``; rows and columns stay as they are.
 
@@ -47,15 +43,17 @@ class Preparation:
         cells = []
         for name in self.spec.model_columns:
             if name not in df.columns:
-                value = F.lit(0.0)
+                value = "0D"
             elif name == self.spec.category:
-                value = F.col("__code").cast("double")
+                value = "CAST(__code AS DOUBLE)"
             elif name in self.medians:
-                value = F.coalesce(present(quoted(name)), F.lit(self.medians[name]))
+                value = f"coalesce({present(name)}, {number(self.medians[name])})"
             else:
-                value = present(quoted(name))
-            cells.append(self._scaled(name, value))
-        return df.withColumn("features", array_to_vector(F.array(*cells))).drop("__code")
+                value = present(name)
+            mean, deviation = self.scaler[name]
+            cells.append(f"({value} - {number(mean)}) / {number(deviation)}")
+        vector = array_to_vector(F.expr(f"array({', '.join(cells)})"))
+        return df.withColumn("features", vector).drop("__code")
 
     def transform_columns(self, df: DataFrame) -> DataFrame:
         """The model columns alone, filled, encoded, aligned and scaled."""
@@ -107,7 +105,8 @@ class Preparation:
 
 def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Append already prepared columns as vector ``features``."""
-    return df.withColumn("features", array_to_vector(F.array(*[quoted(c).cast("double") for c in columns])))
+    cells = ", ".join(f"CAST({identifier(c)} AS DOUBLE)" for c in columns)
+    return df.withColumn("features", array_to_vector(F.expr(f"array({cells})")))
 
 
 def clean(df: DataFrame, spec: TableSpec, outliers: str | None = None) -> tuple[DataFrame, dict[str, float]]:

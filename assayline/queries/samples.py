@@ -37,32 +37,27 @@ RULE_OFFSET = -8.0
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
-    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in KEY]))
-    noise = F.conv(F.substring(digest, 1, 4), 16, 10).cast("bigint") / 65535.0 - 0.5
-    measured = line.select(
+    measured = line.selectExpr(
         *KEY,
-        (7.0 + F.col("l_discount") * 20).alias("fixed_acidity"),
-        (0.1 + F.col("l_tax") * 10).alias("volatile_acidity"),
-        (F.col("l_discount") * 5).alias("citric_acid"),
-        (F.col("l_quantity") / 2).alias("residual_sugar"),
-        (0.02 + F.col("l_tax")).alias("chlorides"),
-        F.col("l_quantity").alias("free_sulfur_dioxide"),
-        (F.col("l_quantity") * 2 + F.col("l_linenumber") * 10).alias("total_sulfur_dioxide"),
-        (0.99 + F.col("l_extendedprice") / 1e7).alias("density"),
-        (3.0 + F.col("l_linenumber") / 10.0).alias("ph"),
-        (0.4 + F.col("l_tax") * 5).alias("sulphates"),
-        (8.0 + F.col("l_quantity") / 8).alias("alcohol"),
-        F.when(F.col("l_returnflag") == "A", "red").otherwise("white").alias("wine_type"),
-        noise.alias("noise"),
+        "7.0D + l_discount * 20 AS fixed_acidity",
+        "0.1D + l_tax * 10 AS volatile_acidity",
+        "l_discount * 5 AS citric_acid",
+        "l_quantity / 2 AS residual_sugar",
+        "0.02D + l_tax AS chlorides",
+        "l_quantity AS free_sulfur_dioxide",
+        "l_quantity * 2 + l_linenumber * 10 AS total_sulfur_dioxide",
+        "0.99D + l_extendedprice / 1e7D AS density",
+        "3.0D + l_linenumber / 10.0D AS ph",
+        "0.4D + l_tax * 5 AS sulphates",
+        "8.0D + l_quantity / 8 AS alcohol",
+        "CASE WHEN l_returnflag = 'A' THEN 'red' ELSE 'white' END AS wine_type",
+        f"CAST(conv(substring(md5(concat_ws('|', {', '.join(KEY)})), 1, 4), 16, 10) AS BIGINT) / 65535.0D - 0.5D"
+        " AS noise",
     )
     signal = (
-        (F.col("alcohol") - 8) * 0.3
-        + (12 - F.col("volatile_acidity") * 10) * 0.2
-        + 2 * F.col("citric_acid") * 0.1
-        + F.col("noise")
-        + 3.5
+        "(alcohol - 8) * 0.3D + (12 - volatile_acidity * 10) * 0.2D + 2 * citric_acid * 0.1D + noise + 3.5D"
     )
-    quality = F.least(F.greatest(F.rint(signal), F.lit(3.0)), F.lit(9.0)).cast("int")
+    quality = F.expr(f"CAST(least(greatest(rint({signal}), 3D), 9D) AS INT)")
     return measured.withColumn("quality", quality).drop("noise")
 
 
