@@ -35,9 +35,18 @@ def _forest(seed: int) -> Estimator:
     )
 
 
+def step_size(learning_rate: float) -> float:
+    """MLlib step for a learning rate stated against plain residuals.
+
+    For squared loss MLlib fits its trees to the negative gradient, which is twice the
+    residual, so an equal shrinkage needs half the step.
+    """
+    return learning_rate / 2.0
+
+
 def _boosting(seed: int) -> Estimator:
     return GBTRegressor(
-        maxIter=100, stepSize=0.1, maxDepth=3, lossType="squared", maxBins=MAX_BINS, seed=seed
+        maxIter=100, stepSize=step_size(0.1), maxDepth=3, lossType="squared", maxBins=MAX_BINS, seed=seed
     )
 
 
@@ -53,7 +62,7 @@ MODELS: dict[str, ModelConfig] = {
     ),
     "gradient_boosting": ModelConfig(
         _boosting,
-        {"maxIter": [100, 200], "stepSize": [0.1, 0.2], "maxDepth": [3, 5]},
+        {"maxIter": [100, 200], "stepSize": [step_size(0.1), step_size(0.2)], "maxDepth": [3, 5]},
     ),
     "ridge": ModelConfig(
         lambda seed: PenalisedRegression(alpha=1.0, l1_share=0.0, summed_loss=True),

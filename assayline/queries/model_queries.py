@@ -1,3 +1,461 @@
-"""Models. One-feature linear models have closed forms, so SQL can check them."""
+"""Models. One-feature linear models and stumps have closed forms, so SQL can check them."""
 
 from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assayline.models import (
+    MODELS,
+    ModelConfig,
+    ModelSet,
+    PenalisedRegression,
+    load_models,
+    predict,
+    predict_with_spread,
+    quick_train,
+    save_models,
+    train_all,
+    train_one,
+)
+from assayline.models.catalogue import MAX_BINS, step_size
+from assayline.models.training import (
+    cross_validate,
+    evaluate_models,
+    feature_importance,
+    grid_points,
+    with_predictions,
+)
+from assayline.operators.evaluate import metrics_of_models, model_comparison
+from assayline.operators.split import fold_of, stratified_split
+from assayline.plans.prepare import Preparation, assemble, fit_preparation
+from assayline.plans.score import score_batch, score_table
+from assayline.plans.train import train_job, training_summary
+from assayline.queries.registry import query, rounded
+from assayline.queries.samples import (
+    CLEANED,
+    KEY,
+    SAMPLES,
+    SPEC,
+    columns,
+    dirty_samples,
+    samples,
+    split_cte,
+)
+from assayline.session import fresh_path, write_through
+from assayline.sources import write_delimited
+from assayline.spec import TableSpec
+
+_KEYS = columns(*KEY)
+LINEAR = ("ridge", "lasso", "elastic_net")
+
+# Reduced trees for demonstration; the catalogue holds the full sizes.
+SMALL_TREES = {
+    "random_forest": ModelConfig(
+        lambda seed: RandomForestRegressor(
+            numTrees=10, maxDepth=5, featureSubsetStrategy="all", maxBins=MAX_BINS, seed=seed
+        ),
+        {"maxDepth": [3, 5]},
+    ),
+    "gradient_boosting": ModelConfig(
+        lambda seed: GBTRegressor(
+            maxIter=8, maxDepth=3, stepSize=step_size(0.1), lossType="squared", maxBins=MAX_BINS, seed=seed
+        ),
+        {"stepSize": [step_size(0.1), step_size(0.2)]},
+    ),
+}
+
+_shared: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable):
+    """Fit once per session and directory; several queries look at the same models."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _shared:
+        _shared[key] = make()
+    return _shared[key]
+
+
+def _split_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make() -> DataFrame:
+        split = stratified_split(samples(spark, sf_dir), "quality", KEY)
+        return write_through(split.withColumn("fold", fold_of(KEY)), "split-samples")
+
+    return _once(spark, sf_dir, "split", make)
+
+
+def _alcohol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble(_split_samples(spark, sf_dir), ["alcohol"])
+
+
+def _linear(spark: SparkSession, sf_dir: str) -> ModelSet:
+    """Tuned linear models of quality on alcohol, and one name that nobody configured."""
+    return _once(
+        spark,
+        sf_dir,
+        "linear",
+        lambda: train_all(_alcohol(spark, sf_dir), "quality", [*LINEAR, "support_vector"]),
+    )
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Preparation]:
+    def make():
+        prepared, preparation = fit_preparation(dirty_samples(spark, sf_dir), SPEC)
+        return write_through(prepared, "prepared"), preparation
+
+    return _once(spark, sf_dir, "prepared", make)
+
+
+def _trees(spark: SparkSession, sf_dir: str) -> ModelSet:
+    def make():
+        vectors = assemble(_prepared(spark, sf_dir)[0], SPEC.model_columns)
+        return train_all(vectors, "quality", list(SMALL_TREES), tune=False, models=SMALL_TREES)
+
+    return _once(spark, sf_dir, "trees", make)
+
+
+# --- closed forms ---------------------------------------------------------------------
+
+_SPLIT = f"{SAMPLES}, {split_cte()}, data AS (SELECT {_KEYS}, alcohol AS x, quality AS y, split, fold FROM split)"
+
+_GRID = "grid AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{m}', {a}::DOUBLE, {l1}::DOUBLE, {i}, '{params}')"
+    for m, l1 in (("ridge", 0.0), ("lasso", 1.0), ("elastic_net", 0.5))
+    for i, a in enumerate(MODELS[m].grid["alpha"])
+    for params in [f'{{"alpha": {a}, "l1_share": 0.5}}' if m == "elastic_net" else f'{{"alpha": {a}}}']
+) + ") t(model, alpha, l1, point, params))"
+
+
+def _slope(n: str, cov: str, var: str) -> str:
+    """Penalised slope of one feature: ridge sums its loss over rows, the others average it."""
+    weight = f"CASE WHEN model = 'ridge' THEN alpha / {n} ELSE alpha END"
+    return (
+        f"sign({cov}) * greatest(abs({cov}) - ({weight}) * l1, 0) / ({var} + ({weight}) * (1 - l1))"
+    )
+
+
+_MOMENTS = "count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(y, x) AS cov, var_pop(x) AS var"
+_CV = f"""folds AS (SELECT unnest([0, 1, 2]) AS held),
+fold_moments AS (SELECT held, {_MOMENTS} FROM data, folds WHERE split = 'train' AND fold <> held GROUP BY held),
+fold_fits AS (SELECT g.*, held, mx, my, {_slope("n", "cov", "var")} AS slope FROM fold_moments, grid g),
+fold_errors AS (
+  SELECT model, alpha, point, params, held, avg((y - (my + slope * (x - mx))) ** 2) AS mse
+  FROM fold_fits JOIN data ON split = 'train' AND fold = held GROUP BY ALL),
+cv AS (SELECT model, alpha, point, params, avg(mse) AS cv_mean, stddev_pop(mse) AS cv_std
+  FROM fold_errors GROUP BY ALL),
+best AS (SELECT * FROM cv QUALIFY row_number() OVER (PARTITION BY model ORDER BY cv_mean, point) = 1)"""
+_FITS = f"""moments AS (SELECT {_MOMENTS} FROM data WHERE split = 'train'),
+fits AS (SELECT g.model, g.alpha, mx, my, {_slope("n", "cov", "var")} AS slope FROM moments, grid g),
+chosen AS (SELECT f.* FROM fits f JOIN best b USING (model, alpha)),
+predicted AS (SELECT model, data.*, my + slope * (x - mx) AS p FROM data, chosen),
+metrics AS (SELECT model, split, count(*) AS n, avg((y - p) ** 2) AS mse, avg(abs(y - p)) AS mae,
+  sqrt(avg((y - p) ** 2)) AS rmse, 1 - avg((y - p) ** 2) / var_pop(y) AS r2 FROM predicted GROUP BY ALL),
+winner AS (SELECT model FROM metrics WHERE split = 'val' ORDER BY r2 DESC LIMIT 1)"""
+_LINEAR_SQL = f"WITH {_SPLIT}, {_GRID}, {_CV}, {_FITS}"
+
+
+def _lines(spark: SparkSession, sf_dir: str, model: str, **settings) -> DataFrame:
+    train = _alcohol(spark, sf_dir).where("split = 'train'")
+    rows = []
+    for alpha in MODELS[model].grid["alpha"]:
+        line = PenalisedRegression(alpha=alpha, labelCol="quality", **settings).fit(train)
+        rows.append((alpha, float(line.coefficients[0]), float(line.intercept)))
+    fitted = spark.createDataFrame(rows, "alpha double, slope double, intercept double")
+    return rounded(fitted, 5, "slope", "intercept")
+
+
+def _lines_sql(model: str) -> str:
+    return f"""WITH {_SPLIT}, {_GRID}, moments AS (SELECT {_MOMENTS} FROM data WHERE split = 'train'),
+    fits AS (SELECT alpha, mx, my, {_slope("n", "cov", "var")} AS slope FROM moments, grid WHERE model = '{model}')
+    SELECT alpha, round(slope, 5) AS slope, round(my - slope * mx, 5) AS intercept FROM fits"""
+
+
+@query("fit_ridge", _lines_sql("ridge"))
+def fit_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir, "ridge", summed_loss=True)
+
+
+@query("fit_lasso", _lines_sql("lasso"))
+def fit_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir, "lasso", l1_share=1.0)
+
+
+@query("fit_elastic_net", _lines_sql("elastic_net"))
+def fit_elastic_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir, "elastic_net", l1_share=0.5)
+
+
+@query(
+    "grid_search",
+    f"""{_LINEAR_SQL} SELECT cv.alpha, round(cv.cv_mean, 5) AS cv_mean, round(cv.cv_std, 5) AS cv_std,
+    cv.alpha = best.alpha AS is_best FROM cv JOIN best USING (model) WHERE model = 'lasso'""",
+)
+def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point of the lasso grid with its cross-validated error, and the choice."""
+    points = grid_points(MODELS["lasso"].grid)
+    train = _alcohol(spark, sf_dir).where("split = 'train'")
+    errors = cross_validate(train, MODELS["lasso"].build(42), points, "quality")
+    chosen = _linear(spark, sf_dir).models["lasso"].best_params["alpha"]
+    rows = [(p["alpha"], *e, p["alpha"] == chosen) for p, e in zip(points, errors)]
+    table = spark.createDataFrame(rows, "alpha double, e0 double, e1 double, e2 double, is_best boolean")
+    mean = (F.col("e0") + F.col("e1") + F.col("e2")) / 3.0
+    spread = F.sqrt(sum((F.col(e) - mean) * (F.col(e) - mean) for e in ("e0", "e1", "e2")) / 3.0)
+    return table.select("alpha", F.round(mean, 5).alias("cv_mean"), F.round(spread, 5).alias("cv_std"), "is_best")
+
+
+@query(
+    "cv_scores",
+    f"""{_LINEAR_SQL} SELECT 'ridge' AS model, round(cv_mean, 5) AS cv_mean, round(cv_std, 5) AS cv_std
+    FROM cv WHERE model = 'ridge' AND alpha = 1""",
+)
+def cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated error of a model with its defaults."""
+    entry = train_one(_alcohol(spark, sf_dir), "ridge", "quality", tune=False)
+    table = spark.createDataFrame(
+        [(entry.name, entry.cv_mean, entry.cv_std)], "model string, cv_mean double, cv_std double"
+    )
+    return rounded(table, 5, "cv_mean", "cv_std")
+
+
+@query(
+    "train_all",
+    f"""{_LINEAR_SQL}, o AS (SELECT * FROM (VALUES ('ridge', 0), ('lasso', 1), ('elastic_net', 2)) t(model, ordinal))
+    SELECT o.model, o.ordinal, params AS best_params, round(cv_mean, 5) AS cv_mean, round(cv_std, 5) AS cv_std,
+      CAST(NULL AS VARCHAR) AS error FROM best JOIN o USING (model)
+    UNION ALL SELECT 'support_vector', 3, NULL, NULL, NULL, 'unknown model: support_vector'""",
+)
+def train_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _linear(spark, sf_dir).training_table(spark).drop("training_time")
+    return rounded(table, 5, "cv_mean", "cv_std")
+
+
+@query(
+    "model_comparison",
+    f"""{_LINEAR_SQL} SELECT model, {", ".join(
+        f"round(max({m}) FILTER (WHERE split = '{s}'), 5) AS {s}_{m}"
+        for m in ("r2", "rmse") for s in ("train", "val", "test"))},
+      round(any_value(cv_mean), 5) AS cv_mean, round(any_value(cv_std), 5) AS cv_std
+    FROM metrics JOIN best USING (model) GROUP BY model""",
+)
+def model_comparison_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trained = _linear(spark, sf_dir)
+    metrics = evaluate_models(trained, _alcohol(spark, sf_dir), "quality")
+    table = trained.training_table(spark).select("model", "cv_mean", "cv_std", "training_time")
+    compared = model_comparison(metrics, table).drop("training_time")
+    return rounded(compared, 5, *[c for c in compared.columns if c != "model"])
+
+
+@query(
+    "evaluate_test",
+    f"""{_LINEAR_SQL} SELECT model, n, round(mse, 5) AS mse, round(mae, 5) AS mae, round(rmse, 5) AS rmse,
+    round(r2, 5) AS r2 FROM metrics WHERE split = 'test'""",
+)
+def evaluate_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = evaluate_models(_linear(spark, sf_dir), _alcohol(spark, sf_dir), "quality", ["test"])
+    return rounded(table.drop("split"), 5, "mse", "mae", "rmse", "r2")
+
+
+@query(
+    "quick_train",
+    f"""WITH {_SPLIT}, {_GRID}, moments AS (SELECT {_MOMENTS} FROM data WHERE split = 'train'),
+    fits AS (SELECT mx, my, {_slope("n", "cov", "var")} AS slope FROM moments, grid
+      WHERE model = 'ridge' AND alpha = 1)
+    SELECT {_KEYS}, round(my + slope * (x - mx), 5) AS prediction FROM data, fits WHERE split = 'val'""",
+)
+def quick_train_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _alcohol(spark, sf_dir)
+    trained = quick_train(rows, "quality", "ridge")
+    scored = predict(rows.where("split = 'val'"), trained)
+    return rounded(scored.select(*KEY, "prediction"), 5, "prediction")
+
+
+@query(
+    "predict_named",
+    f"""{_LINEAR_SQL} SELECT {_KEYS}, round(p, 5) AS prediction FROM predicted
+    WHERE model = 'lasso' AND split = 'test'""",
+)
+def predict_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _alcohol(spark, sf_dir).where("split = 'test'")
+    scored = predict(rows, _linear(spark, sf_dir), "lasso")
+    return rounded(scored.select(*KEY, "prediction"), 5, "prediction")
+
+
+@query(
+    "model_roundtrip",
+    f"""{_LINEAR_SQL} SELECT {_KEYS}, w.model AS best_model, round(p, 5) AS prediction
+    FROM predicted JOIN winner w USING (model) WHERE split = 'val'""",
+)
+def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Save all models, load them, predict with the loaded best one."""
+    path = fresh_path(spark, "models")
+    save_models(_linear(spark, sf_dir), spark, path)
+    loaded = load_models(spark, path)
+    scored = predict(_alcohol(spark, sf_dir).where("split = 'val'"), loaded)
+    named = scored.select(*KEY, F.lit(loaded.best_name).alias("best_model"), "prediction")
+    return rounded(named, 5, "prediction")
+
+
+# --- the whole job on one scaled feature ----------------------------------------------
+
+ONE_FEATURE = TableSpec(features=("alcohol",), target="quality", key=KEY)
+
+_JOB = f"""{CLEANED}, {split_cte("cleaned")},
+scaler AS (SELECT avg(alcohol) AS mean, stddev_pop(alcohol) AS sd FROM split WHERE split = 'train'),
+data AS (SELECT {_KEYS}, (alcohol - mean) / sd AS x, quality AS y, split, fold FROM split, scaler),
+{_GRID}, {_CV}, moments AS (SELECT {_MOMENTS} FROM data WHERE split = 'train'),
+chosen AS (SELECT model, mx, my, {_slope("n", "cov", "var")} AS slope FROM moments, grid
+  WHERE alpha = 1 AND model IN ('ridge', 'lasso')),
+predicted AS (SELECT model, data.*, my + slope * (x - mx) AS p FROM data, chosen),
+metrics AS (SELECT model, split, sqrt(avg((y - p) ** 2)) AS rmse, 1 - avg((y - p) ** 2) / var_pop(y) AS r2
+  FROM predicted GROUP BY ALL),
+winner AS (SELECT model FROM metrics WHERE split = 'val' ORDER BY r2 DESC LIMIT 1)"""
+
+
+def _job(spark: SparkSession, sf_dir: str):
+    def make():
+        path = fresh_path(spark, "job")
+        rows = dirty_samples(spark, sf_dir)
+        train_job(rows, ONE_FEATURE, path, ["ridge", "lasso"])
+        # The second call finds the artefacts and only loads them.
+        return path, *train_job(rows, ONE_FEATURE, path, ["ridge", "lasso"])
+
+    return _once(spark, sf_dir, "job", make)
+
+
+@query(
+    "train_job",
+    f"""WITH {_JOB}, fresh AS (SELECT {_KEYS}, (coalesce(d.alcohol, m.alcohol) - mean) / sd AS x
+      FROM dirty d CROSS JOIN medians m CROSS JOIN scaler)
+    SELECT {_KEYS}, round(my + slope * (x - mx), 5) AS prediction FROM fresh, chosen JOIN winner USING (model)""",
+)
+def train_job_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepare, train, save, load, then predict the unprepared rows."""
+    _, preparation, trained = _job(spark, sf_dir)
+    scored = predict(preparation.transform(dirty_samples(spark, sf_dir)), trained)
+    return rounded(scored.select(*KEY, "prediction"), 5, "prediction")
+
+
+@query(
+    "training_summary",
+    f"""WITH {_JOB} SELECT model, {", ".join(
+        f"round(max({m}) FILTER (WHERE split = '{s}'), 5) AS {s}_{m}"
+        for m in ("r2", "rmse") for s in ("train", "val", "test"))},
+      '{{}}' AS best_params, round(any_value(cv_mean), 5) AS cv_mean, round(any_value(cv_std), 5) AS cv_std,
+      model = (SELECT model FROM winner) AS is_best, 'alcohol' AS features
+    FROM metrics JOIN cv USING (model) WHERE alpha = 1 GROUP BY model""",
+)
+def training_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _, _ = _job(spark, sf_dir)
+    summary = training_summary(spark, path).drop("training_time", "total_time")
+    return rounded(summary, 5, *[c for c, t in summary.dtypes if t == "double"])
+
+
+@query(
+    "score_batch",
+    f"""WITH {_JOB}, fresh AS (SELECT {_KEYS}, d.alcohol, (coalesce(d.alcohol, m.alcohol) - mean) / sd AS x
+      FROM dirty d CROSS JOIN medians m CROSS JOIN scaler),
+    scored AS (SELECT fresh.*, round_even(my + slope * (x - mx), 1) AS predicted_quality
+      FROM fresh, chosen JOIN winner USING (model))
+    SELECT {_KEYS}, alcohol, predicted_quality, CASE WHEN predicted_quality <= 4 THEN 'Poor'
+      WHEN predicted_quality <= 6 THEN 'Average' ELSE 'Good' END AS quality_category FROM scored""",
+)
+def score_batch_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in, files out, with the artefacts of the job."""
+    _, preparation, trained = _job(spark, sf_dir)
+    source, sink = fresh_path(spark, "batch-in"), fresh_path(spark, "batch-out")
+    write_delimited(dirty_samples(spark, sf_dir).select(*KEY, "alcohol"), source)
+    return score_batch(spark, source, sink, preparation, trained)
+
+
+# --- trees ----------------------------------------------------------------------------
+
+
+def _stump_cte(name: str, source: str, target: str) -> str:
+    """Best single threshold of x for ``target``: greatest between-side sum of squares."""
+    return f"""{name}_by AS (SELECT x, count(*) AS n, sum({target}) AS s FROM {source} GROUP BY x),
+{name}_cum AS (SELECT x, sum(n) OVER (ORDER BY x) AS nl, sum(s) OVER (ORDER BY x) AS sl,
+  sum(n) OVER () AS n, sum(s) OVER () AS s FROM {name}_by),
+{name} AS (SELECT x AS cut, sl / nl AS low, (s - sl) / (n - nl) AS high FROM {name}_cum WHERE nl < n
+  ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, x LIMIT 1)"""
+
+
+_STUMP = f"{_SPLIT}, train AS (SELECT x, y FROM data WHERE split = 'train'), {_stump_cte('t0', 'train', 'y')}"
+
+
+@query(
+    "forest_stump",
+    f"""WITH {_STUMP} SELECT {_KEYS}, round(CASE WHEN x <= cut THEN low ELSE high END, 5) AS prediction,
+    CAST(0.0 AS DOUBLE) AS spread FROM data, t0""",
+)
+def forest_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest of one unsampled stump, whose threshold and leaves SQL can find."""
+    rows = _alcohol(spark, sf_dir)
+    config = ModelConfig(
+        lambda seed: RandomForestRegressor(
+            numTrees=1, maxDepth=1, bootstrap=False, featureSubsetStrategy="all", maxBins=MAX_BINS, seed=seed
+        )
+    )
+    trained = quick_train(rows, "quality", "stump", models={"stump": config})
+    scored = predict_with_spread(rows, trained)
+    return rounded(scored.select(*KEY, "prediction", "spread"), 5, "prediction")
+
+
+@query(
+    "boosted_stumps",
+    f"""WITH {_STUMP}, left_over AS (SELECT x, y - CASE WHEN x <= cut THEN low ELSE high END AS r FROM train, t0),
+    {_stump_cte("t1", "left_over", "r")}
+    SELECT {_KEYS}, round(CASE WHEN x <= t0.cut THEN t0.low ELSE t0.high END
+      + 0.1 * CASE WHEN x <= t1.cut THEN t1.low ELSE t1.high END, 5) AS prediction FROM data, t0, t1""",
+)
+def boosted_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two boosting rounds of stumps at learning rate 0.1."""
+    rows = _alcohol(spark, sf_dir)
+    config = ModelConfig(
+        lambda seed: GBTRegressor(
+            maxIter=2, maxDepth=1, stepSize=step_size(0.1), lossType="squared", maxBins=MAX_BINS, seed=seed
+        )
+    )
+    trained = quick_train(rows, "quality", "stumps", models={"stumps": config})
+    return rounded(predict(rows, trained).select(*KEY, "prediction"), 5, "prediction")
+
+
+def _tree_metrics(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    vectors = assemble(_prepared(spark, sf_dir)[0], SPEC.model_columns)
+    scored, names = with_predictions(_trees(spark, sf_dir), vectors)
+    return metrics_of_models(scored, "quality", {name: names[name]})
+
+
+@query("fit_random_forest")
+def fit_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree_metrics(spark, sf_dir, "random_forest")
+
+
+@query("fit_gbt")
+def fit_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree_metrics(spark, sf_dir, "gradient_boosting")
+
+
+@query("feature_importance")
+def feature_importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = _trees(spark, sf_dir).models["random_forest"]
+    return feature_importance(spark, entry, SPEC.model_columns, 10)
+
+
+@query("predict_spread")
+def predict_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared, _ = _prepared(spark, sf_dir)
+    rows = assemble(prepared, SPEC.model_columns)
+    scored = predict_with_spread(rows, _trees(spark, sf_dir), "random_forest")
+    return scored.select(*KEY, "prediction", "spread")
+
+
+@query("score_details")
+def score_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full answer per row: score, half-width, interval, interpretation, model."""
+    _, preparation = _prepared(spark, sf_dir)
+    rows = dirty_samples(spark, sf_dir)
+    scored = score_table(rows, preparation, _trees(spark, sf_dir), "random_forest", details=True)
+    return scored.drop(*[c for c in rows.columns if c not in KEY])
