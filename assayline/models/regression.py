@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator
+from pyspark.ml.base import _FitMultipleIterator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
@@ -40,17 +43,34 @@ class PenalisedRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionC
         self._setDefault(alpha=1.0, l1_share=0.0, summed_loss=False, maxIter=1000)
         self._set(**self._input_kwargs)
 
+    def fitMultiple(
+        self, dataset: DataFrame, paramMaps: Sequence[dict]
+    ) -> Iterator[tuple[int, LinearRegressionModel]]:
+        """Fit several penalties on one table; its label is measured once for all of them."""
+        variants = [self.copy(p) for p in paramMaps]
+        labels = {v.getLabelCol(): v for v in variants}
+        facts = {name: v._label_facts(dataset) for name, v in labels.items()}
+        return _FitMultipleIterator(
+            lambda i: variants[i]._solver(*facts[variants[i].getLabelCol()]).fit(dataset), len(variants)
+        )
+
     def _fit(self, dataset: DataFrame) -> LinearRegressionModel:
+        return self._solver(*self._label_facts(dataset)).fit(dataset)
+
+    def _label_facts(self, dataset: DataFrame) -> tuple[int, float]:
         label = F.col(self.getLabelCol()).cast("double")
         n, deviation = dataset.agg(F.count(label), F.stddev_pop(label)).first()
+        return n, deviation or 0.0
+
+    def _solver(self, n: int, deviation: float) -> LinearRegression:
         weight = self.getOrDefault(self.alpha)
         if self.getOrDefault(self.summed_loss):
             weight = weight / max(n, 1)
         share = self.getOrDefault(self.l1_share)
         absolute = weight * share
-        squared = weight * (1.0 - share) * (deviation or 0.0)
+        squared = weight * (1.0 - share) * deviation
         total = absolute + squared
-        solver = LinearRegression(
+        return LinearRegression(
             featuresCol=self.getFeaturesCol(),
             labelCol=self.getLabelCol(),
             predictionCol=self.getPredictionCol(),
@@ -61,4 +81,3 @@ class PenalisedRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionC
             standardization=False,
             solver="normal",
         )
-        return solver.fit(dataset)

@@ -76,7 +76,7 @@ def cross_validate(
     label: str,
     fold: str = "fold",
     folds: int = 3,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> list[list[float]]:
     """Mean squared error per grid point and fold.
 
@@ -98,15 +98,15 @@ def cross_validate(
 
 
 def _fit_points(df, estimator, points, label, parallelism) -> list[Model]:
-    def fit(point: dict) -> Model:
-        params = {estimator.getParam(k): v for k, v in point.items()}
-        params[estimator.labelCol] = label
-        return estimator.fit(df, params)
-
+    maps = [
+        {**{estimator.getParam(k): v for k, v in point.items()}, estimator.labelCol: label} for point in points
+    ]
+    fits = estimator.fitMultiple(df, maps)
     if parallelism <= 1 or len(points) == 1:
-        return [fit(p) for p in points]
+        return [model for _, model in sorted(fits, key=lambda f: f[0])]
     with ThreadPool(min(parallelism, len(points))) as pool:
-        return pool.map(inheritable_thread_target(df.sparkSession)(fit), points)
+        take = inheritable_thread_target(df.sparkSession)(lambda _: next(fits))
+        return [model for _, model in sorted(pool.imap_unordered(take, points), key=lambda f: f[0])]
 
 
 def train_one(
@@ -119,7 +119,7 @@ def train_one(
     folds: int = 3,
     fold: str = "fold",
     split: str = "split",
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> Trained:
     """Search the grid by cross-validation on the train rows, refit the best point on all of them.
 
