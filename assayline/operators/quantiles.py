@@ -23,10 +23,16 @@ from assayline.operators.wide import long_values, quoted
 from assayline.session import lookup_join, small_or_written
 
 SKETCH_ACCURACY = 2_000
-# Up to this many values per group a bracket spans the whole range: a margin of two
-# sketch errors would be narrower than a handful of ranks.
+# Up to this many values per group a bracket spans the whole range.
 WHOLE_RANGE_ROWS = 50_000
+# A margin of one sketch error beyond the guaranteed one covers the neighbouring rank only
+# from this many errors' worth of rows on; smaller groups get the whole range in any case.
+LEAST_ROWS_PER_ERROR = 4
 BINS = 1_024
+# Merging sketches costs more than filling them, so no task merges those of all partitions:
+# blocks of this many partitions are dealt out to at most this many shards.
+PARTITIONS_PER_SHARD = 64
+SHARDS = 64
 
 
 @dataclass(frozen=True)
@@ -49,6 +55,7 @@ def order_statistics(
     value: str = "value",
     accuracy: int = SKETCH_ACCURACY,
     whole_range_rows: int = WHOLE_RANGE_ROWS,
+    partitions_per_shard: int = PARTITIONS_PER_SHARD,
 ) -> DataFrame:
     """Rows ``(keys..., n, q0, q1, ...)`` with the exact ranked values of each group.
 
@@ -57,7 +64,7 @@ def order_statistics(
     """
     keys = list(keys)
     ranks = sorted(ranks, key=lambda r: r.share)
-    brackets = _brackets(long, keys, ranks, value, accuracy, whole_range_rows)
+    brackets = _brackets(long, keys, ranks, value, accuracy, whole_range_rows, partitions_per_shard)
     counted = _count_in_brackets(long, keys, brackets, value, len(ranks))
     cumulative = _running_count(counted, keys)
 
@@ -96,28 +103,42 @@ def exact_quantiles(
     return order_statistics(long, [*by, "feature"], [linear_rank(p) for p in probabilities], **tuning)
 
 
-def _brackets(long, keys, ranks, value, accuracy, whole_range_rows) -> DataFrame:
+def _brackets(long, keys, ranks, value, accuracy, whole_range_rows, partitions_per_shard) -> DataFrame:
+    """Rows ``(keys..., n, low0, high0, ...)``: an interval around every wanted rank.
+
+    Each shard brackets the rank among its own rows. The rank in the whole group lies
+    between the least lower and the greatest upper end, however rows fall into shards.
+    """
     margin = 2.0 / accuracy
     low = [max(r.share - margin, 0.0) for r in ranks]
     high = [min(r.share + margin, 1.0) for r in ranks]
-    sketch = long.groupBy(*[quoted(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(value).alias("least"),
-        F.max(value).alias("greatest"),
-        F.percentile_approx(value, low + high, accuracy).alias("cuts"),
+    shard = F.floor(F.spark_partition_id() / partitions_per_shard) % SHARDS
+    by = [quoted(k) for k in keys]
+    sketches = (
+        long.withColumn("shard", shard)
+        .groupBy(*by, "shard")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(value).alias("least"),
+            F.max(value).alias("greatest"),
+            F.percentile_approx(value, low + high, accuracy).alias("cuts"),
+        )
     )
-    whole = F.col("n") <= whole_range_rows
+    ends = []
+    for k in range(len(ranks)):
+        below, above = ("least" if low[k] <= 0.0 else None), ("greatest" if high[k] >= 1.0 else None)
+        ends.append(F.min(F.col(below) if below else F.col("cuts")[k]).alias(f"low{k}"))
+        ends.append(F.max(F.col(above) if above else F.col("cuts")[len(ranks) + k]).alias(f"high{k}"))
+    merged = sketches.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), *ends
+    )
+    whole = F.col("n") <= max(whole_range_rows, LEAST_ROWS_PER_ERROR * accuracy)
     bounds = []
     for k in range(len(ranks)):
-        open_low, open_high = F.lit(low[k] <= 0.0), F.lit(high[k] >= 1.0)
-        bounds.append(F.when(whole | open_low, F.col("least")).otherwise(F.col("cuts")[k]).alias(f"low{k}"))
-        bounds.append(
-            F.when(whole | open_high, F.col("greatest"))
-            .otherwise(F.col("cuts")[len(ranks) + k])
-            .alias(f"high{k}")
-        )
+        bounds.append(F.when(whole, F.col("least")).otherwise(F.col(f"low{k}")).alias(f"low{k}"))
+        bounds.append(F.when(whole, F.col("greatest")).otherwise(F.col(f"high{k}")).alias(f"high{k}"))
     # One row per group and column; broadcast only if it proves small.
-    return small_or_written(sketch.select(*[quoted(k) for k in keys], "n", *bounds), "brackets")
+    return small_or_written(merged.select(*by, "n", *bounds), "brackets")
 
 
 def _count_in_brackets(long, keys, brackets, value, how_many) -> DataFrame:
@@ -126,7 +147,7 @@ def _count_in_brackets(long, keys, brackets, value, how_many) -> DataFrame:
     inside = [(v >= F.col(f"low{k}")) & (v <= F.col(f"high{k}")) for k in range(how_many)]
     passed = [F.when(v > F.col(f"high{k}"), F.lit(k)) for k in range(how_many)]
 
-    segment, w, bin_no = F.when(inside[0], F.lit(0)), None, None
+    segment = F.when(inside[0], F.lit(0))
     for k in range(1, how_many):
         segment = segment.when(inside[k], F.lit(k))
     kept = inside[0]

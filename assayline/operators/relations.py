@@ -24,18 +24,17 @@ def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFr
 def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows ``(feature_x, feature_y, corr)``; each pair uses the rows where both are present.
 
-    Two passes: means first, then plain sums of centred products. Sums that several pairs
-    share are computed once, so ``k`` complete columns need ``k*(k+1)/2`` of them, where
-    ``corr`` would keep six running values per pair. One row of sums reaches the driver.
-    NULL for a constant column.
+    Means first, then plain sums of centred products. Sums that several pairs share are
+    computed once, so ``k`` complete columns need ``k*(k+1)/2`` of them, where ``corr``
+    would keep six running values per pair. Only the sums reach the driver. NULL for a
+    constant column.
     """
     pairs = list(pairs)
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
     facts = {r["feature"]: r for r in _extent(df, names).collect()}
     slot = {c: f"d{i}" for i, c in enumerate(names)}
-    complete = {c for c in names if facts[c]["present"] == facts[c]["rows"]}
+    gaps = {c for c in names if facts[c]["present"] < facts[c]["rows"]}
     constant = {c for c in names if facts[c]["least"] == facts[c]["greatest"]}
-    open_pairs = [(a, b) for a, b in pairs if a != b and not {a, b} & constant]
 
     def total(pair: tuple[str, str], *factors: str) -> str:
         """Sum of a product of centred columns over the rows where the pair is present.
@@ -43,27 +42,38 @@ def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
         A product with a missing factor is missing and drops out of the sum by itself.
         """
         product = "*".join(sorted(slot[f] for f in factors)) or "1D"
-        masks = sorted(slot[c] for c in set(pair) - complete - set(factors))
+        masks = sorted(slot[c] for c in (set(pair) & gaps) - set(factors))
         if masks:
             seen = " AND ".join(f"{m} IS NOT NULL" for m in masks)
             product = f"CASE WHEN {seen} THEN {product} END"
         return f"sum({product})"
 
-    wanted = {
-        (a, b): [total((a, b), *f) for f in ((), (a,), (b,), (a, a), (b, b), (a, b))] for a, b in open_pairs
-    }
-    sums = list(dict.fromkeys(s for needed in wanted.values() for s in needed))
+    def needed(a: str, b: str) -> list[str | float]:
+        """``n, x, y, xx, yy, xy``: sums, or their values where the means already tell them."""
+        sums: list[str | float] = [total((a, b), *f) for f in ((), (a,), (b,), (a, a), (b, b), (a, b))]
+        if b not in gaps:  # the pair is present wherever a is, and there a was centred
+            sums[0], sums[1] = float(facts[a]["present"]), 0.0
+        if a not in gaps:
+            sums[0], sums[2] = float(facts[b]["present"]), 0.0
+        return sums
+
+    wanted = {(a, b): needed(a, b) for a, b in pairs if a != b and not {a, b} & constant}
+    sums = list(dict.fromkeys(s for parts in wanted.values() for s in parts if isinstance(s, str)))
     values: dict[str, float | None] = {}
     if sums:
         centred = df.selectExpr(
             *[f"{present(c)} - {number(facts[c]['mean'])} AS {slot[c]}" for c in names]
         )
-        values = dict(zip(sums, centred.agg(*[F.expr(s) for s in sums]).first()))
+        # Beyond maxFields Spark gives up generated code, which costs more than another pass.
+        width = max(int(df.sparkSession.conf.get("spark.sql.codegen.maxFields", "100")) - 10, 1)
+        for start in range(0, len(sums), width):
+            part = sums[start : start + width]
+            values.update(zip(part, centred.agg(*[F.expr(s) for s in part]).first()))
 
     rows = []
     for a, b in pairs:
         if (a, b) in wanted:
-            rows.append((a, b, _pearson(*[values[s] for s in wanted[a, b]])))
+            rows.append((a, b, _pearson(*[values[s] if isinstance(s, str) else s for s in wanted[a, b]])))
         else:
             rows.append((a, b, None if {a, b} & constant else 1.0))
     return df.sparkSession.createDataFrame(rows, "feature_x string, feature_y string, corr double")

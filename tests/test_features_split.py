@@ -43,7 +43,7 @@ def test_scaling_uses_population_deviation_and_survives_constants(spark):
     assert scaled["b"].tolist() == [0.0, 0.0, 0.0]
 
 
-@pytest.mark.parametrize("tuning", [{}, {"accuracy": 50, "whole_range_rows": 0}])
+@pytest.mark.parametrize("tuning", [{}, {"accuracy": 50, "whole_range_rows": 0, "partitions_per_shard": 1}])
 def test_split_sizes_are_exact_in_every_stratum(spark, tuning):
     sizes = {"hot": 6000, "mid": 997, "ten": 10, "two": 2, "one": 1, None: 33}
     rows = [(f"{s}-{i}", s) for s, n in sizes.items() for i in range(n)]

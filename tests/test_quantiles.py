@@ -21,8 +21,8 @@ def check(rows, groups):
         assert np.allclose(got, want, rtol=1e-12, atol=1e-12)
 
 
-# Accuracy 50 and no whole-range bracket: the sketch is coarse and every rank needs its bracket.
-COARSE = {"accuracy": 50, "whole_range_rows": 0}
+# A coarse sketch, no whole-range bracket for larger groups, one shard per partition.
+COARSE = {"accuracy": 50, "whole_range_rows": 0, "partitions_per_shard": 1}
 
 
 @pytest.mark.parametrize("tuning", [{}, COARSE])
@@ -68,6 +68,12 @@ def test_any_list_with_ties(spark, numbers):
     assert np.allclose([row.q0, row.q1, row.q2], want, rtol=1e-12)
 
 
+def test_shards_with_disjoint_ranges(spark):
+    df = spark.range(0, 30_000, 1, 6).select(F.col("id").cast("double").alias("v"))
+    row = exact_quantiles(df, ["v"], [0.25, 0.5, 0.9], **COARSE).first()
+    assert np.allclose([row.q0, row.q1, row.q2], np.quantile(np.arange(30_000.0), [0.25, 0.5, 0.9]))
+
+
 def test_infinite_values_are_ordered(spark):
     df = spark.createDataFrame([(x,) for x in (float("-inf"), 1.0, 2.0, 3.0, float("inf"))], "v double")
     row = exact_quantiles(df, ["v"], [0.0, 0.5, 1.0]).first()
