@@ -452,10 +452,32 @@ def predict_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*KEY, "prediction", "spread")
 
 
-@query("score_details")
-def score_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("score_details_forest")
+def score_details_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full answer per row: score, half-width, interval, interpretation, model."""
     _, preparation = _prepared(spark, sf_dir)
     rows = dirty_samples(spark, sf_dir)
     scored = score_table(rows, preparation, _trees(spark, sf_dir), "random_forest", details=True)
     return scored.drop(*[c for c in rows.columns if c not in KEY])
+
+
+@query(
+    "score_details",
+    f"""WITH {_JOB}, fresh AS (SELECT {_KEYS}, (coalesce(d.alcohol, m.alcohol) - mean) / sd AS x
+      FROM dirty d CROSS JOIN medians m CROSS JOIN scaler),
+    raw AS (SELECT {_KEYS}, model, my + slope * (x - mx) AS p FROM fresh, chosen JOIN winner USING (model)),
+    scored AS (SELECT *, least(greatest(round_even(p, 1), 1), 10) AS s FROM raw)
+    SELECT {_KEYS}, round(p, 5) AS prediction, s AS predicted_quality,
+      CASE WHEN s <= 4 THEN 'Poor' WHEN s <= 6 THEN 'Average' ELSE 'Good' END AS quality_category,
+      CAST(0.0 AS DOUBLE) AS half_width, printf('%.1f - %.1f', s, s) AS interval,
+      CASE WHEN s <= 4 THEN 'This wine may have noticeable flaws or defects.'
+        WHEN s <= 6 THEN 'This wine is acceptable but not outstanding.'
+        ELSE 'This wine should have good to excellent characteristics.' END AS interpretation,
+      upper(substr(model, 1, 1)) || substr(model, 2) AS model_used FROM scored""",
+)
+def score_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answer from a linear model, whose spread is 0."""
+    _, preparation, trained = _job(spark, sf_dir)
+    rows = dirty_samples(spark, sf_dir)
+    scored = score_table(rows, preparation, trained, details=True)
+    return rounded(scored.drop(*[c for c in rows.columns if c not in KEY]), 5, "prediction")
