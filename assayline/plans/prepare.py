@@ -112,17 +112,18 @@ def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def clean(df: DataFrame, spec: TableSpec, outliers: str | None = None) -> tuple[DataFrame, dict[str, float]]:
     """Median-filled, duplicate-free rows that have a target, and the medians.
 
-    The result is a written table: the following fits read a few of its columns each, and
-    the shuffle that removes duplicates runs once.
+    The result is a written table, or a filter or projection of it under an outlier policy:
+    the following fits read a few of its columns each, and the shuffle that removes
+    duplicates runs once.
     """
     labelled = missing_as_null(df)
     if spec.target:
         labelled = labelled.where(quoted(spec.target).isNotNull())
     medians = fit_medians(labelled, spec.features)
-    filled = drop_duplicates(fill_missing(labelled, medians))
+    cleaned = write_through(drop_duplicates(fill_missing(labelled, medians)), "cleaned")
     if outliers:
-        filled = treat_outliers(filled, spec.features, outliers)
-    return write_through(filled, "cleaned"), medians
+        cleaned = treat_outliers(cleaned, spec.features, outliers)
+    return cleaned, medians
 
 
 def fit_preparation(

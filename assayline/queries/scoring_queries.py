@@ -29,7 +29,6 @@ from assayline.queries.samples import (
     columns,
     dirty_samples,
     rule_cte,
-    samples,
 )
 from assayline.session import fresh_path
 from assayline.spec import SAMPLE_CATEGORIES

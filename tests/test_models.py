@@ -125,6 +125,13 @@ def test_preparation_standardises_train_rows(prepared, synthetic):
     assert set(preparation.labels.values) == {"red", "white"}
 
 
+def test_outlier_policy_of_the_preparation(synthetic):
+    everything = synthetic.count()
+    dropped, _ = fit_preparation(synthetic, SPEC, outliers="drop")
+    clipped, _ = fit_preparation(synthetic, SPEC, outliers="clip")
+    assert 0.5 * everything < dropped.count() < everything == clipped.count()
+
+
 def test_transform_equals_fit_and_never_drops_rows(spark, prepared, synthetic):
     rows, preparation = prepared
     again = preparation.transform(synthetic).select("sample_id", "features")
@@ -245,6 +252,13 @@ def test_job_trains_once(spark, synthetic, tmp_path):
     assert sum(r.is_best for r in summary) == 1
 
 
+def test_job_without_a_key_column(spark, synthetic, tmp_path):
+    rows = synthetic.drop("sample_id")
+    preparation, trained = train_job(rows.unionByName(rows.limit(50)), SAMPLE_SPEC, str(tmp_path / "job"), ["ridge"])
+    scored = score_table(rows.limit(7), preparation, trained)
+    assert scored.count() == 7 and scored.columns == [*rows.columns, "predicted_quality", "quality_category"]
+
+
 def test_constant_target_and_missing_predictions(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.0, 1.0), ("b", 1.0, 2.0), ("b", 1.0, 1.0), ("c", 1.0, None)], "g string, y double, p double")
     got = {r.g: r for r in evaluate.regression_metrics(df, "y", "p", ["g"]).collect()}
