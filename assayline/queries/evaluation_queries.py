@@ -32,7 +32,6 @@ def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics, 6, "mse", "mae", "rmse", "r2")
 
 
-# The reference compares binary fractions; multiples of a tenth make that well defined here too.
 _WITHIN = " UNION ALL ".join(
     f"""SELECT {t}::DOUBLE AS tolerance,
     round(100.0 * avg(CASE WHEN abs(quality - predicted_quality) <= {t} THEN 1.0 ELSE 0.0 END), 4) AS percentage
