@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 # Entries that the memo of one Python worker may hold; beyond that it starts afresh.
-MEMO_UNITS = 400_000
+MEMO_UNITS = 250_000
 # Longer units are encoded each time, so that an entry has a bounded size.
 MEMO_UNIT_CHARS = 64
 
