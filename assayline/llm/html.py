@@ -186,7 +186,8 @@ LABELLED = (
     (7, 0.0, -1, 90, 0.0, 4, 0.5, 0), (3, 0.3, -1, 2, 0.0, 3, 0.3, 0), (55, 0.0, -1, 1, 1.0, 60, 0.0, 0), (10, 0.2, -1, 40, 0.0, 0, 0.0, 0),
     (60, 0.0, 0, 45, 0.0, 80, 0.0, 1), (45, 0.02, 0, 8, 0.0, 60, 0.0, 1), (110, 0.1, 0, 1, 1.0, 30, 0.0, 1), (30, 0.0, 0, 70, 0.0, 25, 0.0, 1),
     (18, 0.0, 0, 60, 0.0, 50, 0.0, 1), (14, 0.0, 0, 40, 0.0, 35, 0.0, 1), (8, 0.0, 0, 3, 0.2, 90, 0.0, 1), (6, 0.0, 0, 50, 0.0, 60, 0.0, 1),
-    (22, 0.0, 0, 12, 0.0, 28, 0.0, 1), (10, 0.0, 0, 0, 0.0, 0, 0.0, 1), (40, 0.0, 0, 0, 0.0, 0, 0.0, 1), (5, 0.0, 0, 0, 0.0, 35, 0.0, 1),
+    (22, 0.0, 0, 12, 0.0, 28, 0.0, 1), (10, 0.0, 0, 0, 0.0, 0, 0.0, 1), (2, 0.0, 0, 0, 0.0, 0, 0.0, 1), (4, 0.0, 0, 0, 0.0, 0, 0.0, 1), (40, 0.0, 0, 0, 0.0, 0, 0.0, 1), (5, 0.0, 0, 0, 0.0, 35, 0.0, 1),
+    (20, 0.0, 0, 20, 0.0, 2, 1.0, 1), (60, 0.0, 0, 50, 0.0, 3, 1.0, 1), (15, 0.0, 0, 30, 0.0, 2, 1.0, 1), (80, 0.0, 0, 4, 0.0, 1, 1.0, 1),
     (4, 1.0, 0, 3, 1.0, 2, 1.0, 0), (1, 1.0, 0, 1, 1.0, 1, 1.0, 0), (6, 0.8, 0, 4, 1.0, 70, 0.0, 0), (12, 0.9, 0, 9, 0.7, 11, 0.9, 0),
     (25, 0.8, 0, 20, 0.7, 30, 0.9, 0), (3, 0.0, 0, 2, 1.0, 3, 1.0, 0), (5, 0.0, 0, 4, 0.6, 2, 0.0, 0), (7, 0.4, 0, 3, 0.5, 5, 0.6, 0),
     (2, 0.0, 0, 3, 0.0, 1, 1.0, 0), (4, 0.0, 0, 2, 0.0, 3, 0.0, 0), (35, 0.6, 0, 5, 0.8, 8, 0.7, 0), (16, 0.7, 0, 60, 0.0, 4, 1.0, 0),

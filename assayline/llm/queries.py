@@ -85,7 +85,59 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-@query("op4_url_filter")
+OP4_SQL = r"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), places AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
+    list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
+      CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '[.][A-Za-z]{1,5}$') ELSE s END) AS parts FROM places
+), labelled AS (
+  SELECT *, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' ELSE 'block' END AS given,
+    array_to_string(CASE WHEN len(parts) > 6 THEN list_concat(parts[1:6], ['**']) ELSE parts END, '/') AS shape FROM ruled
+), counted AS (
+  SELECT host, shape, count(*) AS n, count(given) AS labels, count(*) FILTER (given = 'block') AS blocked FROM labelled GROUP BY ALL
+), split AS (SELECT *, string_split(shape, '/') AS s FROM counted
+), placed AS (
+  SELECT host, shape, n, i AS pos, s[i] AS part, array_to_string(s[1 : i - 1], '/') AS pre
+  FROM split, unnest(range(1, len(s) + 1)) AS t(i)
+), variable AS (
+  SELECT host, pre, pos FROM (SELECT host, pre, pos, part, sum(n) AS n FROM placed GROUP BY ALL)
+  GROUP BY ALL HAVING count(*) >= 10 AND count(*) * 2 > sum(n)
+), general AS (
+  SELECT p.host, p.shape, p.pos, CASE WHEN v.pos IS NOT NULL AND NOT starts_with(p.part, '*') THEN '*' ELSE p.part END AS part
+  FROM placed p LEFT JOIN variable v ON p.host = v.host AND p.pre = v.pre AND p.pos = v.pos
+), shaped AS (
+  SELECT host, shape, string_agg(part, '/' ORDER BY pos) AS template,
+         string_agg(CASE WHEN starts_with(part, '*') THEN part ELSE '?' END, '/' ORDER BY pos) AS form FROM general GROUP BY ALL
+), nodes AS (
+  SELECT s.host, template, form, sum(labels) AS labels, sum(blocked) AS blocked
+  FROM shaped s JOIN counted c ON s.host = c.host AND s.shape = c.shape GROUP BY ALL
+), overall AS (SELECT CASE WHEN sum(labels) > 0 THEN sum(blocked) / sum(labels) ELSE 0 END AS share FROM nodes
+), priors AS (
+  SELECT template, (sum(blocked) + 10 * any_value(share)) / (sum(labels) + 10) AS prior FROM nodes, overall GROUP BY template
+), smoothed AS (SELECT n.*, labels + 10 AS l, blocked + 10 * prior AS b FROM nodes n JOIN priors p ON n.template = p.template
+), pooled AS (SELECT host, form, round(sum(b) / sum(l), 9) AS p FROM smoothed GROUP BY ALL
+), tested AS (
+  SELECT s.*, CASE WHEN abs(b / l - p) > 1.96 * sqrt(p * (1 - p) / l) THEN s.template ELSE s.form || '~' END AS branch
+  FROM smoothed s JOIN pooled q ON s.host = q.host AND s.form = q.form
+), judged AS (
+  SELECT host, template, round(sum(b) OVER w / sum(l) OVER w, 6) AS purity FROM tested WINDOW w AS (PARTITION BY host, form, branch)
+)
+SELECT page_id, r.host, path, rule, coalesce(given, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, s.template, purity
+FROM labelled r JOIN shaped s ON r.host = s.host AND r.shape = s.shape JOIN judged j ON s.host = j.host AND s.template = j.template
+"""
+
+
+@query("op4_url_filter", OP4_SQL)
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.classify(pages).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
