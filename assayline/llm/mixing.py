@@ -110,7 +110,7 @@ def plan(docs: DataFrame, target: Target, id: str = "doc_id", source: str = "sou
     wanted = F.when(F.abs(wanted - F.col("tokens")) <= F.col("tokens") * 1e-9 + 1, F.col("tokens")).otherwise(wanted)
     used = sources.where("tokens > 0").withColumns({"weight": F.round(weight, 9), "wanted": wanted})
     idle = sources.where("tokens = 0").withColumns({"weight": F.lit(0.0), "wanted": F.lit(0).cast("long")})
-    used = used.unionByName(idle).withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("wanted") / F.col("tokens"))).otherwise(1))
+    used = used.unionByName(idle).withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.try_divide("wanted", "tokens"))).otherwise(1))
     used = used.withColumn("rest", F.when(F.col("tokens") > 0, F.col("wanted") - F.col("passes") * F.col("tokens")).otherwise(0))
     used = used.withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS))
     used = write_through(used, "weights")

@@ -86,12 +86,13 @@ def battery(token: Column, kind: Column) -> Column:
     values = F.struct(plain.alias("s"), F.length(plain).cast("double").alias("n"), alphabet.alias("a"), F.length(alphabet).cast("double").alias("k"))
 
     def test(x: Column) -> Column:
-        s, n, a, k = x["s"], x["n"], x["a"], x["k"]
+        # Without enough characters no statistic counts, but each must have a value.
+        s, n, a, k = x["s"], F.greatest(x["n"], F.lit(2.0)), x["a"], x["k"]
         chars = F.filter(F.split(s, ""), lambda c: c != "")
         squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda t, c: t + F.pow(n - F.length(F.replace(s, c, F.lit(""))), 2))
         uniform = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
         places = F.transform(chars, lambda c: F.instr(a, c) - (k + 1) / 2)
-        pairs = F.zip_with(F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        pairs = F.zip_with(F.slice(places, 1, F.greatest(F.size(places) - 1, F.lit(0))), F.slice(places, 2, F.size(places)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
         changes = F.aggregate(pairs, F.lit(0.0), lambda t, y: t + F.when((y["p"] > 0) != (y["q"] > 0), 1.0).otherwise(0.0))
         product = F.aggregate(pairs, F.lit(0.0), lambda t, y: t + y["p"] * y["q"])
         runs = (changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
