@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from assayline.session import write_through
 
+# Links per partition: the tables of a round are dealt out by their number, not by the
+# session's setting, which suits tables of documents.
+LINKS_PER_PARTITION = 100_000
+
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that links reach, for every node with a link.
@@ -21,6 +25,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     edges = write_through(directed(a, b).where("u > v").distinct(), "links")
     state = _state(edges)
+    edges = edges.coalesce(_partitions(state))
     while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -29,6 +34,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(low, "u").select(F.col("v").alias("x"), "m").where("x > m").select(F.col("x").alias("u"), F.col("m").alias("v"))
         edges = write_through(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         before, state = state, _state(edges)
+        edges = edges.coalesce(_partitions(state))
         if state == before:
             break
     nodes = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
@@ -36,6 +42,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return nodes.union(roots)
 
 
+def _partitions(state: tuple) -> int:
+    return -(-state[0] // LINKS_PER_PARTITION) or 1
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)

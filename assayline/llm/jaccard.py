@@ -169,8 +169,7 @@ class Join:
         self.groups = write_through(groups, "groups")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of classes whose sets link."""
-        pairs = write_through(pairs, "pairs")
+        """Pairs (a, b) of classes whose sets link; ``pairs`` is a written table."""
         members = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         wanted = self.classes.join(members, "class", "left_semi").select("id").distinct()
         sets = write_through(set_table(self.docs, wanted, self.width, self.id, self.text), "sets")
@@ -200,9 +199,9 @@ class Join:
 
     def links(self) -> DataFrame:
         """Links (a, b) between classes, enough of them to make every component whole."""
-        first = write_through(self.verified(self.against_least()), "first")
-        second = self.verified(self.across(write_through(connected_components(first), "components")))
-        return first.union(second)
+        first = write_through(self.verified(write_through(self.against_least(), "pairs")), "first")
+        rest = write_through(self.across(write_through(connected_components(first), "components")), "rest")
+        return first if rest.isEmpty() else first.union(self.verified(rest))
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, numerator: int = 90, denominator: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
