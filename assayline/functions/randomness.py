@@ -16,8 +16,15 @@ _SPAN = float(16**_DIGITS)
 
 
 def key_digest(seed: int | str, *key: Column) -> Column:
-    """md5 of ``seed:part|part|...`` as 32 hexadecimal digits."""
-    parts = [F.coalesce(k.cast("string"), F.lit("")) for k in key]
+    """md5 of ``seed:part|part|...`` as 32 hexadecimal digits.
+
+    A part is its length, a colon and its text, or ``N`` for NULL, so different keys never
+    have the same text.
+    """
+    parts = []
+    for k in key:
+        value = k.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("N")))
     return F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws("|", *parts)))
 
 

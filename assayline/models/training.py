@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import itertools
 import json
 import logging
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.models.catalogue import DEFAULT_MODELS, MODELS, ModelConfig
+from assayline.models.gram import cross_validate_linear
+from assayline.models.regression import PenalisedRegression
 from assayline.operators.evaluate import metrics_of_models
 
 log = logging.getLogger(__name__)
@@ -77,12 +80,17 @@ def cross_validate(
     fold: str = "fold",
     folds: int = 3,
     parallelism: int = 4,
+    one_scan: bool = True,
 ) -> list[list[float]]:
     """Mean squared error per grid point and fold.
 
     ``CrossValidator`` would check a given fold column with a Python function per row and
-    scan the held-out rows once per grid point. Here one scan per fold scores all points.
+    scan the held-out rows once per grid point. Here one scan per fold scores all points, and
+    penalised linear models need one scan in all (see ``gram``); ``one_scan=False`` is for
+    tables of so many columns that their products are too many.
     """
+    if one_scan and isinstance(estimator, PenalisedRegression):
+        return cross_validate_linear(df, estimator, points, label, fold, folds)
     errors: list[list[float]] = [[] for _ in points]
     for held_out in range(folds):
         training = df.where(F.col(fold) != held_out)
@@ -93,6 +101,8 @@ def cross_validate(
             columns[str(i)] = f"__p{i}"
             validation = model.transform(validation, {model.predictionCol: f"__p{i}"})
         for row in metrics_of_models(validation, label, columns, by=()).collect():
+            if row["mse"] is None:
+                raise ValueError(f"fold {held_out} holds no labelled rows")
             errors[int(row["model"])].append(row["mse"])
     return errors
 
@@ -120,6 +130,7 @@ def train_one(
     fold: str = "fold",
     split: str = "split",
     parallelism: int = 4,
+    one_scan: bool = True,
 ) -> Trained:
     """Search the grid by cross-validation on the train rows, refit the best point on all of them.
 
@@ -133,7 +144,7 @@ def train_one(
     estimator = config.build(seed)
     points = grid_points(config.grid) if tune and config.grid else [{}]
     train = df.where(F.col(split) == "train").select("features", label, fold)
-    errors = cross_validate(train, estimator, points, label, fold, folds, parallelism)
+    errors = cross_validate(train, estimator, points, label, fold, folds, parallelism, one_scan)
     scores = [(statistics.fmean(e), i) for i, e in enumerate(errors)]
     mean, best = min(scores)
     model = _fit_points(train, estimator, [points[best]], label, 1)[0]
@@ -154,7 +165,13 @@ def train_all(
     tune: bool = True,
     **options,
 ) -> ModelSet:
-    """Train several models; one that fails is recorded and skipped. Then choose the best."""
+    """Train several models; one that fails is recorded and skipped. Then choose the best.
+
+    Unknown options raise before any training; if no model is left, the recorded errors are
+    raised.
+    """
+    if unknown := set(options) - set(inspect.signature(train_one).parameters):
+        raise TypeError(f"unknown options: {', '.join(sorted(unknown))}")
     trained = ModelSet()
     for name in names:
         try:
@@ -162,6 +179,8 @@ def train_all(
         except Exception as failure:  # noqa: BLE001 - any failure of one model is reported as such
             log.warning("training %s failed: %s", name, failure)
             trained.errors[name] = str(failure)
+    if names and not trained.models:
+        raise RuntimeError("; ".join(f"{name}: {error}" for name, error in trained.errors.items()))
     choose_best(trained, df, label, options.get("split", "split"))
     return trained
 

@@ -15,7 +15,7 @@ from assayline.operators.wide import identifier, number, numeric_columns, per_co
 _FLOATING = (T.DoubleType, T.FloatType)
 
 
-def _missing(kind: T.DataType, name: str) -> str:
+def is_missing(kind: T.DataType, name: str) -> str:
     """Test for NULL or NaN as SQL text."""
     test = f"{identifier(name)} IS NULL"
     return f"({test} OR isnan({identifier(name)}))" if isinstance(kind, _FLOATING) else test
@@ -27,7 +27,7 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return per_column(
         df,
         columns or df.columns,
-        lambda c: {"missing": f"count_if({_missing(kinds[c], c)})", "rows": "count(1)"},
+        lambda c: {"missing": f"count_if({is_missing(kinds[c], c)})", "rows": "count(1)"},
     )
 
 
@@ -47,7 +47,7 @@ def fill_missing(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
         # only where they have to.
         if isinstance(kind, T.IntegralType) and not float(value).is_integer():
             kind = T.DoubleType()
-        choice = f"CASE WHEN {_missing(kinds[name], name)} THEN {number(value)} ELSE {identifier(name)} END"
+        choice = f"CASE WHEN {is_missing(kinds[name], name)} THEN {number(value)} ELSE {identifier(name)} END"
         filled[name] = F.expr(f"CAST({choice} AS {kind.simpleString()})")
     return df.withColumns(filled) if filled else df
 
@@ -57,14 +57,31 @@ def impute_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return fill_missing(df, fit_medians(df, columns or numeric_columns(df)))
 
 
+def row_digest(df: DataFrame) -> Column:
+    """256-bit digest of all columns; NULL is a value, and lengths keep columns apart.
+
+    Floating zeros of either sign are equal, as they are to Spark's grouping.
+    """
+    parts = []
+    for f in df.schema.fields:
+        value = quoted(f.name)
+        if isinstance(f.dataType, _FLOATING):
+            value = value + F.lit(0.0)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(F.struct(value))
+        value = value.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("N")))
+    return F.sha2(F.concat_ws(";", *parts), 256)
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row ``(rows, distinct_rows, duplicates)``.
 
-    Equal rows are counted on the map side first, so however often one row repeats, a
-    task sends it once.
+    Only digests of rows are shuffled, so long texts stay where they are. Equal rows are
+    counted on the map side first: however often one row repeats, a task sends it once.
     """
     return (
-        df.groupBy(*[quoted(c) for c in df.columns])
+        df.select(F.unhex(row_digest(df)).alias("digest")).groupBy("digest")
         .agg(F.count(F.lit(1)).alias("copies"))
         .agg(
             F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.operators.wide import identifier, number, quoted, stacked_aggregate, text
+from assayline.operators.wide import identifier, number, present, quoted, stacked_aggregate, text
+from assayline.session import write_through
 
 TOLERANCES = (0.5, 1.0, 1.5)
 
@@ -18,7 +19,7 @@ def metric_expressions(actual: str, predicted: str) -> dict[str, str]:
     R² uses the population variance, whose partial results merge without cancellation. On
     a constant target it is 1 for a perfect and 0 for any other prediction.
     """
-    y, p = identifier(actual), identifier(predicted)
+    y, p = present(actual), present(predicted)
     error = f"CAST({y} - {p} AS DOUBLE)"
     mse = f"avg({error} * {error})"
     spread = f"var_pop(CASE WHEN {p} IS NOT NULL THEN CAST({y} AS DOUBLE) END)"
@@ -129,14 +130,18 @@ def score_summary(df: DataFrame, score: str, category: str) -> DataFrame:
         F.min(quoted(score)).alias("least"),
         F.max(quoted(score)).alias("greatest"),
     )
-    # One row per category is left, so the totals are windows over a handful of rows.
-    every = Window.partitionBy()
+    per_category = write_through(per_category, "score-summary")
+    # Totals are constants of the plan: no window gathers the categories.
+    total, score_sum, scored, least, greatest = per_category.agg(
+        F.sum("count"), F.sum("score_sum"), F.sum("scored"), F.min("least"), F.max("greatest")
+    ).first()
+    kind = df.schema[score].dataType
     return per_category.select(
         quoted(category),
         "count",
-        (F.lit(100.0) * F.col("count") / F.sum("count").over(every)).alias("percentage"),
-        F.sum("count").over(every).alias("total"),
-        F.try_divide(F.sum("score_sum").over(every), F.sum("scored").over(every)).alias("average"),
-        F.min("least").over(every).alias("min_score"),
-        F.max("greatest").over(every).alias("max_score"),
+        F.try_divide(F.lit(100.0) * F.col("count"), F.lit(float(total or 0))).alias("percentage"),
+        F.lit(total).cast("bigint").alias("total"),
+        F.lit(score_sum / scored if scored else None).cast("double").alias("average"),
+        F.lit(least).cast(kind).alias("min_score"),
+        F.lit(greatest).cast(kind).alias("max_score"),
     )

@@ -5,15 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayline.operators.wide import identifier, number, per_column, quoted
-from assayline.session import SMALL_TABLE_ROWS, lookup_join, small_or_written, write_through
-
-# Up to this many labels the codes are an inline expression instead of a join.
-INLINE_LABELS = 32
+from assayline.session import lookup_join, write_through
 
 
 def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -22,38 +19,29 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Labels:
-    """Codes 0..k-1 of the sorted labels: inline if few, a ``(label, code)`` table otherwise."""
+    """Codes 0..k-1 of the sorted labels, as a written ``(label, code)`` table.
 
-    values: tuple[str, ...] | None = None
-    table: DataFrame | None = None
+    The planner knows its size and broadcasts it where it is small; a vocabulary of any size
+    is used in the same way.
+    """
 
-    def as_table(self, spark: SparkSession) -> DataFrame:
-        if self.table is not None:
-            return self.table
-        rows = [(v, i) for i, v in enumerate(self.values)]
-        return spark.createDataFrame(rows, "label string, code int")
+    table: DataFrame | None = None
 
     def encode(self, df: DataFrame, column: str, unseen: int = 0) -> DataFrame:
         """Replace ``column`` by its code; NULL and labels not seen at fit get ``unseen``."""
-        if self.values is not None and len(self.values) <= INLINE_LABELS:
-            chain = F.when(quoted(column).isNull(), F.lit(unseen))
-            for code, label in enumerate(self.values):
-                chain = chain.when(quoted(column) == label, F.lit(code))
-            return df.withColumn(column, chain.otherwise(F.lit(unseen)))
-        table = self.as_table(df.sparkSession).withColumnRenamed("label", column)
-        if self.values is not None:
-            table = F.broadcast(table)  # at most SMALL_TABLE_ROWS labels
-        joined = lookup_join(df, table, [column])
-        return joined.withColumn(column, F.coalesce("code", F.lit(unseen))).drop("code")
-
-
-def fit_labels(df: DataFrame, column: str, max_inline: int = SMALL_TABLE_ROWS) -> Labels:
+        if self.table is None:
+            return df.withColumn(column, F.lit(unseen))
+        names = df.columns
+        joined = df.join(self.table.select(F.col("label").alias("__label"), F.col("code").alias("__code_of")), quoted(column) == F.col("__label"), "left")
+        code = F.coalesce("__code_of", F.lit(unseen)).cast("int").alias(column)
+        return joined.select(*[code if c == column else quoted(c) for c in names])
+
+
+def fit_labels(df: DataFrame, column: str) -> Labels:
     """Learn label codes; a vocabulary of any size is numbered without one global sort task."""
     labels = df.where(quoted(column).isNotNull()).select(quoted(column).alias("label")).distinct()
-    head = labels.orderBy("label").limit(max_inline + 1).collect()
-    if len(head) <= max_inline:
-        return Labels(values=tuple(r["label"] for r in head))
-    return Labels(table=number_sorted(labels, "label", "code"))
+    numbered = number_sorted(labels, "label", "code").withColumn("code", F.col("code").cast("int"))
+    return Labels(write_through(numbered, "label-codes"))
 
 
 def number_sorted(df: DataFrame, column: str, number: str) -> DataFrame:
@@ -67,7 +55,7 @@ def number_sorted(df: DataFrame, column: str, number: str) -> DataFrame:
     sizes = ranged.groupBy("range_id").agg(F.count(F.lit(1)).alias("size"))
     running = Window.partitionBy().orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("range_id", F.coalesce(F.sum("size").over(running), F.lit(0)).alias("before"))
-    offsets = small_or_written(offsets, "label-offsets")
+    offsets = write_through(offsets, "label-offsets")
     inside = Window.partitionBy("range_id").orderBy(column)
     numbered = ranged.withColumn("position", F.row_number().over(inside)).join(offsets, "range_id")
     return numbered.select(column, (F.col("before") + F.col("position") - 1).alias(number))

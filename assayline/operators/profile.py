@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.operators.cleaning import duplicate_count, missing_counts
+from assayline.operators.cleaning import duplicate_count, is_missing, missing_counts
 from assayline.operators.quantiles import exact_quantiles
 from assayline.operators.relations import top_correlated
 from assayline.operators.wide import identifier, numeric_columns, per_column, present, quoted, text
-from assayline.session import lookup_join, small_or_written
+from assayline.session import lookup_join, write_through
 
 
 def table_info(df: DataFrame) -> DataFrame:
     """Rows ``(position, feature, dtype, non_null, rows, columns)``."""
     dtypes = dict(df.dtypes)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     order = {c: i for i, c in enumerate(df.columns)}
     return per_column(
         df,
@@ -24,7 +25,7 @@ def table_info(df: DataFrame) -> DataFrame:
         lambda c: {
             "position": str(order[c]),
             "dtype": text(dtypes[c]),
-            "non_null": f"count({identifier(c)})",
+            "non_null": f"count_if(NOT {is_missing(kinds[c], c)})",
             "rows": "count(1)",
             "columns": str(len(order)),
         },
@@ -63,20 +64,18 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str, by_frequency: bool = False) -> DataFrame:
     """Rows ``(column, count)`` without missing values, by value or by falling count."""
-    counts = df.where(quoted(column).isNotNull()).groupBy(quoted(column)).count()
+    kind = df.schema[column].dataType
+    counts = df.where(f"NOT {is_missing(kind, column)}").groupBy(quoted(column)).count()
     order = [F.desc("count"), quoted(column)] if by_frequency else [quoted(column)]
     return counts.orderBy(*order)
 
 
 def category_share(df: DataFrame, column: str) -> DataFrame:
     """Rows ``(column, count, percentage)``."""
-    counts = df.groupBy(quoted(column)).count()
-    return counts.withColumn("percentage", _share_of_all(counts, "count"))
-
-
-def _share_of_all(counts: DataFrame, count: str) -> Column:
-    # Runs over one row per category, not over the table.
-    return F.lit(100.0) * F.col(count) / F.sum(count).over(Window.partitionBy())
+    counts = write_through(df.groupBy(quoted(column)).count(), "category-counts")
+    # The number of rows is a constant of the plan: no window gathers the categories.
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return counts.withColumn("percentage", F.try_divide(F.lit(100.0) * F.col("count"), F.lit(float(total))))
 
 
 def equality_share(df: DataFrame, column: str, value) -> DataFrame:
@@ -146,7 +145,7 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
         (F.col("q0") - reach).alias("fence_low"),
         (F.col("q2") + reach).alias("fence_high"),
     )
-    boxes = small_or_written(boxes, "boxes")
+    boxes = write_through(boxes, "boxes")
     slim = df.select(*[quoted(b) for b in by], F.expr(present(column)).alias("value"))
     located = lookup_join(slim.where(F.col("value").isNotNull()), boxes, list(by))
     inside = F.col("value").between(F.col("fence_low"), F.col("fence_high"))
@@ -174,7 +173,9 @@ def eda_summary(df: DataFrame, target: str, category: str | None = None, top: in
     features = numeric_columns(df, exclude=[target])
     total = missing_counts(df).agg(F.sum("missing").alias("missing_values"), F.max("rows").alias("n_rows"))
     duplicates = duplicate_count(df).select("duplicates")
-    extent = df.agg(F.min(quoted(target)).alias("target_min"), F.max(quoted(target)).alias("target_max"))
+    kind = df.schema[target].dataType
+    known = F.expr(f"CASE WHEN NOT {is_missing(kind, target)} THEN {identifier(target)} END")
+    extent = df.agg(F.min(known).alias("target_min"), F.max(known).alias("target_max"))
     best = top_correlated(df, features, target, top).agg(
         F.sort_array(F.collect_list(F.struct("rank", "feature", "abs_corr"))).alias("top_features")
     )

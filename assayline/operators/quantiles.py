@@ -3,12 +3,15 @@
 ``percentile`` merges a map of all distinct values of a group in one task, which does
 not hold for billions of distinct measurements. Here
 
-1. one pass brackets each wanted rank with ``percentile_approx`` (a bounded sketch),
-2. one pass counts values: those inside a bracket one by one, those between brackets
-   as a single block (so map-side combining leaves little to shuffle),
-3. the running count over brackets and bins of a bracket gives exact ranks.
-
-The sketch only decides where to look: a rank found outside its bracket raises.
+1. one pass fills a KLL sketch per group and column, and the sketches are merged in a tree,
+   so that no task merges those of all partitions. A sketch's error is relative to the
+   rank in the whole group, however values are laid out,
+2. one pass counts the values below and inside a narrow bracket around each wanted rank,
+   and brackets that miss their rank are widened,
+3. one pass counts the values inside the brackets one by one, in bins of equal depth.
+
+Sketches only decide where to look; all counts are exact. No pass turns a row into one row
+per column: only the values inside brackets leave their row.
 """
 
 from __future__ import annotations
@@ -19,20 +22,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.operators.wide import long_values, quoted
-from assayline.session import lookup_join, small_or_written
+from assayline.operators.wide import identifier, number, per_column, present, quoted, text
+from assayline.session import lookup_join, write_through
 
-SKETCH_ACCURACY = 2_000
-# Up to this many values per group a bracket spans the whole range.
-WHOLE_RANGE_ROWS = 50_000
-# A margin of one sketch error beyond the guaranteed one covers the neighbouring rank only
-# from this many errors' worth of rows on; smaller groups get the whole range in any case.
-LEAST_ROWS_PER_ERROR = 4
-BINS = 1_024
-# Merging sketches costs more than filling them, so no task merges those of all partitions:
-# blocks of this many partitions are dealt out to at most this many shards.
-PARTITIONS_PER_SHARD = 64
-SHARDS = 64
+# Size of a sketch (about 14 KB) and a bracket's reach in shares of the group, three times the
+# error that the sketch exceeds once in a hundred times.
+SKETCH_K = 1_000
+MARGIN = 0.004
+# Parts of a bracket that hold about equally many values.
+BINS = 32
+# Sketches that one task merges at a time; two levels of it stand before the last one.
+FAN_IN = 64
 
 
 @dataclass(frozen=True)
@@ -48,50 +48,18 @@ def linear_rank(probability: float) -> Rank:
     return Rank(probability, lambda n: (n - 1) * F.lit(probability))
 
 
-def order_statistics(
-    long: DataFrame,
-    keys: Sequence[str],
-    ranks: Sequence[Rank],
-    value: str = "value",
-    accuracy: int = SKETCH_ACCURACY,
-    whole_range_rows: int = WHOLE_RANGE_ROWS,
-    partitions_per_shard: int = PARTITIONS_PER_SHARD,
-) -> DataFrame:
-    """Rows ``(keys..., n, q0, q1, ...)`` with the exact ranked values of each group.
+def order_statistics(long: DataFrame, keys: Sequence[str], ranks: Sequence[Rank], value: str = "value", **tuning) -> DataFrame:
+    """Rows ``(keys..., n, q0, q1, ...)`` with the exact ranked values of column ``value``.
 
-    ``value`` must hold non-missing doubles. Fractional positions are interpolated
-    linearly between their neighbours.
+    Missing values are ignored. Fractional positions are interpolated linearly between their
+    neighbours.
     """
-    keys = list(keys)
     ranks = sorted(ranks, key=lambda r: r.share)
-    brackets = _brackets(long, keys, ranks, value, accuracy, whole_range_rows, partitions_per_shard)
-    counted = _count_in_brackets(long, keys, brackets, value, len(ranks))
-    cumulative = _running_count(counted, keys)
-
-    picks = []
-    for k, rank in enumerate(ranks):
-        position = rank.position(F.col("n"))
-        for side, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            reached = F.col("running") > index
-            picks.append(F.min(F.when(reached & ~F.col("block"), F.col("w"))).alias(f"{side}{k}"))
-            picks.append(F.min(F.when(reached & F.col("block"), F.col("w"))).alias(f"{side}{k}_block"))
-    picked = cumulative.groupBy(*[quoted(c) for c in keys], "n").agg(*picks)
-
-    values = []
-    for k, rank in enumerate(ranks):
-        position = rank.position(F.col("n"))
-        low, high = _checked(f"lo{k}"), _checked(f"hi{k}")
-        step = (high - low) * (position - F.floor(position))
-        values.append(F.when(low == high, low).otherwise(low + step).alias(f"q{k}"))
-    return picked.select(*[quoted(c) for c in keys], "n", *values)
+    return Search(long, [value], list(keys), ranks, **tuning).result().drop("feature")
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    by: Sequence[str] = (),
-    **tuning: int,
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = (), **tuning
 ) -> DataFrame:
     """Rows ``(by..., feature, n, q0, q1, ...)``; missing values are ignored.
 
@@ -99,106 +67,127 @@ def exact_quantiles(
     """
     if list(probabilities) != sorted(probabilities):
         raise ValueError("probabilities must be ascending")
-    long = long_values(df, columns, by)
-    return order_statistics(long, [*by, "feature"], [linear_rank(p) for p in probabilities], **tuning)
-
-
-def _brackets(long, keys, ranks, value, accuracy, whole_range_rows, partitions_per_shard) -> DataFrame:
-    """Rows ``(keys..., n, low0, high0, ...)``: an interval around every wanted rank.
-
-    Each shard brackets the rank among its own rows. The rank in the whole group lies
-    between the least lower and the greatest upper end, however rows fall into shards.
-    """
-    margin = 2.0 / accuracy
-    low = [max(r.share - margin, 0.0) for r in ranks]
-    high = [min(r.share + margin, 1.0) for r in ranks]
-    shard = F.floor(F.spark_partition_id() / partitions_per_shard) % SHARDS
-    by = [quoted(k) for k in keys]
-    sketches = (
-        long.withColumn("shard", shard)
-        .groupBy(*by, "shard")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(value).alias("least"),
-            F.max(value).alias("greatest"),
-            F.percentile_approx(value, low + high, accuracy).alias("cuts"),
-        )
-    )
-    ends = []
-    for k in range(len(ranks)):
-        below, above = ("least" if low[k] <= 0.0 else None), ("greatest" if high[k] >= 1.0 else None)
-        ends.append(F.min(F.col(below) if below else F.col("cuts")[k]).alias(f"low{k}"))
-        ends.append(F.max(F.col(above) if above else F.col("cuts")[len(ranks) + k]).alias(f"high{k}"))
-    merged = sketches.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), *ends
-    )
-    whole = F.col("n") <= max(whole_range_rows, LEAST_ROWS_PER_ERROR * accuracy)
-    bounds = []
-    for k in range(len(ranks)):
-        bounds.append(F.when(whole, F.col("least")).otherwise(F.col(f"low{k}")).alias(f"low{k}"))
-        bounds.append(F.when(whole, F.col("greatest")).otherwise(F.col(f"high{k}")).alias(f"high{k}"))
-    # One row per group and column; broadcast only if it proves small.
-    return small_or_written(merged.select(*by, "n", *bounds), "brackets")
-
-
-def _count_in_brackets(long, keys, brackets, value, how_many) -> DataFrame:
-    located = lookup_join(long, brackets, keys)
-    v = F.col(value)
-    inside = [(v >= F.col(f"low{k}")) & (v <= F.col(f"high{k}")) for k in range(how_many)]
-    passed = [F.when(v > F.col(f"high{k}"), F.lit(k)) for k in range(how_many)]
-
-    segment = F.when(inside[0], F.lit(0))
-    for k in range(1, how_many):
-        segment = segment.when(inside[k], F.lit(k))
-    kept = inside[0]
-    for test in inside[1:]:
-        kept = kept | test
-    # A value between brackets joins the block right after the last bracket it passed.
-    last_passed = F.coalesce(*reversed(passed), F.lit(-1))
-    segment = segment.otherwise(last_passed)
-    w = F.when(kept, v)
-    bin_no = F.when(~kept, F.lit(BINS + 2))
-    for k in range(how_many):
-        here = segment == k
-        w = w.when(here, F.col(f"high{k}"))
-        bin_no = bin_no.when(
-            here, F.coalesce(F.width_bucket(v, F.col(f"low{k}"), F.col(f"high{k}"), F.lit(BINS)), F.lit(0))
-        )
-    w = w.otherwise(F.lit(float("-inf")))
-    return (
-        located.select(
-            *[quoted(c) for c in keys],
-            "n",
-            segment.alias("segment"),
-            bin_no.cast("int").alias("bin"),
-            w.alias("w"),
-            (~kept).alias("block"),
+    return Search(df, list(columns), list(by), [linear_rank(p) for p in probabilities], **tuning).result()
+
+
+class Search:
+    """One search over some columns; ``k``, ``margin`` and ``fan_in`` are there for tests."""
+
+    def __init__(
+        self, df: DataFrame, columns: list[str], by: list[str], ranks: Sequence[Rank],
+        k: int = SKETCH_K, margin: float = MARGIN, fan_in: int = FAN_IN,
+    ):
+        self.columns, self.by, self.ranks = columns, by, list(ranks)
+        self.keys = [quoted(b) for b in by]
+        self.values = df.select(*self.keys, *[F.expr(present(c)).alias(f"__v{i}") for i, c in enumerate(columns)])
+        self.sketches = write_through(self._sketches(k, fan_in), "sketches")
+        while True:
+            self.brackets = write_through(self._brackets(margin), "brackets")
+            self.located = self._located()
+            self.counts = write_through(self._counts(), "bracket-counts")
+            if margin >= 1.0 or self._missed().isEmpty():
+                break
+            margin = min(1.0, margin * 8)
+
+    def _sketches(self, k: int, fan_in: int) -> DataFrame:
+        """Rows ``(by..., feature, n, sketch, least, greatest)`` of the columns that hold values."""
+        names = range(len(self.columns))
+        first, later = [], []
+        for i in names:
+            v = f"__v{i}"
+            first += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"l{i}"), F.max(v).alias(f"g{i}"), F.expr(f"kll_sketch_agg_double({v}, {k})").alias(f"s{i}")]
+            later += [F.sum(f"n{i}").alias(f"n{i}"), F.min(f"l{i}").alias(f"l{i}"), F.max(f"g{i}").alias(f"g{i}"), F.expr(f"kll_merge_agg_double(s{i}, {k})").alias(f"s{i}")]
+        level = self.values.withColumn("__part", F.floor(F.spark_partition_id() / fan_in)).groupBy(*self.keys, "__part").agg(*first)
+        level = level.withColumn("__part", F.floor(F.col("__part") / fan_in)).groupBy(*self.keys, "__part").agg(*later)
+        whole = level.groupBy(*self.keys).agg(*later)
+        cells = ", ".join(f"named_struct('feature', {text(c)}, 'n', n{i}, 'sketch', s{i}, 'least', l{i}, 'greatest', g{i})" for i, c in enumerate(self.columns))
+        return whole.selectExpr(*[identifier(b) for b in self.by], f"inline(array({cells}))").where("n > 0")
+
+    def _brackets(self, margin: float) -> DataFrame:
+        """Rows ``(by..., feature, n, b)``: per rank its ends and the inner edges of its bins.
+
+        A group so small that the margin is less than two ranks is a bracket as a whole.
+        """
+        cells = []
+        for rank in self.ranks:
+            low, high = max(rank.share - margin, 0.0), min(rank.share + margin, 1.0)
+            wanted = ", ".join(number(min(low + (high - low) * j / BINS, 1.0)) for j in range(BINS + 1))
+            cuts = f"kll_sketch_get_quantile_double(sketch, array({wanted}))"
+            whole = f"n * {number(margin)} < 2"
+            cells.append(
+                f"named_struct('low', if({low <= 0.0} OR {whole}, least, {cuts}[0]), 'high', if({high >= 1.0} OR {whole}, greatest, {cuts}[{BINS}]), "
+                f"'edges', slice({cuts}, 2, {BINS - 1}))"
+            )
+        return self.sketches.selectExpr(*[identifier(b) for b in self.by], "feature", "n", f"array({', '.join(cells)}) AS b")
+
+    def _located(self) -> DataFrame:
+        """The values beside their group's brackets, one column ``__b`` per value column."""
+        wide = self.brackets.groupBy(*self.keys).agg(*[F.first(F.when(F.col("feature") == c, F.col("b")), True).alias(f"__b{i}") for i, c in enumerate(self.columns)])
+        if self.by:
+            return lookup_join(self.values, write_through(wide, "wide-brackets"), self.by)
+        # Without groups the brackets are a few numbers per column: constants of the plan.
+        row = wide.first()
+        return self.values.withColumns({f"__b{i}": _constant(row[f"__b{i}"]) for i in range(len(self.columns))})
+
+    def _counts(self) -> DataFrame:
+        """Rows ``(by..., feature, below, inside)``: counts per rank."""
+        def measures(c: str) -> dict[str, str]:
+            i = self.columns.index(c)
+            below = ", ".join(f"count_if(__v{i} < __b{i}[{k}].low)" for k in range(len(self.ranks)))
+            inside = ", ".join(f"count_if(__v{i} BETWEEN __b{i}[{k}].low AND __b{i}[{k}].high)" for k in range(len(self.ranks)))
+            return {"below": f"array({below})", "inside": f"array({inside})"}
+
+        return per_column(self.located, self.columns, measures, self.by)
+
+    def _positions(self) -> DataFrame:
+        """Rows ``(by..., feature, n, k, position, below, inside)``, one per wanted rank."""
+        counts = lookup_join(self.brackets.drop("b"), self.counts, [*self.by, "feature"])
+        cells = F.array(*[
+            F.struct(F.lit(k).alias("k"), rank.position(F.col("n")).cast("double").alias("position"), F.col("below")[k].alias("below"), F.col("inside")[k].alias("inside"))
+            for k, rank in enumerate(self.ranks)
+        ])
+        return counts.select(*self.keys, "feature", "n", F.inline(cells))
+
+    def _missed(self) -> DataFrame:
+        found = (F.col("below") <= F.floor("position")) & (F.ceil("position") < F.col("below") + F.col("inside"))
+        return self._positions().where(~found)
+
+    def inside(self) -> DataFrame:
+        """Rows ``(by..., feature, k, bin, value, rows)``: the values inside brackets, counted."""
+        cells = []
+        for i, c in enumerate(self.columns):
+            for k in range(len(self.ranks)):
+                b = f"__b{i}[{k}]"
+                inside = f"coalesce(__v{i} BETWEEN {b}.low AND {b}.high, false)"
+                cells.append(f"if({inside}, named_struct('feature', {text(c)}, 'k', {k}, 'value', __v{i}, 'edges', {b}.edges), NULL)")
+        emitted = self.located.selectExpr(*[identifier(b) for b in self.by], f"inline(filter(array({', '.join(cells)}), x -> x IS NOT NULL))")
+        emitted = emitted.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("value"))))
+        return emitted.groupBy(*self.keys, "feature", "k", "bin", "value").agg(F.count(F.lit(1)).alias("rows"))
+
+    def result(self) -> DataFrame:
+        """Rows ``(by..., feature, n, q0, q1, ...)``.
+
+        The running count has two levels: over the bins of a bracket, then inside a bin.
+        """
+        counted = self.inside()
+        bracket = [*self.by, "feature", "k"]
+        over_bins = Window.partitionBy(*[quoted(b) for b in bracket]).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        in_bin = Window.partitionBy(*[quoted(b) for b in bracket], "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bins = counted.groupBy(*[quoted(b) for b in bracket], "bin").agg(F.sum("rows").alias("bin_rows"))
+        bins = bins.withColumn("before", F.coalesce(F.sum("bin_rows").over(over_bins), F.lit(0))).drop("bin_rows")
+        running = lookup_join(counted, bins, [*bracket, "bin"]).withColumn("upto", F.col("before") + F.sum("rows").over(in_bin))
+        running = lookup_join(running, self._positions(), bracket).withColumn("upto", F.col("upto") + F.col("below"))
+        picked = running.groupBy(*[quoted(b) for b in bracket], "n", "position").agg(
+            F.min(F.when(F.col("upto") > F.floor("position"), F.col("value"))).alias("low"),
+            F.min(F.when(F.col("upto") > F.ceil("position"), F.col("value"))).alias("high"),
         )
-        .groupBy(*[quoted(c) for c in keys], "n", "segment", "bin", "w", "block")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+        step = (F.col("high") - F.col("low")) * (F.col("position") - F.floor("position"))
+        picked = picked.withColumn("q", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + step))
+        return picked.groupBy(*self.keys, "feature", "n").agg(*[F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"q{k}") for k in range(len(self.ranks))])
 
 
-def _running_count(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact running count in two levels: over bins, then inside a bin.
-
-    The outer window sees at most ``BINS + 3`` rows per rank and group, the inner one the
-    distinct values of one bin.
-    """
-    outer = Window.partitionBy(*[quoted(k) for k in keys]).orderBy("segment", "bin")
-    inner = Window.partitionBy(*[quoted(k) for k in keys], "segment", "bin").orderBy("w")
-    so_far = Window.unboundedPreceding
-    offsets = (
-        counted.groupBy(*[quoted(k) for k in keys], "segment", "bin")
-        .agg(F.sum("rows").alias("bin_rows"))
-        .withColumn("before", F.sum("bin_rows").over(outer.rowsBetween(so_far, -1)))
-        .drop("bin_rows")
-    )
-    joined = lookup_join(counted, offsets, [*keys, "segment", "bin"])
-    inside = F.sum("rows").over(inner.rowsBetween(so_far, Window.currentRow))
-    return joined.withColumn("running", F.coalesce("before", F.lit(0)) + inside)
-
-
-def _checked(pick: str) -> Column:
-    missed = F.col(pick).isNull() | (F.col(f"{pick}_block") < F.col(pick))
-    return F.when(missed, F.raise_error(F.lit("rank outside its bracket"))).otherwise(F.col(pick))
+def _constant(brackets) -> Column:
+    if brackets is None:
+        return F.expr("CAST(NULL AS array<struct<low:double,high:double,edges:array<double>>>)")
+    cells = [f"named_struct('low', {number(b['low'])}, 'high', {number(b['high'])}, 'edges', array({', '.join(map(number, b['edges']))}))" for b in brackets]
+    return F.expr(f"array({', '.join(cells)})")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assayline.functions.randomness import hash_number, key_digest
 from assayline.operators.quantiles import Rank, order_statistics
 from assayline.operators.wide import quoted
-from assayline.session import lookup_join, small_or_written
+from assayline.session import lookup_join, write_through
 
 SPLITS = ("train", "val", "test")
 # Upper ends of train and validation in tenths of a stratum: 60/20/20.
@@ -47,7 +47,7 @@ def stratified_split(
     draw = hash_number(key_digest(seed, *[quoted(k) for k in key])).cast("double")
     draws = df.select(quoted(stratum), draw.alias("value"))
     limits = order_statistics(draws, [stratum], [_last_of(c) for c in cuts], **tuning)
-    limits = small_or_written(limits.select(quoted(stratum), "q0", "q1"), "split-limits")
+    limits = write_through(limits.select(quoted(stratum), "q0", "q1"), "split-limits")
     located = lookup_join(df.withColumn("__draw", draw), limits, [stratum])
     split = (
         F.when(F.col("__draw") <= F.col("q0"), SPLITS[0])

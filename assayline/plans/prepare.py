@@ -34,7 +34,8 @@ class Preparation:
         """Append the model columns as vector ``features``; rows and columns stay as they are.
 
         Missing values take the fitted medians, an unseen or missing category code 0, an
-        absent column 0. The result is a projection of the input without any shuffle.
+        absent column 0. The result is a projection of the input, with one lookup of the category's
+        code in the labels' table, which the planner broadcasts where it is small.
         """
         if self.spec.category and self.spec.category in df.columns:
             original = quoted(self.spec.category)
@@ -75,10 +76,10 @@ class Preparation:
                 "target": self.spec.target,
                 "key": self.spec.key,
                 "seed": self.seed,
-                "inline_labels": self.labels.values is not None,
             }
         )
-        self.labels.as_table(spark).write.mode("overwrite").parquet(f"{path}/labels")
+        if self.labels.table is not None:
+            self.labels.table.write.mode("overwrite").parquet(f"{path}/labels")
         state = spark.createDataFrame(rows, schema).withColumn("meta", F.lit(meta))
         state.coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
 
@@ -86,12 +87,7 @@ class Preparation:
     def load(spark: SparkSession, path: str) -> Preparation:
         rows = spark.read.parquet(f"{path}/columns").orderBy("position").collect()
         meta = json.loads(rows[0]["meta"])
-        table = spark.read.parquet(f"{path}/labels")
-        if meta["inline_labels"]:
-            # Saved from an inline list, so it is short.
-            labels = Labels(values=tuple(r["label"] for r in table.orderBy("code").collect()))
-        else:
-            labels = Labels(table=table)
+        labels = Labels(spark.read.parquet(f"{path}/labels")) if meta["category"] else Labels()
         return Preparation(
             spec=TableSpec(
                 tuple(meta["features"]), meta["category"], meta["target"], tuple(meta["key"])
@@ -143,7 +139,7 @@ def fit_preparation(
     if spec.category:
         labels = fit_labels(cleaned, spec.category)
     else:
-        labels = Labels(values=())
+        labels = Labels()
     split = stratified_split(cleaned, spec.target, key, seed).withColumn("fold", fold_of(key, folds, seed))
     if spec.category:
         split = labels.encode(split, spec.category)

@@ -20,7 +20,7 @@ from assayline.functions.text import title
 from assayline.models.prediction import predict, predict_with_spread
 from assayline.models.training import ModelSet
 from assayline.plans.prepare import Preparation
-from assayline.sources.delimited import read_delimited, write_delimited
+from assayline.sources.delimited import REJECT, read_delimited, write_delimited
 
 SCORE, CATEGORY = "predicted_quality", "quality_category"
 
@@ -94,8 +94,14 @@ def score_batch(
     sep: str = ",",
     mode: str = "errorifexists",
 ) -> DataFrame:
-    """Score delimited files into a directory and return a scan of the written rows."""
-    rows = read_delimited(spark, source, preparation.spec.schema(), sep)
+    """Score delimited files into a directory and return a scan of the written rows.
+
+    Every line gives a row. A malformed one keeps its text in column ``malformed_line`` and
+    gets no score, since its cells are not what was measured.
+    """
+    rows = read_delimited(spark, source, preparation.spec.schema(), sep, malformed="keep")
     scored = score_table(rows, preparation, trained, name)
+    added = [c for c in scored.columns if c not in rows.columns]
+    scored = scored.withColumns({c: F.when(F.col(REJECT).isNull(), F.col(c)) for c in added})
     write_delimited(scored, sink, mode=mode)
     return read_delimited(spark, sink, scored.schema)

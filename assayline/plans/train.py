@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayline.models.persistence import load_models, save_models
-from assayline.models.training import ModelSet, evaluate_models, train_all
+from assayline.models.training import ModelSet, evaluate_models, train_all, train_one
 from assayline.operators.evaluate import model_comparison
+from assayline.operators.outliers import POLICIES
 from assayline.plans.prepare import Preparation, assemble, fit_preparation
 from assayline.spec import TableSpec
 
@@ -33,16 +35,30 @@ def train_job(
     path: str,
     names: Sequence[str] = ("random_forest", "ridge"),
     tune: bool = False,
+    folds: int = 3,
+    outliers: str | None = None,
+    seed: int = 42,
     **options,
 ) -> tuple[Preparation, ModelSet]:
-    """Load the artefacts under ``path``, or train and save them first if there are none."""
+    """Load the artefacts under ``path``, or train and save them first if there are none.
+
+    ``folds`` and ``outliers`` (a policy of ``treat_outliers``) go to the preparation;
+    ``options`` go to ``train_all``. Unknown options raise before any work.
+    """
     spark = df.sparkSession
+    known = set(inspect.signature(train_all).parameters) | set(inspect.signature(train_one).parameters)
+    if unknown := set(options) - known:
+        raise TypeError(f"unknown options: {', '.join(sorted(unknown))}")
+    if folds < 2:
+        raise ValueError("at least two folds are needed")
+    if outliers is not None and outliers not in POLICIES:
+        raise ValueError(f"unknown policy {outliers!r}, expected one of {POLICIES}")
     if not artefacts_exist(spark, path):
-        prepared, preparation = fit_preparation(df, spec, seed=options.get("seed", 42))
+        prepared, preparation = fit_preparation(df, spec, seed=seed, folds=folds, outliers=outliers)
         vectors = assemble(prepared, spec.model_columns).select("features", spec.target, "split", "fold")
         vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            trained = train_all(vectors, spec.target, names, tune, **options)
+            trained = train_all(vectors, spec.target, names, tune, folds=folds, seed=seed, **options)
             metrics = evaluate_models(trained, vectors, spec.target)
             metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
         finally:

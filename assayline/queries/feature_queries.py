@@ -24,6 +24,7 @@ from assayline.queries.samples import (
     SPEC,
     columns,
     dirty_samples,
+    key_text,
     samples,
     split_cte,
 )
@@ -143,8 +144,8 @@ def stratified_split_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stratified_split_events",
-    """WITH ranked AS (
-      SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id)) AS rn,
+    f"""WITH ranked AS (
+      SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || {key_text('event_id')})) AS rn,
         count(*) OVER (PARTITION BY event_type) AS n FROM events)
     SELECT event_id, event_type, CASE WHEN 10 * (rn - 1) < 6 * n THEN 'train' WHEN 10 * (rn - 1) < 8 * n THEN 'val'
       ELSE 'test' END AS split FROM ranked""",

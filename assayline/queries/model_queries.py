@@ -46,7 +46,7 @@ from assayline.queries.samples import (
     split_cte,
 )
 from assayline.session import fresh_path, write_through
-from assayline.sources import write_delimited
+from assayline.sources import REJECT, write_delimited
 from assayline.spec import TableSpec
 
 _KEYS = columns(*KEY)
@@ -367,7 +367,7 @@ def score_batch_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, preparation, trained = _job(spark, sf_dir)
     source, sink = fresh_path(spark, "batch-in"), fresh_path(spark, "batch-out")
     write_delimited(dirty_samples(spark, sf_dir).select(*KEY, "alcohol"), source)
-    return score_batch(spark, source, sink, preparation, trained)
+    return score_batch(spark, source, sink, preparation, trained).drop(REJECT)
 
 
 # --- trees ----------------------------------------------------------------------------

@@ -27,22 +27,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-# A scan of fewer partitions than this is small (at most 2 GiB at the default split size).
-SMALL_SCAN = 16
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of a given table.
-
-    A small file is often one row group, which a single task reads whatever the split
-    size; its rows are spread so that the work on them is not left to that task. Larger
-    tables keep the partitions of their scan.
-    """
-    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    parallelism = spark.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() < min(parallelism, SMALL_SCAN):
-        return scan.repartition(min(parallelism, SMALL_SCAN))
-    return scan
+    """Scan of a given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:

@@ -108,7 +108,12 @@ dirty AS (
 )"""
 )
 
-_DIGEST = "concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
+
+def key_text(*names: str) -> str:
+    """The text that a key's digest is made of: length and text of each part, N for NULL."""
+    parts = ", ".join(f"coalesce(length({n}::VARCHAR) || ':' || {n}::VARCHAR, 'N')" for n in names)
+    return f"concat_ws('|', {parts})"
+
 
 # Ranks every row of a stratum at once; the engine under test never does.
 SPLIT = """
@@ -126,7 +131,7 @@ split AS (
 
 
 def split_cte(source: str = "samples") -> str:
-    return SPLIT.format(digest=_DIGEST, source=source)
+    return SPLIT.format(digest=key_text(*KEY), source=source)
 
 
 # Filled with medians, duplicates dropped.

@@ -20,6 +20,7 @@ from assayline.queries.samples import (
     TO_CANONICAL,
     columns,
     dirty_samples,
+    key_text,
     rule_cte,
     samples,
     split_cte,
@@ -27,6 +28,7 @@ from assayline.queries.samples import (
 from assayline.queries.profile_queries import EDA_SQL
 from assayline.session import fresh_path
 from assayline.sources import (
+    REJECT,
     read_delimited,
     read_summary,
     synthesise,
@@ -48,6 +50,20 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.toDF(*[FROM_CANONICAL.get(c, c) for c in rows.columns])
 
 
+_BAD = "CASE WHEN l_linenumber <> 5 THEN alcohol END"
+
+
+@query("scan_rejects", f"WITH {SAMPLES} SELECT {columns(*KEY)}, {_BAD} AS alcohol, wine_type, l_linenumber = 5 AS malformed FROM samples")
+def scan_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that are no numbers: their lines are kept and told apart."""
+    path = fresh_path(spark, "scan-rejects")
+    rows = samples(spark, sf_dir).select(*KEY, "alcohol", "wine_type")
+    spoilt = F.when(F.col("l_linenumber") == 5, F.concat(F.lit("x"), F.col("alcohol"))).otherwise(F.col("alcohol").cast("string"))
+    write_delimited(rows.withColumn("alcohol", spoilt), path)
+    read = read_delimited(spark, path, rows.schema, malformed="keep")
+    return read.select(*KEY, "alcohol", "wine_type", F.col(REJECT).isNotNull().alias("malformed"))
+
+
 @query(
     "scan_csv_semicolon",
     f"WITH {SAMPLES} SELECT {columns(*KEY)}, {_SPACED}, wine_type, quality FROM samples",
@@ -76,7 +92,7 @@ def _uniform_sql(digest: str, first: int = 1) -> str:
 
 
 def _digest_sql(name: str) -> str:
-    return f"md5('42:{name}:' || concat_ws('|', {columns(*KEY)}))"
+    return f"md5('42:{name}:' || {key_text(*KEY)})"
 
 
 def _normal_sql(name: str, mean: float, deviation: float) -> str:

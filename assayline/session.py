@@ -1,4 +1,4 @@
-"""Session helpers: shared folder, written intermediate tables, bounded small tables."""
+"""Session helpers: shared folder, written intermediate tables, null-safe lookups."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only after it was read back with at most this many rows.
-SMALL_TABLE_ROWS = 10_000
-
 _local_dirs: dict[str, str] = {}
 
 
@@ -49,19 +46,6 @@ def write_through(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_written(df: DataFrame, label: str, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Materialise an aggregate whose size is not known in advance.
-
-    With at most ``max_rows`` rows it becomes a local relation marked for broadcast.
-    Beyond that it is written as a table, and joins to it are left to the planner,
-    which then knows its real size.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
-    return write_through(df, label)
-
-
 def lookup_join(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on ``keys`` in which NULL keys match NULL keys; keeps ``df``'s columns first."""
     renamed = table.withColumnsRenamed({k: f"__lookup_{i}" for i, k in enumerate(keys)})

@@ -1,6 +1,6 @@
 """Scans, unions, sinks and the sample generator."""
 
-from assayline.sources.delimited import read_delimited, write_delimited, write_splits
+from assayline.sources.delimited import REJECT, read_delimited, rejects, write_delimited, write_splits
 from assayline.sources.names import ALIASES, canonical_names
 from assayline.sources.summary import read_summary, write_summary
 from assayline.sources.synthetic import synthetic_samples, synthesise
@@ -9,7 +9,9 @@ from assayline.sources.union import union_tagged
 __all__ = [
     "ALIASES",
     "canonical_names",
+    "REJECT",
     "read_delimited",
+    "rejects",
     "read_summary",
     "synthesise",
     "synthetic_samples",

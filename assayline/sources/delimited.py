@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayline.functions.numeric import missing_as_null
 from assayline.sources.names import ALIASES, canonical_names
 
+# Text of a malformed line, NULL for a sound one.
+REJECT = "malformed_line"
+_MODES = {"keep": "PERMISSIVE", "fail": "FAILFAST", "drop": "DROPMALFORMED"}
+
 
 def read_delimited(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType | None = None,
     sep: str = ",",
+    malformed: str = "fail",
 ) -> DataFrame:
     """Scan delimited files with a header, by column *name*.
 
@@ -21,7 +27,13 @@ def read_delimited(
     the order, each name takes its type from ``schema`` (under its canonical name), and
     columns unknown to the schema stay text. Without a schema the types are inferred,
     which costs one more scan. Empty cells and NaN arrive as NULL.
+
+    With a schema a line may hold text where a number should be. ``malformed`` says what
+    becomes of it: ``fail`` raises; ``keep`` adds the text column ``malformed_line``, which holds
+    the line and is NULL for a sound one; ``drop`` leaves such lines out. See ``rejects``.
     """
+    if malformed not in _MODES:
+        raise ValueError(f"unknown choice {malformed!r}, expected one of {tuple(_MODES)}")
     options = {"header": True, "sep": sep}
     if schema is None:
         return missing_as_null(canonical_names(spark.read.csv(path, inferSchema=True, **options)))
@@ -30,11 +42,21 @@ def read_delimited(
     by_header = T.StructType(
         [T.StructField(h, types.get(ALIASES.get(h, h), types.get(h, T.StringType()))) for h in header]
     )
+    if malformed == "keep":
+        by_header = by_header.add(REJECT, T.StringType())
+        options["columnNameOfCorruptRecord"] = REJECT
     # enforceSchema=False: a file whose header deviates raises instead of shifting columns.
-    scan = spark.read.csv(path, schema=by_header, enforceSchema=False, **options)
+    scan = spark.read.csv(path, schema=by_header, enforceSchema=False, mode=_MODES[malformed], **options)
     return missing_as_null(canonical_names(scan))
 
 
+def rejects(rows: DataFrame) -> DataFrame:
+    """The malformed lines of a scan that kept them, as one text column."""
+    # A scan parses only the columns that are used, so all of them take part in the filter.
+    touched = F.hash(*[F.col(f"`{c}`") for c in rows.columns if c != REJECT]) >= -(2**31)
+    return rows.where(F.col(REJECT).isNotNull() & touched).select(REJECT)
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
     """Write a directory of delimited part files, each with a header."""
     df.write.mode(mode).csv(path, header=True, sep=sep)

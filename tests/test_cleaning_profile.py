@@ -149,3 +149,36 @@ def test_summary_is_one_typed_row(small):
     row = profile.eda_summary(small, "i", "c").first()
     assert (row.n_rows, row.n_columns, row.missing_values, row.duplicates) == (7, 3, 4, 1)
     assert [f.feature for f in row.top_features] == ["x"]
+
+
+def test_nan_is_missing_everywhere(spark):
+    from assayline.operators import cleaning, evaluate, outliers, profile
+
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 1.0), (nan, 2.0), (3.0, nan), (None, 4.0)], "v double, p double")
+    info = {r["feature"]: r["non_null"] for r in profile.table_info(df).collect()}
+    assert info == {"v": 2, "p": 3}
+    assert [(r["v"], r["count"]) for r in profile.value_counts(df, "v").collect()] == [(1.0, 1), (3.0, 1)]
+    clipped = outliers.treat_outliers(df, ["v"], "clip", {"v": (0.0, 2.0)})
+    assert [r["v"] for r in clipped.where("v is not null and not isnan(v)").collect()] == [1.0, 2.0]
+    metrics = evaluate.regression_metrics(df, "v", "p").first()
+    assert metrics["n"] == 1 and metrics["mse"] == 0.0
+    assert cleaning.missing_counts(df, ["v"]).first()["missing"] == 2
+
+
+def test_duplicates_are_told_by_digests(spark):
+    from assayline.operators.cleaning import duplicate_count
+
+    rows = [("a", None, 0.0), ("a", None, -0.0), ("a|", "b", 1.0), ("a", "|b", 1.0), (None, "a", float("nan")), (None, "a", float("nan")), ("", None, None), (None, "", None)]
+    df = spark.createDataFrame(rows, "x string, y string, z double")
+    assert duplicate_count(df).first().asDict() == {"rows": 8, "distinct_rows": df.distinct().count(), "duplicates": 8 - df.distinct().count()}
+    plan = duplicate_count(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(digest" in plan
+
+
+def test_share_needs_no_single_task(spark):
+    from assayline.operators.profile import category_share
+
+    shares = category_share(spark.range(1000).selectExpr("id % 7 AS c"), "c")
+    assert abs(sum(r["percentage"] for r in shares.collect()) - 100) < 1e-9
+    assert "SinglePartition" not in shares._jdf.queryExecution().executedPlan().toString()

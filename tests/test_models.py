@@ -122,7 +122,7 @@ def test_preparation_standardises_train_rows(prepared, synthetic):
     for c in SPEC.model_columns:
         assert train[c].mean() == pytest.approx(0.0, abs=1e-9)
         assert train[c].std(ddof=0) == pytest.approx(1.0, abs=1e-9)
-    assert set(preparation.labels.values) == {"red", "white"}
+    assert {r["label"] for r in preparation.labels.table.collect()} == {"red", "white"}
 
 
 def test_outlier_policy_of_the_preparation(synthetic):
@@ -156,9 +156,8 @@ def test_preparation_survives_saving(spark, prepared, synthetic, tmp_path):
     _, preparation = prepared
     preparation.save(spark, str(tmp_path / "p"))
     loaded = Preparation.load(spark, str(tmp_path / "p"))
-    assert (loaded.medians, loaded.scaler, loaded.labels.values, loaded.spec) == (
-        preparation.medians, preparation.scaler, preparation.labels.values, preparation.spec,
-    )
+    assert (loaded.medians, loaded.scaler, loaded.spec) == (preparation.medians, preparation.scaler, preparation.spec)
+    assert sorted(loaded.labels.table.collect()) == sorted(preparation.labels.table.collect())
 
 
 def test_failures_are_recorded_and_the_best_is_chosen(spark, trained, vectors):
@@ -231,7 +230,8 @@ def test_scoring_is_one_stage_without_python(prepared, trained, synthetic):
     for name, details in (("random_forest", True), ("ridge", False), ("gradient_boosting", True)):
         scored = score_table(synthetic, preparation, trained, name, details=details)
         plan = scored._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan and "Python" not in plan
+        # The labels' table is broadcast; no row of the scored table moves.
+        assert "Exchange" not in plan.replace("BroadcastExchange", "") and "Python" not in plan
         assert scored.count() == synthetic.count()
 
 
@@ -268,3 +268,56 @@ def test_constant_target_and_missing_predictions(spark):
 def test_select_best_prefers_the_first_on_a_tie(spark):
     df = spark.createDataFrame([("x", 0.5, 1), ("y", 0.5, 0), ("z", float("nan"), 2)], "model string, r2 double, ordinal int")
     assert evaluate.select_best(df).first().best_model == "y"
+
+
+def test_one_scan_search_equals_the_scans_per_fold(spark, synthetic):
+    from assayline.models.catalogue import MODELS
+    from assayline.models.training import cross_validate, grid_points
+    from assayline.operators.split import fold_of
+    from assayline.plans.prepare import assemble
+
+    columns = ["alcohol", "chlorides", "density"]
+    rows = assemble(synthetic, columns).withColumn("fold", fold_of(["id"] if "id" in synthetic.columns else synthetic.columns)).select("features", "quality", "fold")
+    for name in ("ridge", "lasso", "elastic_net"):
+        points = grid_points(MODELS[name].grid)
+        fast = cross_validate(rows, MODELS[name].build(1), points, "quality")
+        slow = cross_validate(rows, MODELS[name].build(1), points, "quality", one_scan=False)
+        assert np.allclose(fast, slow, rtol=1e-5)
+
+
+@pytest.mark.parametrize(("folds", "outliers"), [(5, None), (3, "drop"), (3, "clip")])
+def test_job_takes_folds_and_outlier_policies(spark, synthetic, tmp_path, folds, outliers):
+    from assayline.plans.train import train_job
+    from assayline.spec import SAMPLE_SPEC
+
+    _, trained = train_job(synthetic, SAMPLE_SPEC, str(tmp_path / "job"), ["ridge"], folds=folds, outliers=outliers)
+    assert trained.best_name == "ridge" and not trained.errors
+
+
+def test_job_refuses_what_it_does_not_know(spark, synthetic, tmp_path):
+    from assayline.plans.train import train_job
+    from assayline.spec import SAMPLE_SPEC
+
+    for options in ({"colour": 1}, {"folds": 1}, {"outliers": "hide"}):
+        with pytest.raises((TypeError, ValueError)):
+            train_job(synthetic, SAMPLE_SPEC, str(tmp_path / "job"), ["ridge"], **options)
+
+
+def test_rule_scoring_of_a_given_table_has_no_exchange(spark):
+    from assayline.queries import QUERIES
+
+    plan = QUERIES["score_rule_batch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_malformed_lines_get_a_row_without_score(spark, prepared, trained, tmp_path):
+    from assayline.plans.score import score_batch
+
+    _, preparation = prepared
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("alcohol,chlorides,wine_type\n9.5,0.08,red\nabc,0.08,white\n10.0,,red\n")
+    rows = score_batch(spark, str(tmp_path / "in"), str(tmp_path / "out"), preparation, trained, "ridge").collect()
+    assert len(rows) == 3
+    bad = [r for r in rows if r["malformed_line"]]
+    assert len(bad) == 1 and bad[0]["predicted_quality"] is None
+    assert all(r["predicted_quality"] is not None for r in rows if not r["malformed_line"])

@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayline.plans.score import score_by_rule
-from assayline.session import shared_dir, small_or_written
+from assayline.session import shared_dir
 from assayline.sources import (
     canonical_names,
+    REJECT,
     read_delimited,
+    rejects,
     synthetic_samples,
     union_tagged,
     write_delimited,
@@ -141,7 +143,16 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_small_tables_are_local_and_others_written(spark):
-    df = spark.range(20)
-    assert small_or_written(df, "t", 20).inputFiles() == []
-    assert small_or_written(df, "t", 19).inputFiles() != []
+def test_malformed_lines_are_kept_dropped_or_refused(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("alcohol,wine_type\n9.5,red\nabc,white\n,red\n1x0,red\n")
+    path, schema = str(tmp_path / "s.csv"), SAMPLE_SPEC.schema()
+    kept = read_delimited(spark, path, schema, malformed="keep")
+    assert [(r["alcohol"], r[REJECT]) for r in kept.collect()] == [(9.5, None), (None, "abc,white"), (None, None), (None, "1x0,red")]
+    assert [r[0] for r in rejects(kept).collect()] == ["abc,white", "1x0,red"]
+    assert rejects(kept).count() == 2
+    assert read_delimited(spark, path, schema, malformed="drop").collect()[0]["alcohol"] == 9.5
+    assert len(read_delimited(spark, path, schema, malformed="drop").collect()) == 2
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_delimited(spark, path, schema).collect()
+    with pytest.raises(ValueError):
+        read_delimited(spark, path, schema, malformed="guess")
