@@ -40,7 +40,7 @@ class Sums:
         total = (
             self.yy - 2 * weights @ self.xy - 2 * intercept * self.y + weights @ self.xx @ weights + 2 * intercept * (weights @ self.x) + self.n * intercept**2
         )
-        return max(float(total) / self.n, 0.0)
+        return max(float(total) / float(self.n), 0.0)
 
 
 def fold_sums(df: DataFrame, label: str, fold: str, features: str = "features") -> dict[int, Sums]:

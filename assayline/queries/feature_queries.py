@@ -93,7 +93,18 @@ def align_schema_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM kinds""",
 )
 def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit_labels(table(spark, sf_dir, "part"), "p_type").as_table(spark)
+    return fit_labels(table(spark, sf_dir, "part"), "p_type").table
+
+
+@query(
+    "label_encode_many",
+    """WITH kinds AS (SELECT DISTINCT o_orderkey::VARCHAR AS label FROM orders)
+    SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM kinds""",
+)
+def label_encode_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary as large as its table."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("label"))
+    return fit_labels(orders, "label").table
 
 
 @query(
