@@ -15,8 +15,8 @@ LINKS_PER_PARTITION = 100_000
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that links reach, for every node with a link.
 
-    Each round points all neighbours of a node at the smallest one, first the larger ones,
-    then the smaller ones; the number of rounds grows with the logarithm of the longest path.
+    Each round points all neighbours of a node at the smallest one, first the smaller ones,
+    then the larger ones; the number of rounds grows with the logarithm of the longest path.
     Minima are taken before rows move, so a node with very many links does no harm. Every
     round is written to the shared folder. Rows with a NULL end are no links.
     """
@@ -27,12 +27,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = _state(edges)
     edges = edges.coalesce(_partitions(state))
     while state[0]:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        small = edges.join(low, "u").select(F.col("v").alias("x"), "m").where("x > m").select(F.col("x").alias("u"), F.col("m").alias("v"))
+        small = write_through(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links").coalesce(_partitions(state))
+        both = small.union(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("x"), "m").where("x > m").select(F.col("x").alias("u"), F.col("m").alias("v"))
-        edges = write_through(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = write_through(large.distinct(), "links")
         before, state = state, _state(edges)
         edges = edges.coalesce(_partitions(state))
         if state == before:

@@ -197,11 +197,16 @@ class Join:
         met = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
         return x.join(y, met & _possible(self.numerator, self.denominator)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
-    def links(self) -> DataFrame:
-        """Links (a, b) between classes, enough of them to make every component whole."""
-        first = write_through(self.verified(write_through(self.against_least(), "pairs")), "first")
-        rest = write_through(self.across(write_through(connected_components(first), "components")), "rest")
-        return first if rest.isEmpty() else first.union(self.verified(rest))
+    def components(self) -> DataFrame:
+        """(node, component) of the classes that links reach, from both steps of comparing."""
+        first = self.verified(write_through(self.against_least(), "pairs"))
+        found = write_through(connected_components(first), "components")
+        rest = write_through(self.across(found), "rest")
+        if rest.isEmpty():
+            return found
+        # A component is one link from each node to its smallest: the first links are done with.
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(self.verified(rest))
+        return write_through(connected_components(links), "components")
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, numerator: int = 90, denominator: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,7 +216,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, numerator: int = 90, den
     links reach. Copies are not expanded into pairs.
     """
     join = Join(docs, width, numerator, denominator, id, text)
-    components = connected_components(write_through(join.links(), "links"))
+    components = join.components()
     named = join.classes.select("class", F.col("id").alias("class_id")).join(components, F.col("class") == F.col("node"), "left")
     named = write_through(named.select("class", "class_id", F.coalesce("component", "class").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
