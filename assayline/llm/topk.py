@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8_192
 QUERY_ROWS = 2_048
-# Entries of each list that a query reads at first; doubles while the bound allows better ones.
-DEPTH = 32
+# Entries of each list that a query reads at first, and by what that grows while the bound allows
+# better ones.
+DEPTH, GROWTH = 32, 4
 
 
 class Lists:
@@ -34,16 +35,22 @@ class Lists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.exact = self.vectors.astype(np.float64)
-        self.ranked = np.argsort(self.vectors, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(self.vectors, self.ranked, axis=0)
-        self.largest = int(np.abs(self.exact).max(initial=0))
-
-    def scores(self, rows: np.ndarray | slice, query: np.ndarray) -> np.ndarray:
-        """Exact inner products, in floating point where it is exact, else in Python integers."""
-        worst = self.largest * int(np.abs(query).max(initial=0)) * len(query)
-        if worst < 2**53:
-            return (self.exact[rows] @ query.astype(np.float64)).astype(np.int64)
+        self.largest = int(np.abs(self.vectors.astype(np.float64)).max(initial=0))
+        # Floating point holds products and sums of small numbers exactly, and is faster.
+        self.exact = self.vectors.astype(np.float32 if self.largest**2 * vectors.shape[1] < 2**24 else np.float64)
+        ranked = np.argsort(self.vectors, axis=0, kind="stable").astype(np.int32)
+        self.rising = np.ascontiguousarray(ranked.T)
+        self.falling = np.ascontiguousarray(ranked[::-1].T)
+        self.sorted = np.take_along_axis(self.vectors, ranked, axis=0)
+
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products, in floating point where it is exact, else in integers."""
+        largest = int(np.abs(query).max(initial=0))
+        worst = max(self.largest, largest) ** 2 * len(query)
+        if worst < (2**24 if self.exact.dtype == np.float32 else 2**53):
+            query = query.astype(self.exact.dtype)
+            found = (self.exact @ query)[rows] if 2 * len(rows) > len(self.ids) else self.exact[rows] @ query
+            return found.astype(np.int64)
         if worst < 2**63:
             return self.vectors[rows] @ query
         exact = self.vectors[rows].astype(object) @ query.astype(object)
@@ -61,11 +68,15 @@ class Lists:
         read, depth = 0, min(DEPTH, n)
         bounded = self.largest * int(np.abs(query).max(initial=0)) * len(query) < 2**63
         while True:
-            seen = met.copy()
-            seen[self.ranked[n - depth : n - read][:, up].ravel()] = True
-            seen[self.ranked[read:depth][:, down].ravel()] = True
-            new = np.flatnonzero(seen & ~met) if depth < n else np.flatnonzero(~met)
-            met = seen
+            if depth < n:
+                seen = met.copy()
+                seen[self.falling[up, read:depth]] = True
+                seen[self.rising[down, read:depth]] = True
+                new = np.flatnonzero(seen & ~met)
+                met = seen
+            else:
+                new = np.flatnonzero(~met)
+                met[:] = True
             if len(new):
                 found = self.scores(new, query)
                 keep = self.ids[new] != query_id
@@ -74,6 +85,7 @@ class Lists:
                 if len(rows) > k:
                     least = np.partition(scores, len(scores) - k)[len(scores) - k]
                     rows, scores = rows[scores >= least], scores[scores >= least]
+                # Rows are in order of their ids.
                 order = np.lexsort((rows, -scores))[:k]
                 best_rows, best_scores = rows[order], scores[order]
             if depth >= n or met.all():
@@ -82,7 +94,7 @@ class Lists:
                 unread = int(self.sorted[n - depth - 1, up] @ query[up]) + int(self.sorted[depth, down] @ query[down])
                 if unread < best_scores[-1]:
                     break
-            read, depth = depth, min(n, depth * 2)
+            read, depth = depth, min(n, depth * GROWTH)
         return self.ids[best_rows], best_scores
 
 
