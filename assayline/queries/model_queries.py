@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayline.models import (
@@ -481,3 +482,75 @@ def score_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dirty_samples(spark, sf_dir)
     scored = score_table(rows, preparation, trained, details=True)
     return rounded(scored.drop(*[c for c in rows.columns if c not in KEY]), 5, "prediction")
+
+
+# --- all columns ----------------------------------------------------------------------
+
+_OPTIMAL = " UNION ALL ".join(
+    f"SELECT '{m}' AS model, '{c}' AS feature, CAST(0.0 AS DOUBLE) AS violation" for m in LINEAR for c in SPEC.model_columns
+)
+
+
+@query("linear_optimality", _OPTIMAL)
+def linear_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Penalised models of all columns: how far each coefficient is from the conditions of the optimum.
+
+    The mean product of residual and column must equal the penalty's slope at a coefficient,
+    and stay within the absolute penalty where the coefficient is 0. SQL states the zeros.
+    """
+    def make() -> ModelSet:
+        vectors = assemble(_prepared(spark, sf_dir)[0], SPEC.model_columns)
+        return train_all(vectors, "quality", list(LINEAR), tune=False)
+
+    trained = _once(spark, sf_dir, "linear-full", make)
+    prepared, _ = _prepared(spark, sf_dir)
+    train = assemble(prepared.where("split = 'train'"), SPEC.model_columns)
+    scored, predictions = with_predictions(trained, train)
+    cells = []
+    for name in LINEAR:
+        estimator = MODELS[name].build(42)
+        weights = trained.models[name].model.coefficients.toArray()
+        alpha, share = estimator.getOrDefault("alpha"), estimator.getOrDefault("l1_share")
+        scale = F.count(F.lit(1)) if estimator.getOrDefault("summed_loss") else F.lit(1)
+        for c, w in zip(SPEC.model_columns, weights.tolist(), strict=True):
+            slope = F.avg((F.col("quality") - F.col(predictions[name])) * F.col(c)) - alpha * (1 - share) * w / scale
+            absolute = alpha * share / scale
+            violation = F.abs(slope - absolute * (1 if w > 0 else -1)) if w else F.greatest(F.abs(slope) - absolute, F.lit(0.0))
+            cells.append(F.struct(F.lit(name).alias("model"), F.lit(c).alias("feature"), F.abs(F.round(violation, 4)).alias("violation")))
+    return scored.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+@query("train_job_full")
+def train_job_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job on all model columns with a forest and ridge, then the unprepared rows."""
+    def make():
+        path = fresh_path(spark, "job-full")
+        models = {"random_forest": SMALL_TREES["random_forest"], "ridge": MODELS["ridge"]}
+        return train_job(dirty_samples(spark, sf_dir), SPEC, path, list(models), models=models)
+
+    preparation, trained = _once(spark, sf_dir, "job-full", make)
+    scored = predict(preparation.transform(dirty_samples(spark, sf_dir)), trained)
+    return rounded(scored.select(*KEY, "prediction"), 5, "prediction")
+
+
+@query("spread_check", "SELECT CAST(0 AS BIGINT) AS mismatches, true AS some_spread")
+def spread_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and spread over a forest's trees, against a join of each row's leaves with the saved trees."""
+    path = fresh_path(spark, "forest")
+    forest = _trees(spark, sf_dir).models["random_forest"].model
+    forest.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(F.col("treeID").cast("int").alias("tree"), "nodeData.*")
+    in_tree = Window.partitionBy("tree").orderBy("id")
+    leaves = nodes.where("leftChild < 0").select("tree", (F.row_number().over(in_tree) - 1).alias("leaf"), F.col("prediction").alias("value"))
+    prepared, _ = _prepared(spark, sf_dir)
+    # Leaves are gathered by key, and a few rows share theirs.
+    alone = prepared.groupBy(*KEY).count().where("count = 1").drop("count")
+    rows = assemble(prepared.join(alone, list(KEY), "left_semi"), SPEC.model_columns)
+    placed = forest.copy().setLeafCol("leaves").transform(rows.select(*KEY, "features"))
+    placed = placed.select(*KEY, F.posexplode(vector_to_array("leaves")).alias("tree", "at"))
+    joined = placed.join(leaves, (placed["tree"] == leaves["tree"]) & (F.col("at").cast("int") == F.col("leaf")))
+    other = joined.groupBy(*KEY).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
+    scored = predict_with_spread(rows, _trees(spark, sf_dir), "random_forest").select(*KEY, "prediction", "spread")
+    both = scored.join(other, list(KEY), "left")
+    near = (F.abs(F.col("prediction") - F.col("mean")) < 1e-9) & (F.abs(F.col("spread") - F.col("deviation")) < 1e-9)
+    return both.agg(F.count_if(~F.coalesce(near, F.lit(False))).alias("mismatches"), (F.max("spread") > 0).alias("some_spread"))
