@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +26,10 @@ def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFr
 def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows ``(feature_x, feature_y, corr)``; each pair uses the rows where both are present.
 
-    Means first, then plain sums of centred products. Sums that several pairs share are
-    computed once, so ``k`` complete columns need ``k*(k+1)/2`` of them, where ``corr``
-    would keep six running values per pair. Only the sums reach the driver. NULL for a
-    constant column.
+    Means first. Columns without gaps then need one more pass, which gathers the matrix of
+    their products. With gaps each pair has rows of its own: plain sums of centred products,
+    of which those that several pairs share are computed once, where ``corr`` would keep six
+    running values per pair. Only sums reach the driver. NULL for a constant column.
     """
     pairs = list(pairs)
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
@@ -57,6 +59,8 @@ def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
             sums[0], sums[2] = float(facts[b]["present"]), 0.0
         return sums
 
+    if not gaps:
+        return _complete_pairs(df, pairs, [c for c in names if c not in constant], facts)
     wanted = {(a, b): needed(a, b) for a, b in pairs if a != b and not {a, b} & constant}
     sums = list(dict.fromkeys(s for parts in wanted.values() for s in parts if isinstance(s, str)))
     values: dict[str, float | None] = {}
@@ -79,6 +83,24 @@ def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
     return df.sparkSession.createDataFrame(rows, "feature_x string, feature_y string, corr double")
 
 
+def _complete_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], names: list[str], facts: dict) -> DataFrame:
+    """Correlations of columns without gaps, of which ``names`` are not constant."""
+    place = {c: i for i, c in enumerate(names)}
+    matrix = None
+    if any(a != b and a in place and b in place for a, b in pairs):
+        centred = ", ".join(f"{present(c)} - {number(facts[c]['mean'])}" for c in names)
+        vectors = df.select(array_to_vector(F.expr(f"array({centred})")).alias("v"))
+        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+
+    def value(a: str, b: str) -> float | None:
+        if a not in place or b not in place:
+            return None
+        return 1.0 if a == b else max(-1.0, min(1.0, float(matrix[place[a], place[b]])))
+
+    rows = [(a, b, value(a, b)) for a, b in pairs]
+    return df.sparkSession.createDataFrame(rows, "feature_x string, feature_y string, corr double")
+
+
 def _pearson(n, x, y, xx, yy, xy) -> float | None:
     if not n:
         return None
