@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.llm.tokenizer import WordCounter
+from assayline.session import write_through
 
 CHUNK = 256
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -80,6 +81,7 @@ def count_tokens(df: DataFrame, definition: str, cache: str, text: str = "text",
     source = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     own = F.col(f"c{df.columns.index(text)}")
     key = F.unhex(F.sha2(F.trim(F.regexp_replace(F.coalesce(own, F.lit("")), r"[ \t\n\x0B\f\r]+", " ")), 256))
-    counts = stored_counts(df, cache, name).withColumnRenamed("digest", "digest_")
+    # A plain table on this side lets Spark split the join at a digest that very many rows have.
+    counts = write_through(stored_counts(df, cache, name), "counts").withColumnRenamed("digest", "digest_")
     joined = source.withColumn("digest", key).join(counts, F.col("digest") == F.col("digest_"), "left")
     return joined.select(*source.columns, "n_tokens").toDF(*names)

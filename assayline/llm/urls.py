@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayline.session import write_through
+
 # Fixed values of the contract: verdict, host, path.
 RULES = (
     ("allow", "com", "/"),
@@ -77,6 +79,7 @@ def classify(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, ur
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "given": verdict, "shape": F.array_join(segments(F.col("path")), "/")})
     judged = branches(rows.select("host", "shape", "given"))
+    judged = write_through(judged, "judged")
     found = rows.join(judged.withColumnsRenamed({"host": "h", "shape": "s"}), (F.col("host") == F.col("h")) & (F.col("shape") == F.col("s")), "left")
     method = F.when(F.col("purity") >= LIMIT, "block").otherwise("allow")
     return found.select(*names, "host", "path", "rule", F.coalesce("given", method).alias("verdict"), "template", "purity").toDF(
@@ -100,6 +103,8 @@ def branches(rows: DataFrame) -> DataFrame:
     children = placed.groupBy("host", "before", "at", "part").agg(F.sum("n").alias("n"))
     variable = children.groupBy("host", "before", "at").agg(F.count("*").alias("different"), F.sum("n").alias("all"))
     variable = variable.where((F.col("different") >= MANY) & (F.col("different") * 2 > F.col("all"))).select("host", "before", "at", F.lit(True).alias("is_variable"))
+    # A plain table on this side lets Spark split the join at a host that holds very many paths.
+    variable = write_through(variable, "variable")
     general = placed.join(variable, ["host", "before", "at"], "left").withColumn("part", F.when(F.col("is_variable") & ~F.col("part").startswith("*"), "*").otherwise(F.col("part")))
     shaped = general.groupBy("host", "shape").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("p"))
     shaped = shaped.select("host", "shape", F.transform("p", lambda x: x["part"]).alias("p"))
