@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayline.llm.tokenizer import ByteLevel
+from assayline.llm.tokenizer import ByteLevel, decoded
 
 # Characters above which a text is cut. Bounds the work and memory of one encoding step.
 LEAF_CHARS = 32_768
@@ -263,18 +263,19 @@ def join_tokens(left: list[int], right: list[int], codec: ByteLevel, width: int
 
 def decode(df: DataFrame, definition: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add column ``text``: the text of packed ids, added tokens included; NULL ids give NULL."""
-    shared = _Shared(df, definition)
+    # Tasks get the bytes of each token, a few hundred kilobytes, and load no tokenizer.
+    pieces = df.sparkSession.sparkContext.broadcast(ByteLevel(definition).pieces)
     names = [*df.columns, text]
     position = df.columns.index(ids)
     source = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     schema = T.StructType([*source.schema.fields, T.StructField("text", T.StringType())])
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        known = pieces.value
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(start, CHUNK)
-                texts = [None if v is None else codec.decode(v) for v in part.column(position).to_pylist()]
+                texts = [None if v is None else decoded(known, v) for v in part.column(position).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.fieldNames())
 
     return source.mapInArrow(back, schema).toDF(*names)

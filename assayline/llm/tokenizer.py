@@ -101,9 +101,7 @@ class ByteLevel:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def decode(self, ids: bytes) -> str:
-        pieces = self.pieces
-        data = b"".join([pieces[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
-        return data.decode("utf-8", "replace")
+        return decoded(self.pieces, ids)
 
     # -- single words, for texts that are put together from parts -------------------------
 
@@ -141,6 +139,12 @@ class ByteLevel:
         return found
 
 
+def decoded(pieces: list[bytes], ids: bytes) -> str:
+    """Text of packed ids, given the bytes of each token; broken characters are replaced."""
+    data = b"".join([pieces[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+    return data.decode("utf-8", "replace")
+
+
 class WordCounter:
     """Token counts of texts for definitions that drop white space and look at no neighbours of it."""
 
