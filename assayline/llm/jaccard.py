@@ -14,8 +14,8 @@ A document is the set of its word shingles, as 64-bit hashes. Two documents link
   Its Hamming distance never exceeds the symmetric difference, which a link bounds from
   above, so pairs beyond that bound go before any set is compared.
 * Groups: the members of a key's group stream past in order, each paired with the first. Links
-  found so far are put together into components, and only pairs of one group that lie in
-  different components are compared after that. No link between different texts is lost
+  found so far are put together into components, and only pairs that lie in different
+  components are compared after that. No link between different texts is lost
   that could change a component, and a group of very many near copies costs rows in
   proportion to its size.
 * Verification compares the exact sets.
@@ -39,7 +39,7 @@ from assayline.llm.components import connected_components
 from assayline.llm.shingles import mixed, shingles
 from assayline.session import write_through
 
-FOLD_WORDS = 8
+FOLD_WORDS, WIDE_WORDS = 8, 64
 _FOLDS = [f"f{i}" for i in range(FOLD_WORDS)]
 # Ratio of neighbouring size bands: wider ones have more words, narrower ones more overlap.
 BAND_RATIO = 1.5
@@ -82,9 +82,9 @@ def sketch_keys(hashes: np.ndarray, numerator: int, denominator: int) -> np.ndar
     return np.unique(np.concatenate(keys))
 
 
-def fold(hashes: np.ndarray) -> np.ndarray:
+def fold(hashes: np.ndarray, words: int = FOLD_WORDS) -> np.ndarray:
     """Parity of the shingles at each bit of a sketch of fixed width."""
-    bits = np.bincount((hashes & np.uint64(64 * FOLD_WORDS - 1)).astype(np.int64), minlength=64 * FOLD_WORDS) & 1
+    bits = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -135,14 +135,19 @@ def sketch_words(docs: DataFrame, width: int, numerator: int, denominator: int,
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, width: int, id: str, text: str) -> DataFrame:
-    """(class, hashes) of the documents whose ids are wanted."""
+    """(class, hashes, wide) of the documents whose ids are wanted; ``wide`` is a fixed sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets, classes in _batches(batches, width):
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(classes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["class", "hashes"])
+            wide = np.concatenate([fold(s, WIDE_WORDS) for s in sets])
+            ends = np.arange(len(sets) + 1, dtype=np.int32) * WIDE_WORDS
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(classes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.ListArray.from_arrays(pa.array(ends), pa.array(wide))],
+                names=["class", "hashes", "wide"],
+            )
 
-    return _source(docs, id, text).join(wanted, "id", "left_semi").mapInArrow(run, "class long, hashes array<long>")
+    return _source(docs, id, text).join(wanted, "id", "left_semi").mapInArrow(run, "class long, hashes array<long>, wide array<long>")
 
 
 def _possible(numerator: int, denominator: int) -> Column:
@@ -169,22 +174,31 @@ class Join:
         self.groups = write_through(groups, "groups")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of classes whose sets link; ``pairs`` is a written table."""
+        """Pairs (a, b) of classes whose sets link; ``pairs`` is a written table.
+
+        A sketch eight times as wide as that of the rows is held against the bound first, so
+        that few sets travel with a pair that cannot link.
+        """
         members = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         wanted = self.classes.join(members, "class", "left_semi").select("id").distinct()
         sets = write_through(set_table(self.docs, wanted, self.width, self.id, self.text), "sets")
-        both = pairs.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a")
+        wide = sets.select("class", F.size("hashes").alias("n"), "wide")
+        sketched = pairs.select("a", "b").join(wide.toDF("a", "n_a", "wide_a"), "a").join(wide.toDF("b", "n_b", "wide_b"), "b")
+        apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, d: t + d)
+        most = (F.col("n_a") + F.col("n_b")) * (self.denominator - self.numerator)
+        near = write_through(sketched.where(apart * (self.denominator + self.numerator) <= most).select("a", "b").distinct(), "near")
+        both = near.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a")
         both = both.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y")).cast("long")
         union = F.size("x") + F.size("y") - shared
         return both.where(shared * self.denominator >= union * self.numerator).select("a", "b").distinct()
 
     def against_least(self) -> DataFrame:
-        """Pairs of each group's first member with the others, as far as a link is possible."""
-        pairs = self.groups.select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
+        """(a, b, shared): each group's first member with the others, as far as a link is possible."""
+        pairs = self.groups.groupBy(F.col("least").alias("a"), F.col("class").alias("b")).agg(F.count("*").alias("shared"))
         x, y = self.classes.alias("x"), self.classes.alias("y")
         near = pairs.join(x, pairs["a"] == F.col("x.class")).join(y, pairs["b"] == F.col("y.class"))
-        return near.where(_possible(self.numerator, self.denominator)).select("a", "b")
+        return near.where(_possible(self.numerator, self.denominator)).select("a", "b", "shared")
 
     def across(self, components: DataFrame) -> DataFrame:
         """Pairs of one group in different components, as far as a link is possible."""
@@ -198,14 +212,28 @@ class Join:
         return x.join(y, met & _possible(self.numerator, self.denominator)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
     def components(self) -> DataFrame:
-        """(node, component) of the classes that links reach, from both steps of comparing."""
-        first = self.verified(write_through(self.against_least(), "pairs"))
-        found = write_through(connected_components(first), "components")
-        rest = write_through(self.across(found), "rest")
-        if rest.isEmpty():
+        """(node, component) of the classes that links reach, from three steps of comparing.
+
+        First each class is compared with the first member it shares most keys with; then with
+        the others, where these are still in another component; then across components.
+        """
+        pairs = write_through(self.against_least(), "pairs")
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+        best = write_through(best, "best")
+        found = write_through(connected_components(self.verified(best)), "components")
+        of_a = found.select(F.col("node").alias("a"), F.col("component").alias("p"))
+        of_b = found.select(F.col("node").alias("b"), F.col("component").alias("q"))
+        apart = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
+        found = self._grown(found, apart.join(best, ["a", "b"], "left_anti"))
+        return self._grown(found, self.across(found))
+
+    def _grown(self, found: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Components with the links among some more pairs."""
+        pairs = write_through(pairs, "pairs")
+        if pairs.isEmpty():
             return found
-        # A component is one link from each node to its smallest: the first links are done with.
-        links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(self.verified(rest))
+        # A component is one link from each node to its smallest: earlier links are done with.
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(self.verified(pairs))
         return write_through(connected_components(links), "components")
 
 
