@@ -13,7 +13,8 @@ A document is the set of its word shingles, as 64-bit hashes. Two documents link
 * Bound: a second sketch of fixed width has one bit for the parity of the shingles dealt to it.
   Its Hamming distance never exceeds the symmetric difference, which a link bounds from
   above, so pairs beyond that bound go before any set is compared.
-* Groups: the members of a key's group stream past in order, each paired with the first. Links
+* Groups: the members of a key's group stream past in order, each paired with the first and with
+  the one before. Links
   found so far are put together into components, and only pairs that lie in different
   components are compared after that. No link between different texts is lost
   that could change a component, and a group of very many near copies costs rows in
@@ -170,7 +171,9 @@ class Join:
         self.classes = write_through(counted.groupBy("class").agg(*same), "classes")
         in_order = Window.partitionBy("key").orderBy("class")
         words = sketch_words(docs, width, numerator, denominator, id, text)
-        groups = words.withColumn("least", F.first("class").over(in_order)).where("class <> least").distinct()
+        # Copies read by several tasks stand next to each other.
+        once = words.withColumn("previous", F.lag("class").over(in_order)).where("previous is null or previous <> class")
+        groups = once.withColumn("least", F.first("class").over(in_order)).where("class <> least")
         self.groups = write_through(groups, "groups")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -194,8 +197,9 @@ class Join:
         return both.where(shared * self.denominator >= union * self.numerator).select("a", "b").distinct()
 
     def against_least(self) -> DataFrame:
-        """(a, b, shared): each group's first member with the others, as far as a link is possible."""
-        pairs = self.groups.groupBy(F.col("least").alias("a"), F.col("class").alias("b")).agg(F.count("*").alias("shared"))
+        """(a, b, shared): each member with its group's first and with the one before, where a link is possible."""
+        pairs = self.groups.select(F.explode(F.array_distinct(F.array("least", "previous"))).alias("a"), F.col("class").alias("b"))
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
         x, y = self.classes.alias("x"), self.classes.alias("y")
         near = pairs.join(x, pairs["a"] == F.col("x.class")).join(y, pairs["b"] == F.col("y.class"))
         return near.where(_possible(self.numerator, self.denominator)).select("a", "b", "shared")
