@@ -6,7 +6,8 @@ page that its innermost telling element puts it in. A decision tree, grown on th
 labelled table below, says which blocks are main text.
 
 Defined results: NULL or empty html gives an empty text; broken markup is read as far as it
-goes; equal rows give equal results, once per row; extra columns pass through.
+goes, and an element whose closing tag is missing hides nothing but its tag (an open script or
+style hides the rest); self-closing tags are honoured; equal rows give equal results, once per row; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -33,7 +34,18 @@ _MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 # Elements without any main text: their content goes as a whole.
-_SKIPPED = {"script", "style", "noscript", "template", "svg", "head", "iframe", "object", "canvas", "select", "textarea", "button", "math", "audio", "video", "map"}
+_SKIPPED = {"script", "style", "noscript", "template", "svg", "head", "iframe", "object", "canvas", "select", "textarea", "button", "math", "audio", "video", "map", "title"}
+_RAW = {"script", "style"}
+# What may stand in a head; anything else ends it.
+_HEAD = {"title", "style", "script", "noscript", "template"}
+_HEAD_TAGS = {"html", "head", "meta", "link", "base", "basefont", "bgsound"}
+_PAIRED = re.compile(
+    rf"""<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*+(?<!/)>.*?(?:</\1\s*>|\Z)"""
+    rf"""|<(/?)({"|".join(sorted(_SKIPPED - _RAW - {"head"}))})(?=[\s/>])((?:[^"'>]|"[^"]*+"|'[^']*+')*+|[^>]*+)>""",
+    re.S | re.I,
+)
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
+_UNQUOTED_END = re.compile(r"""=\s*[^\s"'>]*/\Z""")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt",
@@ -89,6 +101,48 @@ def zone_of(tag: str, attributes: str, inside: int) -> int | None:
     return zone
 
 
+def self_closed(attributes: str) -> bool:
+    """Whether a tag ends in a slash of its own, not in that of an unquoted value."""
+    return attributes.endswith("/") and not _UNQUOTED_END.search(attributes)
+
+
+def ends_of(html: str) -> dict[int, int]:
+    """Where skipped elements end, by where their opening tags start; only those that are closed."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for hit in _PAIRED.finditer(html):
+        if not hit[3]:
+            continue
+        of_tag = opened.setdefault(hit[3].lower(), [])
+        if not hit[2]:
+            if not self_closed(hit[4]):
+                of_tag.append(hit.start())
+        elif of_tag:
+            ends[of_tag.pop()] = hit.end()
+    return ends
+
+
+def raw_end(html: str, tag: str, at: int) -> int:
+    """End of a script or style, the end of the page if it is open."""
+    hit = _RAW_END[tag].search(html, at)
+    return hit.end() if hit else len(html)
+
+
+def head_end(html: str, at: int, ends: dict[int, int]) -> int:
+    """End of a head: behind its closing tag, or before the first text or element that cannot stand in it."""
+    while (hit := _TOKEN.search(html, at)) and not html[at : hit.start()].strip():
+        closing, tag, attributes = (hit[1], hit[2], hit[3]) if hit[2] else (hit[4], hit[5], hit[6])
+        tag = (tag or "").lower()
+        if closing and tag == "head":
+            return hit.end()
+        if closing and tag in ("html", "body") or tag and not closing and tag not in _HEAD | _HEAD_TAGS:
+            return hit.start()
+        at = hit.end()
+        if tag in _HEAD and not closing and not self_closed(attributes):
+            at = raw_end(html, tag, at) if tag in _RAW else ends.get(hit.start(), at)
+    return at
+
+
 def blocks_of(html: str) -> list[Block]:
     """Text blocks of a page in order."""
     blocks: list[Block] = []
@@ -112,6 +166,7 @@ def blocks_of(html: str) -> list[Block]:
                 links.append(piece)
 
     at, size = 0, len(html)
+    ends: dict[int, int] | None = None
     while at < size:
         hit = _TOKEN.search(html, at)
         if hit is None:
@@ -137,11 +192,12 @@ def blocks_of(html: str) -> list[Block]:
                     break
             current = stack[-1][1]
             continue
-        if tag in _SKIPPED:
-            end = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|(?=<body\b)", re.I).search(html, at)
-            at = end.end() if end else size
+        if tag in _VOID or self_closed(attributes):
             continue
-        if tag in _VOID or attributes.endswith("/") and tag in _VOID:
+        if tag in _SKIPPED:
+            if ends is None:
+                ends = ends_of(html)
+            at = raw_end(html, tag, at) if tag in _RAW else head_end(html, at, ends) if tag == "head" else ends.get(hit.start(), at)
             continue
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in _IMPLIED.get(tag, ()) or tag in _SCOPES and stack[i][0] == "p":

@@ -151,3 +151,17 @@ def test_page_without_article_is_told_by_density(spark):
     page = f"<body><div><ul>{links}</ul></div><div><p>{text}</p><p>{text}</p></div><div><ul>{links}</ul></div></body>"
     frame = spark.createDataFrame([(1, page)], "page_id long, html string")
     assert html.extract(frame).first()["text"] == f"{text}\n\n{text}"
+
+
+def test_open_and_self_closed_elements_hide_nothing_else():
+    text = "This paragraph has a good number of words, none of which is a link at all, so it reads like main text."
+    tree = html.fitted()
+    for tag in ("<svg class='i'/>", "<iframe src='x' />", "<script src='x.js'/>", "<button>", "<map name=a>", "<object data=x>", "<select>", "<a id='top'/>", "<iframe src=http://x/>"):
+        for later in ("", "<button>b</button><map></map><object></object><select></select><iframe></iframe><svg></svg><script></script>"):
+            page = f"<html><head><title>T</title></head><body>{tag}<article><p>{text}</p><p>{text}</p></article>{later}</body></html>"
+            assert html.main_text(page, tree) == f"{text}\n\n{text}", (tag, later)
+    for head in ("<head><title>T</title><meta charset=utf-8>", "<head><title>T</title><style>p{}</style><script>'<p>'</script>\n<!-- c -->", "<head><link rel=x /><title>T</title><noscript><img></noscript>", "<title>T</title>"):
+        assert html.main_text(f"<!DOCTYPE html><html>{head}<article><p>{text}</p></article>", tree) == text, head
+    nested = f"<body><object data=a><object data=b>no</object>nor this</object><svg><svg></svg><text>no</text></svg><select><option>x</select><article><p>{text}</p></article>"
+    assert html.main_text(nested, tree) == text
+    assert html.main_text(f"<article><p>{text}</p><script>open <p>{text}</p>", tree) == text
