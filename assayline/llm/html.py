@@ -53,7 +53,8 @@ _INLINE = {
 }
 _IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "aside", "nav", "header", "footer", "form", "body", "blockquote"}
-# Zones: 1 main text, -1 what surrounds it, 0 neither.
+# Zones: 1 main text, -1 what surrounds it, 0 neither, DOUBTFUL perhaps what surrounds it.
+DOUBTFUL = -0.5
 _ZONES = {"article": 1, "main": 1, "nav": -1, "footer": -1, "aside": -1, "form": -1, "dialog": -1, "menu": -1, "fieldset": -1}
 _AROUND = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu menus nav navbar navigation breadcrumb breadcrumbs "
@@ -61,6 +62,11 @@ _AROUND = set(
     "overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus respond reply replies form search copyright "
     "disclaimer legal toc skip hidden".split()
 )
+# Parts of a layout: within a longer name (page-sidebar-left) it may be that of a wrapper of all.
+_LAYOUT = {"sidebar", "nav", "navbar", "menu", "banner", "footer", "masthead", "toolbar", "toc", "search", "share", "sharing", "social", "widget", "widgets"}
+# Words beside which another word tells a state or a topic (has-sidebar, comments-open, tag-search).
+_STATE_BEFORE = {"has", "with", "without", "no", "not", "category", "tag", "type", "format", "status"}
+_STATE_AFTER = {"open", "closed", "on", "off", "enabled", "disabled"}
 _AROUND_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 _MAIN = {"article", "entry", "post", "story", "content", "main"}
 _BODY = {"body", "content", "text"}
@@ -71,36 +77,54 @@ class Block:
     text: str
     words: int
     linked: int
-    zone: int
+    zone: float
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def zone_of(tag: str, attributes: str, inside: int) -> int | None:
+def zone_of(tag: str, attributes: str, inside: float) -> float | None:
     """Zone that an element opens, None if it says nothing."""
     zone = _ZONES.get(tag)
     if tag == "header":
         zone = None if inside > 0 else -1
     found: set[str] = set()
+    names: list[list[str]] = []
+    container = tag == "main" or tag == "article" and inside == 0
     for name, value in _MARK.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return -1
         if name == "role":
             zone = 1 if value in ("main", "article") else -1 if value in _AROUND_ROLES else zone
+            container |= value == "main"
         elif name in ("class", "id"):
-            found.update(w.lower() for w in _WORDS.findall(value))
-    if found & _AROUND and tag not in ("body", "html"):
-        return -1
+            for token in value.split():
+                words = [w.lower() for w in _WORDS.findall(token)]
+                if not words or words[0] in _STATE_BEFORE or words[-1] in _STATE_AFTER:
+                    continue
+                names.append(words)
+                found.update(words)
+                if tag == "article":
+                    container |= inside >= 0 and len(words) == 1 and words[0] in _MAIN
+                elif name == "id" and tag in ("div", "section", "td"):
+                    container |= inside >= 0 and found_main(words)
+    if found & _AROUND and tag not in ("body", "html") and not container:
+        layout = all(len(words) > 1 and set(words) & _AROUND <= _LAYOUT for words in names if set(words) & _AROUND)
+        return DOUBTFUL if layout and tag in ("div", "section", "td", "article") else -1
     if "header" in found and inside <= 0 and not found & _MAIN:
         return -1
-    if zone is None and inside == 0 and found & _MAIN and found & _BODY and tag in ("div", "section", "td"):
+    if zone is None and inside in (0, DOUBTFUL) and tag in ("div", "section", "td") and (found & _MAIN and found & _BODY or container):
         return 1
     return zone
 
 
+def found_main(words: list[str]) -> bool:
+    """Whether all words of an id name the main text (content, main-content, article-body)."""
+    return bool(set(words) & _MAIN) and set(words) <= _MAIN | _BODY
+
+
 def self_closed(attributes: str) -> bool:
     """Whether a tag ends in a slash of its own, not in that of an unquoted value."""
     return attributes.endswith("/") and not _UNQUOTED_END.search(attributes)
@@ -148,8 +172,8 @@ def blocks_of(html: str) -> list[Block]:
     blocks: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
-    stack: list[tuple[str, int]] = [("", 0)]
-    current = 0
+    stack: list[tuple[str, float]] = [("", 0)]
+    current: float = 0
 
     def close() -> None:
         text = " ".join(unescape("".join(parts)).split())
@@ -207,8 +231,9 @@ def blocks_of(html: str) -> list[Block]:
                 break
         zone = zone_of(tag, attributes, stack[-1][1])
         inherited = stack[-1][1]
-        # What surrounds the main text stays so, whatever it holds, but for an article of its own.
-        now = inherited if zone is None or inherited < 0 and tag != "article" else zone
+        # What surrounds the main text stays so, whatever it holds, but for an article of its own;
+        # a doubtful zone gives way to any that is not.
+        now = inherited if zone is None or inherited < 0 and tag != "article" and inherited != DOUBTFUL else zone
         if tag in _INLINE and now != inherited:
             now = inherited if zone is None or zone > 0 else now
             if now != current:
@@ -249,6 +274,15 @@ LABELLED = (
     (2, 0.0, 0, 3, 0.0, 1, 1.0, 0), (4, 0.0, 0, 2, 0.0, 3, 0.0, 0), (35, 0.6, 0, 5, 0.8, 8, 0.7, 0), (16, 0.7, 0, 60, 0.0, 4, 1.0, 0),
 )
 
+# The same for blocks of a doubtful zone, whose tree is grown by itself.
+LABELLED_DOUBTFUL = (
+    (60, 0.0, DOUBTFUL, 45, 0.0, 80, 0.0, 1), (45, 0.05, DOUBTFUL, 6, 0.0, 60, 0.0, 1), (120, 0.1, DOUBTFUL, 1, 1.0, 30, 0.0, 1), (35, 0.0, DOUBTFUL, 70, 0.0, 40, 0.0, 1),
+    (80, 0.0, DOUBTFUL, 4, 0.0, 1, 1.0, 1), (25, 0.0, DOUBTFUL, 40, 0.0, 55, 0.0, 1), (30, 0.0, DOUBTFUL, 30, 0.0, 0, 0.0, 1), (22, 0.0, DOUBTFUL, 60, 0.0, 2, 1.0, 1),
+    (9, 0.0, DOUBTFUL, 6, 0.0, 20, 0.0, 0), (4, 0.0, DOUBTFUL, 60, 0.0, 3, 1.0, 0), (12, 0.0, DOUBTFUL, 2, 1.0, 3, 1.0, 0), (2, 1.0, DOUBTFUL, 1, 1.0, 4, 1.0, 0),
+    (25, 0.8, DOUBTFUL, 20, 0.7, 30, 0.9, 0), (40, 0.6, DOUBTFUL, 9, 0.7, 60, 0.0, 0), (1, 0.0, DOUBTFUL, 5, 0.3, 8, 0.0, 0),
+    (14, 0.0, DOUBTFUL, 12, 0.0, 11, 0.0, 0), (18, 0.5, DOUBTFUL, 30, 0.0, 20, 0.0, 0),
+)
+
 
 def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> tuple:
     """A binary decision tree by Gini impurity: (feature, limit, below, above) or (label,)."""
@@ -271,8 +305,8 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> tuple:
 
 @cache
 def fitted() -> tuple:
-    table = np.array(LABELLED, dtype=float)
-    return grow(table[:, :-1], table[:, -1])
+    certain, doubtful = (grow(t[:, :-1], t[:, -1]) for t in (np.array(LABELLED, dtype=float), np.array(LABELLED_DOUBTFUL, dtype=float)))
+    return 2, DOUBTFUL / 2, (2, (DOUBTFUL - 1) / 2, certain, doubtful), certain
 
 
 def is_main(tree: tuple, row: np.ndarray) -> bool:

@@ -165,3 +165,17 @@ def test_open_and_self_closed_elements_hide_nothing_else():
     nested = f"<body><object data=a><object data=b>no</object>nor this</object><svg><svg></svg><text>no</text></svg><select><option>x</select><article><p>{text}</p></article>"
     assert html.main_text(nested, tree) == text
     assert html.main_text(f"<article><p>{text}</p><script>open <p>{text}</p>", tree) == text
+
+
+def test_words_of_state_and_layout_do_not_hide_the_main_text():
+    text = "This paragraph has a good number of words, none of which is a link at all, so it reads like the main text of a page and not like anything around it."
+    tree = html.fitted()
+    for start in (
+        "<article class='post comments-open'>", "<main class='with-sidebar'>", "<div id='content' class='has-sidebar'>", "<div id='main-content' class='search'>", "<article class='share'>",
+        "<main><article class='post tag-search category-social'>", "<div class='page-sidebar-left'>", "<div class='page-sidebar-left'><main>", "<div class='no-sidebar'><div id='content'>",
+    ):
+        assert html.main_text(f"<body>{start}<p>{text}</p><p>{text}</p>", tree) == f"{text}\n\n{text}", start
+    for start in ("<div class='sidebar'>", "<div id='comments' class='comments-area'>", "<div class='cookie-notice'>", "<article hidden>", "<section id='comments'><article class='comment-body'>", "<nav class='main'>"):
+        assert html.main_text(f"<body>{start}<p>{text}</p><p>{text}</p>", tree) == "", start
+    short = "<body><article><p>{0}</p></article><div class='left-sidebar-box'><p>a few words</p><p><a href=x>a link of some words</a></p></div>".format(text)
+    assert html.main_text(short, tree) == text
