@@ -129,6 +129,23 @@ def test_pruned_models_stay_within_their_bound(spark, monkeypatch):
     assert -12 < model.character("en", " the") < 0
 
 
+def test_small_languages_have_a_band_of_their_own(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 120), "en") for i in range(150)]
+    signs = [chr(0x4E00 + i) for i in range(3000)]
+    rows += [(1000 + i, " ".join("".join(rng.choice(signs) for _ in range(2)) for _ in range(80)), "zh" if i % 2 else None) for i in range(24)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = {r["doc_id"] for r in quality_rules.judge(frame).collect() if r["kept"]}
+    assert kept == {r[0] for r in rows}
+
+
+def test_bands_do_not_jump_with_the_size_of_a_language(spark):
+    values = [("big", 1.5)] * 1000 + [("a", 3.0)] * 99 + [("b", 3.0)] * 100 + [("c", 3.0)]
+    found = {r["lang"]: r for r in quality_rules.bands(spark.createDataFrame(values, "__lang string, log_perplexity double"), 1.0, 1.0).collect()}
+    assert abs(found["a"]["low"] - found["b"]["low"]) < 0.01
+    assert 1.5 < found["c"]["low"] < found["a"]["low"] <= 3.0 and found["big"]["low"] == pytest.approx(1.5, abs=0.002)
+
+
 def test_classifier_learns_from_positives_and_unlabelled(spark):
     rng = random.Random(4)
     rows, truth = [], {}
