@@ -129,6 +129,17 @@ def test_pruned_models_stay_within_their_bound(spark, monkeypatch):
     assert -12 < model.character("en", " the") < 0
 
 
+def test_language_of_symbols_alone_has_a_model(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 120), "en") for i in range(100)]
+    rows += [(1000 + i, " ".join(f"{rng.choice('abcxyz')}|{rng.choice(SYLLABLES)}&" for _ in range(90)), "code") for i in range(120)]
+    rows += [(2000 + i, " ".join("".join(chr(rng.randint(0x400, 0x9FF)) for _ in range(6)) + "<>" for _ in range(90)), "code") for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = {r["doc_id"]: r for r in quality_rules.judge(frame).collect()}
+    assert len({found[1000 + i]["log_perplexity"] for i in range(120)}) > 100
+    assert all(found[1000 + i]["kept"] for i in range(120)) and not any(found[2000 + i]["kept"] for i in range(3))
+
+
 def test_small_languages_have_a_band_of_their_own(spark):
     rng = random.Random(7)
     rows = [(i, prose(rng, 120), "en") for i in range(150)]
