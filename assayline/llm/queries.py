@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import bpe, html, jaccard, mixing, quality_classifier, quality_rules, secrets, token_counts, topk, urls
+from assayline.llm import bpe, html, jaccard, mixing, plane_clusters, quality_classifier, quality_rules, secrets, token_counts, topk, urls, vector_codes
 from assayline.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,70 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens",
         (F.col("n_tokens") > 2048).alias("over_limit"),
     )
+
+
+# Vectors as integers; ids and vectors order them, as equal ids may occur.
+def _numbers(scale: int) -> str:
+    return f"""numbers AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+
+
+def _op11_sql(parts: int = 4, entries: int = 256, rounds: int = 4, width: int = 16) -> str:
+    """Every part against every entry, round by round."""
+    steps = [f"""{_numbers(1024)}, kept AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r FROM numbers WHERE len(v) = {parts * width}
+), cut AS (
+  SELECT r, p::INTEGER AS p, v[p * {width} + 1 : p * {width} + {width}] AS x FROM kept, range({parts}) t(p)
+), books0 AS (SELECT p, (r - 1)::INTEGER AS e, x FROM cut WHERE r <= {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS (
+  SELECT r, c.p, min((list_sum(list_transform(range(1, {width + 1}), lambda i: (c.x[i] - b.x[i]) * (c.x[i] - b.x[i]))) * 256 + b.e)::BIGINT) AS best
+  FROM cut c JOIN books{i} b ON c.p = b.p GROUP BY ALL
+)""")
+        if i < rounds:
+            steps.append(f"""moved{i} AS (
+  SELECT p, e, list(m ORDER BY i) AS x FROM (
+    SELECT n.p, best % 256 AS e, i, floor(sum(x[i]) / count(*))::BIGINT AS m
+    FROM near{i} n JOIN cut c ON n.r = c.r AND n.p = c.p, range(1, {width + 1}) t(i) GROUP BY ALL) GROUP BY ALL
+), books{i + 1} AS (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM books{i} b LEFT JOIN moved{i} m ON b.p = m.p AND b.e = m.e)""")
+    return f"""WITH {", ".join(steps)}, coded AS (
+  SELECT k.r, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(printf('%02x', (best % 256)::INTEGER), '' ORDER BY p) AS code,
+         sum(best // 256)::BIGINT AS error FROM kept k JOIN near{rounds} n ON k.r = n.r GROUP BY k.r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM books{rounds}) AS codebooks_sha256 FROM coded
+"""
+
+
+@query("op11_vector_codes", _op11_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+def _op13_sql(k: int = 16, rounds: int = 3) -> str:
+    steps = [f"""{_numbers(64)}, kept AS (SELECT *, sha256('1:' || vec_id) AS h, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) AS r
+  FROM numbers WHERE len(v) = 64
+), centres0 AS (SELECT (r - 1)::INTEGER AS c, v FROM kept WHERE r <= {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS (
+  SELECT r, min((list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - s.v[i]) * (k.v[i] - s.v[i]))) * {k} + s.c)::BIGINT) AS best
+  FROM kept k, centres{i} s GROUP BY r
+)""")
+        if i < rounds:
+            steps.append(f"""moved{i} AS (
+  SELECT c, list(m ORDER BY i) AS v FROM (
+    SELECT best % {k} AS c, i, floor(sum(v[i]) / count(*))::BIGINT AS m FROM near{i} n JOIN kept x ON n.r = x.r, range(1, 65) t(i) GROUP BY ALL)
+  GROUP BY c
+), centres{i + 1} AS (SELECT s.c, coalesce(m.v, s.v) AS v FROM centres{i} s LEFT JOIN moved{i} m ON s.c = m.c)""")
+    return f"""WITH {", ".join(steps)}, placed AS (
+  SELECT vec_id, (best % {k})::INTEGER AS cluster, best // {k} AS distance FROM kept x JOIN near{rounds} n ON x.r = n.r
+)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(s.v, ',')) AS centroid_sha256 FROM placed p JOIN centres{rounds} s ON p.cluster = s.c
+"""
+
+
+@query("op13_centroid_clusters", _op13_sql())
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plane_clusters.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64)
