@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import bpe, html, jaccard, mixing, plane_clusters, quality_classifier, quality_rules, secrets, token_counts, topk, urls, vector_codes
+from assayline.llm import bpe, html, id_files, jaccard, mixing, plane_clusters, quality_classifier, quality_rules, secrets, token_counts, topk, urls, vector_codes
 from assayline.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,6 +237,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
 
 
+@query("op12_id_files")
+def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents to files of byte planes and reads them back."""
+    path = fresh_path(spark, "token-ids")
+    id_files.write_documents(table(spark, sf_dir, "documents"), bpe.read_definition(public_tokenizers.path(WORD_BPE)), path, end_id=2)
+    read = id_files.read_documents(spark, path)
+    return read.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def _op13_sql(k: int = 16, rounds: int = 3) -> str:
     steps = [f"""{_numbers(64)}, kept AS (SELECT *, sha256('1:' || vec_id) AS h, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) AS r
   FROM numbers WHERE len(v) = 64
