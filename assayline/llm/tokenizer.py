@@ -10,6 +10,8 @@ import hashlib
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -175,20 +177,42 @@ class WordCounter:
 
 # Characters whose lower case and normal form are those of each by itself, without an apostrophe's rules.
 _SAFE = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*")
-_LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 # Signs that stand next to one another are one split; one between letters, digits and blanks is a split.
 _SIGNS = re.compile(r"[!-/:-@\[-`{-~]{2}")
 _MARKS = ',.;:!?()"-'
+# Runs of letters and of signs, in texts without digits and apostrophes.
+_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^ \na-zß-öø-ÿ]+")
+_QUOTED = re.compile(r"[0-9']")
 # A word of letters and the signs after it, which splits treat apart.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
-# Words that are encoded as one text.
-_JOINED = 2_000
 # Units of each of the two generations that a worker remembers.
-GENERATION = 150_000
+GENERATION = 300_000
+
+
+class _Generations(dict):
+    """Ids of the units met lately: when there are many, those of the generation before are forgotten."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self.make(unit)
+        if len(unit) <= MEMO_UNIT_CHARS:
+            self[unit] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > GENERATION:
+            self.older = dict(self)
+            self.clear()
 
 
 class WordEncoder:
-    """Ids of texts for definitions that drop white space and mark the ends of splits.
+    """Ids of texts for definitions that drop white space.
 
     A text is taken apart into units whose encodings do not depend on their neighbours: single marks and what is
     between blanks and marks where that is certain, else what is between blanks.
@@ -201,21 +225,26 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
         self.dtype = f"<u{self.width}"
-        model, steps = parsed["model"], parsed.get("normalizer") or {}
+        steps = parsed.get("normalizer") or {}
         kinds = {n["type"] for n in steps.get("normalizers") or [steps] if n}
-        added = [t["content"] for t in parsed.get("added_tokens") or []]
-        self.plain = bool(model.get("end_of_word_suffix")) and kinds <= {"NFC", "Lowercase", "Replace"} and "Lowercase" in kinds
+        added = self.added = [t["content"] for t in parsed.get("added_tokens") or []]
+        byte_level = (parsed["pre_tokenizer"].get("pretokenizers") or [{}])[-1].get("type") == "ByteLevel"
+        self.plain = byte_level and sys.byteorder == "little" and kinds <= {"NFC", "Lowercase", "Replace"} and "Lowercase" in kinds
         # Added tokens are looked for before splits.
         self.plain = self.plain and all(_SIGNS.search(a) and not _PLAIN.fullmatch(a) for a in added)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        if self.plain:
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(model["end_of_word_suffix"])]] = True
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # The byte-level form of letters beyond ASCII, and the code of packed ids (both little-endian here).
+        alphabet = {b: c for c, b in byte_alphabet().items()}
+        self.forms = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self.kind = "H" if self.width == 2 else "I"
+        self.memo = _Generations(self._unit)
 
     def units(self, text: str) -> list[str]:
-        if not self.plain or not _SAFE.fullmatch(text) or _SIGNS.search(text):
+        if not self.plain or not _SAFE.fullmatch(text):
             return [w for w in text.replace("\n", " ").split(" ") if w]
+        if _SIGNS.search(text):
+            if _QUOTED.search(text) or any(a in text for a in self.added):
+                return [w for w in text.replace("\n", " ").split(" ") if w]
+            return _RUNS.findall(text.lower())
         text = text.lower()
         for mark in _MARKS:
             if mark in text:
@@ -224,55 +253,19 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed little-endian in ``dtype``."""
-        split = [self.units(t) for t in texts]
-        wanted = set().union(*split)
-        if len(self.recent) > GENERATION:
-            self.older, self.recent = self.recent, {}
-        new = wanted.difference(self.recent)
-        long = self._learn(new)
-        found = [b"".join(map(self.recent.__getitem__, units)) for units in split]
-        for unit in long:
-            del self.recent[unit]
-        return found
-
-    def _learn(self, new: set[str]) -> list[str]:
-        """Remember the ids of some units; returns those that are too long to be kept."""
-        parts, letters, others = {}, set(), []
-        for unit in new:
-            if unit in self.older:
-                self.recent[unit] = self.older[unit]
-            elif not self.plain or len(unit) > MEMO_UNIT_CHARS:
-                others.append(unit)
-            elif _LETTERS.fullmatch(unit):
-                letters.add(unit)
-            elif match := _PLAIN.fullmatch(unit):
-                parts[unit] = match[1].lower(), match[2]
-            else:
-                others.append(unit)
-        pieces = {p for pair in parts.values() for p in pair}
-        known = {p: self.recent.get(p) or self.older.get(p) for p in pieces}
-        letters |= {p for p, ids in known.items() if ids is None}
-        self._joined(sorted(letters))
-        for unit, pair in parts.items():
-            self.recent[unit] = b"".join(known[p] or self.recent[p] for p in pair)
-        self.recent.update(zip(others, self._library(others), strict=True))
-        return [u for u in others if len(u) > MEMO_UNIT_CHARS]
-
-    def _joined(self, splits: list[str]) -> None:
-        """Ids of single splits, many in one text: each ends at a token that marks an end."""
-        for at in range(0, len(splits), _JOINED):
-            some = splits[at : at + _JOINED]
-            ids = np.frombuffer(self._library([" ".join(some)])[0], dtype=self.dtype)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some) and stops[-1] == len(ids):
-                data, size = ids.tobytes(), self.width
-                places = [0, *(stops * size).tolist()]
-                found = [data[a:b] for a, b in zip(places, places[1:])]
-            else:
-                found = self._library(some)
-            self.recent.update(zip(some, found, strict=True))
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.memo.age()
+        ids_of = self.memo.__getitem__
+        return [b"".join(map(ids_of, self.units(t))) for t in texts]
+
+    def _unit(self, unit: str) -> bytes:
+        if self.plain and len(unit) <= MEMO_UNIT_CHARS:
+            if _LETTERS.fullmatch(unit):
+                return self._split(unit)
+            if match := _PLAIN.fullmatch(unit):
+                return self.memo[match[1].lower()] + self.memo[match[2]]
+        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _split(self, letters: str) -> bytes:
+        """Ids of one split of lower-case letters, from the model itself."""
+        form = letters if letters.isascii() else letters.translate(self.forms)
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(form)]).tobytes()

@@ -48,7 +48,7 @@ def test_encoder_forgets_and_learns_again(library, monkeypatch):
         texts = [made(rng, 12) for _ in range(10)]
         expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
         assert [np.frombuffer(f, encoder.dtype).tolist() for f in encoder.encode_many(texts)] == expected
-        assert not any(len(u) > 64 for u in encoder.recent)
+        assert not any(len(u) > 64 for u in encoder.memo) and len(encoder.memo.older) < 400
 
 
 @pytest.mark.parametrize("kind", id_files.KINDS)
