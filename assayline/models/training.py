@@ -86,11 +86,13 @@ def cross_validate(
 
     ``CrossValidator`` would check a given fold column with a Python function per row and
     scan the held-out rows once per grid point. Here one scan per fold scores all points, and
-    penalised linear models need one scan in all (see ``gram``); ``one_scan=False`` is for
+    penalised linear models need two in all (see ``gram``); ``one_scan=False`` is for
     tables of so many columns that their products are too many.
     """
-    if one_scan and isinstance(estimator, PenalisedRegression):
-        return cross_validate_linear(df, estimator, points, label, fold, folds)
+    if isinstance(estimator, PenalisedRegression):
+        if one_scan and estimator.getOrDefault("solver") == "sums":
+            return cross_validate_linear(df, estimator, points, label, fold, folds)
+        estimator = estimator.copy({estimator.solver: "iterative"})
     errors: list[list[float]] = [[] for _ in points]
     for held_out in range(folds):
         training = df.where(F.col(fold) != held_out)
