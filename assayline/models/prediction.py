@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.models.training import ModelSet
+from assayline.models.trees import Spread
 
 
 def predict(df: DataFrame, trained: ModelSet, name: str | None = None, column: str = "prediction") -> DataFrame:
@@ -24,22 +25,17 @@ def predict_with_spread(
 ) -> DataFrame:
     """Add the prediction and the population deviation over the trees of a forest.
 
-    Every tree adds one expression to the same projection, so nothing is exploded,
-    joined or shuffled, and the plan also runs on a stream. Linear models have spread 0;
+    Three predictions tell both, however many trees there are (see ``Spread``); the two further forests that
+    this takes are written once per model. Nothing is exploded, joined or shuffled, and the plan
+    also runs on a stream. Linear models have spread 0;
     boosted trees are stages of one sum, not votes, so their spread is unknown (NULL).
     """
-    model = trained.get(name).model
+    entry = trained.get(name)
+    model = entry.model
     if isinstance(model, RandomForestRegressionModel):
-        votes = []
-        for i, tree in enumerate(model.trees):
-            votes.append(f"__tree{i}")
-            df = tree.transform(df, {tree.predictionCol: votes[-1]})
-        count = float(len(votes))
-        total = F.aggregate(F.array(*votes), F.lit(0.0), lambda s, v: s + v)
-        df = df.withColumn(column, total / count)
-        mean = F.col(column)
-        squares = F.aggregate(F.array(*votes), F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-        return df.withColumn(spread, F.sqrt(squares / count)).drop(*votes)
+        if "spread" not in entry.derived:
+            entry.derived["spread"] = Spread(df.sparkSession, model)
+        return entry.derived["spread"].transform(df, column, spread)
     df = predict(df, trained, name, column)
     unknown = isinstance(model, GBTRegressionModel)
     return df.withColumn(spread, F.lit(None if unknown else 0.0).cast("double"))

@@ -8,7 +8,8 @@ import json
 import logging
 import statistics
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from contextlib import AbstractContextManager, nullcontext
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
@@ -37,9 +38,11 @@ class Trained:
     name: str
     model: Model
     best_params: dict
-    cv_mean: float
-    cv_std: float
+    cv_mean: float | None
+    cv_std: float | None
     training_time: float
+    # What is worked out from the model when first needed.
+    derived: dict = field(default_factory=dict, compare=False, repr=False)
 
 
 @dataclass
@@ -133,11 +136,13 @@ def train_one(
     split: str = "split",
     parallelism: int = 4,
     one_scan: bool = True,
+    validate: bool = True,
 ) -> Trained:
     """Search the grid by cross-validation on the train rows, refit the best point on all of them.
 
     ``df`` holds ``features``, ``label``, ``fold`` and ``split``. Without tuning the
-    defaults are validated the same way, as a grid of one point.
+    defaults are validated the same way, as a grid of one point; ``validate=False`` then leaves
+    the validation out, with its one fit per fold, and ``cv_mean`` and ``cv_std`` stay empty.
     """
     if name not in models:
         raise ValueError(f"unknown model: {name}")
@@ -146,16 +151,19 @@ def train_one(
     estimator = config.build(seed)
     points = grid_points(config.grid) if tune and config.grid else [{}]
     train = df.where(F.col(split) == "train").select("features", label, fold)
-    errors = cross_validate(train, estimator, points, label, fold, folds, parallelism, one_scan)
-    scores = [(statistics.fmean(e), i) for i, e in enumerate(errors)]
-    mean, best = min(scores)
+    if validate or len(points) > 1:
+        errors = cross_validate(train, estimator, points, label, fold, folds, parallelism, one_scan)
+        mean, best = min((statistics.fmean(e), i) for i, e in enumerate(errors))
+        deviation = statistics.pstdev(errors[best])
+    else:
+        mean, best, deviation = None, 0, None
     model = _fit_points(train, estimator, [points[best]], label, 1)[0]
     return Trained(
         name=name,
         model=model,
         best_params=points[best],
         cv_mean=mean,
-        cv_std=statistics.pstdev(errors[best]),
+        cv_std=deviation,
         training_time=time.monotonic() - started,
     )
 
@@ -165,19 +173,21 @@ def train_all(
     label: str,
     names: Sequence[str] = DEFAULT_MODELS,
     tune: bool = True,
+    phase: Callable[[str], AbstractContextManager] = nullcontext,
     **options,
 ) -> ModelSet:
     """Train several models; one that fails is recorded and skipped. Then choose the best.
 
     Unknown options raise before any training; if no model is left, the recorded errors are
-    raised.
+    raised. Each model is trained inside ``phase(name)``.
     """
     if unknown := set(options) - set(inspect.signature(train_one).parameters):
         raise TypeError(f"unknown options: {', '.join(sorted(unknown))}")
     trained = ModelSet()
     for name in names:
         try:
-            trained.models[name] = train_one(df, name, label, tune, **options)
+            with phase(name):
+                trained.models[name] = train_one(df, name, label, tune, **options)
         except Exception as failure:  # noqa: BLE001 - any failure of one model is reported as such
             log.warning("training %s failed: %s", name, failure)
             trained.errors[name] = str(failure)

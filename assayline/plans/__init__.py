@@ -2,7 +2,7 @@
 
 from assayline.plans.prepare import Preparation, fit_preparation
 from assayline.plans.score import score_batch, score_by_rule, score_table
-from assayline.plans.train import train_job, training_summary
+from assayline.plans.train import train_job, training_journal, training_summary
 
 __all__ = [
     "Preparation",
@@ -11,5 +11,6 @@ __all__ = [
     "score_by_rule",
     "score_table",
     "train_job",
+    "training_journal",
     "training_summary",
 ]

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import inspect
-from collections.abc import Sequence
+import time
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from datetime import UTC, datetime
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -14,10 +18,15 @@ from assayline.models.persistence import load_models, save_models
 from assayline.models.training import ModelSet, evaluate_models, train_all, train_one
 from assayline.operators.evaluate import model_comparison
 from assayline.operators.outliers import POLICIES
+from assayline.operators.profile import table_info
 from assayline.plans.prepare import Preparation, assemble, fit_preparation
+from assayline.session import write_through
 from assayline.spec import TableSpec
 
 
+JOURNAL_SCHEMA = "run string, ordinal int, phase string, started timestamp, seconds double, rows long"
+
+
 def artefacts_exist(spark: SparkSession, path: str) -> bool:
     """Whether a finished training job left its outcome under ``path``."""
     try:
@@ -29,6 +38,36 @@ def artefacts_exist(spark: SparkSession, path: str) -> bool:
     return True
 
 
+class Journal:
+    """Phases of a job, appended to a table under its path as they end: an unfinished job shows how far it came."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.ordinal = spark, f"{path}/journal", 0
+        self.run = uuid.uuid4().hex
+
+    @contextmanager
+    def phase(self, name: str) -> Iterator[dict]:
+        """Time what is done inside; set ``rows`` of what is given to the number of rows the phase worked on.
+
+        A phase that fails is written down too, without rows."""
+        found: dict = {"rows": None}
+        started, clock = datetime.now(UTC), time.monotonic()
+        try:
+            yield found
+        finally:
+            row = (self.run, self.ordinal, name, started, time.monotonic() - clock, found["rows"])
+            self.spark.createDataFrame([row], JOURNAL_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+            self.ordinal += 1
+
+
+def training_journal(spark: SparkSession, path: str) -> DataFrame:
+    """Rows ``(ordinal, phase, started, seconds, rows)`` of the run that finished the job."""
+    journal = spark.read.schema(JOURNAL_SCHEMA).parquet(f"{path}/journal")
+    # A few rows per run; the run that saved its models is the last one that did anything.
+    finished = journal.where("phase = 'save'").agg(F.max_by("run", "started").alias("run"))
+    return journal.join(F.broadcast(finished), "run").drop("run").orderBy("ordinal")
+
+
 def train_job(
     df: DataFrame,
     spec: TableSpec,
@@ -54,22 +93,44 @@ def train_job(
     if outliers is not None and outliers not in POLICIES:
         raise ValueError(f"unknown policy {outliers!r}, expected one of {POLICIES}")
     if not artefacts_exist(spark, path):
-        prepared, preparation = fit_preparation(df, spec, seed=seed, folds=folds, outliers=outliers)
-        vectors = assemble(prepared, spec.model_columns).select("features", spec.target, "split", "fold")
-        vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+        journal = Journal(spark, path)
+        with journal.phase("read") as done:
+            info = write_through(table_info(df), "table-info")
+            info.write.mode("overwrite").parquet(f"{path}/table")
+            done["rows"] = info.agg(F.max("rows")).first()[0]
+        with journal.phase("prepare") as done:
+            prepared, preparation = fit_preparation(df, spec, seed=seed, folds=folds, outliers=outliers)
+            vectors = assemble(prepared, spec.model_columns).select("features", spec.target, "split", "fold")
+            vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+            sizes = {r["split"]: r["count"] for r in vectors.groupBy("split").count().collect()}
+            done["rows"] = sum(sizes.values())
+
+        @contextmanager
+        def training(name: str) -> Iterator[None]:
+            with journal.phase(f"train {name}") as done:
+                yield
+                done["rows"] = sizes.get("train", 0)
+
         try:
-            trained = train_all(vectors, spec.target, names, tune, folds=folds, seed=seed, **options)
-            metrics = evaluate_models(trained, vectors, spec.target)
-            metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
+            trained = train_all(vectors, spec.target, names, tune, folds=folds, seed=seed, phase=training, **options)
+            with journal.phase("evaluate") as done:
+                metrics = evaluate_models(trained, vectors, spec.target)
+                metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
+                done["rows"] = sum(sizes.values())
         finally:
             vectors.unpersist()
-        preparation.save(spark, f"{path}/preparation")
-        save_models(trained, spark, path)
+        with journal.phase("save") as done:
+            preparation.save(spark, f"{path}/preparation")
+            save_models(trained, spark, path)
+            done["rows"] = sum(sizes.values())
     return Preparation.load(spark, f"{path}/preparation"), load_models(spark, path)
 
 
 def training_summary(spark: SparkSession, path: str) -> DataFrame:
-    """One row per model of a finished job: comparison, parameters, times, best flag."""
+    """One row per model of a finished job: comparison, parameters, times, best flag, rows read and prepared.
+
+    ``training_journal`` has the times of all phases, the table ``table`` under ``path`` what was read.
+    """
     training = spark.read.parquet(f"{path}/training").where(F.col("error").isNull())
     metrics = spark.read.parquet(f"{path}/metrics")
     columns = spark.read.parquet(f"{path}/preparation/columns").orderBy("position").collect()
@@ -78,4 +139,6 @@ def training_summary(spark: SparkSession, path: str) -> DataFrame:
         metrics, training.select("model", "best_params", "cv_mean", "cv_std", "training_time", "is_best")
     )
     total = F.sum("training_time").over(Window.partitionBy())  # one row per model
-    return compared.withColumns({"features": F.lit(features), "total_time": total})
+    rows = {r["phase"]: r["rows"] for r in training_journal(spark, path).collect()}
+    counts = {"rows_read": F.lit(rows["read"]), "rows_prepared": F.lit(rows["prepare"])}
+    return compared.withColumns({"features": F.lit(features), "total_time": total, **counts})

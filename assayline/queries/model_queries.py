@@ -1,4 +1,4 @@
-"""Models. One-feature linear models and stumps have closed forms, so SQL can check them."""
+"""Models of all columns. SQL solves the linear ones and grows the trees by itself (see ``model_sql``)."""
 
 from __future__ import annotations
 
@@ -30,14 +30,15 @@ from assayline.models.training import (
     grid_points,
     with_predictions,
 )
-from assayline.operators.evaluate import metrics_of_models, model_comparison
+from assayline.models.trees import audit_nodes, importance_of_nodes, node_table
+from assayline.operators.evaluate import model_comparison
 from assayline.operators.split import fold_of, stratified_split
 from assayline.plans.prepare import Preparation, assemble, fit_preparation
 from assayline.plans.score import score_batch, score_table
-from assayline.plans.train import train_job, training_summary
+from assayline.plans.train import train_job, training_journal, training_summary
+from assayline.queries import model_sql as M
 from assayline.queries.registry import query, rounded
 from assayline.queries.samples import (
-    CLEANED,
     KEY,
     SAMPLES,
     SPEC,
@@ -48,26 +49,25 @@ from assayline.queries.samples import (
 )
 from assayline.session import fresh_path, write_through
 from assayline.sources import REJECT, write_delimited
-from assayline.spec import TableSpec
 
 _KEYS = columns(*KEY)
 LINEAR = ("ridge", "lasso", "elastic_net")
 
-# Reduced trees for demonstration; the catalogue holds the full sizes.
-SMALL_TREES = {
-    "random_forest": ModelConfig(
+
+def _tree(**settings) -> ModelConfig:
+    """A forest of one tree of all rows, which SQL can grow too."""
+    return ModelConfig(
         lambda seed: RandomForestRegressor(
-            numTrees=10, maxDepth=5, featureSubsetStrategy="all", maxBins=MAX_BINS, seed=seed
-        ),
-        {"maxDepth": [3, 5]},
-    ),
-    "gradient_boosting": ModelConfig(
-        lambda seed: GBTRegressor(
-            maxIter=8, maxDepth=3, stepSize=step_size(0.1), lossType="squared", maxBins=MAX_BINS, seed=seed
-        ),
-        {"stepSize": [step_size(0.1), step_size(0.2)]},
-    ),
-}
+            numTrees=1, bootstrap=False, featureSubsetStrategy="all", maxBins=MAX_BINS, seed=seed, **settings
+        )
+    )
+
+
+# The catalogue's forest at the least depth of its grid: unlimited trees of noisy targets grow with the table.
+FOREST = ModelConfig(lambda seed: MODELS["random_forest"].build(seed).setMaxDepth(MODELS["random_forest"].grid["maxDepth"][0]))
+# What the whole job trains: a tree and a line that SQL knows, or the forest and the line.
+JOB = {"random_forest": _tree(maxDepth=3), "ridge": MODELS["ridge"]}
+FULL_JOB = {"random_forest": FOREST, "ridge": MODELS["ridge"]}
 
 _shared: dict[tuple, object] = {}
 
@@ -92,16 +92,6 @@ def _alcohol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble(_split_samples(spark, sf_dir), ["alcohol"])
 
 
-def _linear(spark: SparkSession, sf_dir: str) -> ModelSet:
-    """Tuned linear models of quality on alcohol, and one name that nobody configured."""
-    return _once(
-        spark,
-        sf_dir,
-        "linear",
-        lambda: train_all(_alcohol(spark, sf_dir), "quality", [*LINEAR, "support_vector"]),
-    )
-
-
 def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Preparation]:
     def make():
         prepared, preparation = fit_preparation(dirty_samples(spark, sf_dir), SPEC)
@@ -110,111 +100,88 @@ def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Preparation]
     return _once(spark, sf_dir, "prepared", make)
 
 
-def _trees(spark: SparkSession, sf_dir: str) -> ModelSet:
-    def make():
-        vectors = assemble(_prepared(spark, sf_dir)[0], SPEC.model_columns)
-        return train_all(vectors, "quality", list(SMALL_TREES), tune=False, models=SMALL_TREES)
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble(_prepared(spark, sf_dir)[0], SPEC.model_columns)
 
-    return _once(spark, sf_dir, "trees", make)
 
+def _linear(spark: SparkSession, sf_dir: str) -> ModelSet:
+    """Tuned linear models of quality on all columns, and one name that nobody configured."""
+    return _once(spark, sf_dir, "linear", lambda: train_all(_vectors(spark, sf_dir), "quality", [*LINEAR, "support_vector"]))
 
-# --- closed forms ---------------------------------------------------------------------
 
-_SPLIT = f"{SAMPLES}, {split_cte()}, data AS (SELECT {_KEYS}, alcohol AS x, quality AS y, split, fold FROM split)"
+def _boosting(spark: SparkSession, sf_dir: str) -> ModelSet:
+    """The catalogue's boosted trees."""
+    def make():
+        entry = train_one(_vectors(spark, sf_dir), "gradient_boosting", "quality", tune=False, validate=False)
+        return ModelSet({entry.name: entry}, best_name=entry.name)
 
-_GRID = "grid AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{m}', {a}::DOUBLE, {l1}::DOUBLE, {i}, '{params}')"
-    for m, l1 in (("ridge", 0.0), ("lasso", 1.0), ("elastic_net", 0.5))
-    for i, a in enumerate(MODELS[m].grid["alpha"])
-    for params in [f'{{"alpha": {a}, "l1_share": 0.5}}' if m == "elastic_net" else f'{{"alpha": {a}}}']
-) + ") t(model, alpha, l1, point, params))"
+    return _once(spark, sf_dir, "boosting", make)
 
 
-def _slope(n: str, cov: str, var: str) -> str:
-    """Penalised slope of one feature: ridge sums its loss over rows, the others average it."""
-    weight = f"CASE WHEN model = 'ridge' THEN alpha / {n} ELSE alpha END"
-    return (
-        f"sign({cov}) * greatest(abs({cov}) - ({weight}) * l1, 0) / ({var} + ({weight}) * (1 - l1))"
-    )
+# --- penalised lines of all columns -----------------------------------------------------
 
 
-_MOMENTS = "count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(y, x) AS cov, var_pop(x) AS var"
-_CV = f"""folds AS (SELECT unnest([0, 1, 2]) AS held),
-fold_moments AS (SELECT held, {_MOMENTS} FROM data, folds WHERE split = 'train' AND fold <> held GROUP BY held),
-fold_fits AS (SELECT g.*, held, mx, my, {_slope("n", "cov", "var")} AS slope FROM fold_moments, grid g),
-fold_errors AS (
-  SELECT model, alpha, point, params, held, avg((y - (my + slope * (x - mx))) ** 2) AS mse
-  FROM fold_fits JOIN data ON split = 'train' AND fold = held GROUP BY ALL),
-cv AS (SELECT model, alpha, point, params, avg(mse) AS cv_mean, stddev_pop(mse) AS cv_std
-  FROM fold_errors GROUP BY ALL),
-best AS (SELECT * FROM cv QUALIFY row_number() OVER (PARTITION BY model ORDER BY cv_mean, point) = 1)"""
-_FITS = f"""moments AS (SELECT {_MOMENTS} FROM data WHERE split = 'train'),
-fits AS (SELECT g.model, g.alpha, mx, my, {_slope("n", "cov", "var")} AS slope FROM moments, grid g),
-chosen AS (SELECT f.* FROM fits f JOIN best b USING (model, alpha)),
-predicted AS (SELECT model, data.*, my + slope * (x - mx) AS p FROM data, chosen),
-metrics AS (SELECT model, split, count(*) AS n, avg((y - p) ** 2) AS mse, avg(abs(y - p)) AS mae,
-  sqrt(avg((y - p) ** 2)) AS rmse, 1 - avg((y - p) ** 2) / var_pop(y) AS r2 FROM predicted GROUP BY ALL),
-winner AS (SELECT model FROM metrics WHERE split = 'val' ORDER BY r2 DESC LIMIT 1)"""
-_LINEAR_SQL = f"WITH {_SPLIT}, {_GRID}, {_CV}, {_FITS}"
-
-
-def _lines(spark: SparkSession, sf_dir: str, model: str, **settings) -> DataFrame:
-    train = _alcohol(spark, sf_dir).where("split = 'train'")
+def _lines(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
+    train = _vectors(spark, sf_dir).where("split = 'train'")
+    estimator = MODELS[model].build(42)
+    points = [{estimator.alpha: a, estimator.labelCol: "quality"} for a in MODELS[model].grid["alpha"]]
     rows = []
-    for alpha in MODELS[model].grid["alpha"]:
-        line = PenalisedRegression(alpha=alpha, labelCol="quality", **settings).fit(train)
-        rows.append((alpha, float(line.coefficients[0]), float(line.intercept)))
-    fitted = spark.createDataFrame(rows, "alpha double, slope double, intercept double")
-    return rounded(fitted, 5, "slope", "intercept")
+    for i, line in estimator.fitMultiple(train, points):
+        numbers = [*line.coefficients.toArray().tolist(), line.intercept]
+        rows += [(points[i][estimator.alpha], c, w) for c, w in zip([*SPEC.model_columns, "intercept"], numbers, strict=True)]
+    fitted = rounded(spark.createDataFrame(rows, "alpha double, feature string, weight double"), 4, "weight")
+    return fitted.withColumn("weight", F.col("weight") + 0.0)
 
 
 def _lines_sql(model: str) -> str:
-    return f"""WITH {_SPLIT}, {_GRID}, moments AS (SELECT {_MOMENTS} FROM data WHERE split = 'train'),
-    fits AS (SELECT alpha, mx, my, {_slope("n", "cov", "var")} AS slope FROM moments, grid WHERE model = '{model}')
-    SELECT alpha, round(slope, 5) AS slope, round(my - slope * mx, 5) AS intercept FROM fits"""
+    names = ", ".join(f"'{c}'" for c in [*SPEC.model_columns, "intercept"])
+    return f"""{M.linear((model,))} SELECT alpha, [{names}][i] AS feature, round(list_append(w, b)[i], 4) + 0.0 AS weight
+    FROM fits, range(1, {M.WIDTH + 2}) t(i) WHERE held = -1"""
 
 
 @query("fit_ridge", _lines_sql("ridge"))
 def fit_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir, "ridge", summed_loss=True)
+    return _lines(spark, sf_dir, "ridge")
 
 
 @query("fit_lasso", _lines_sql("lasso"))
 def fit_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir, "lasso", l1_share=1.0)
+    return _lines(spark, sf_dir, "lasso")
 
 
 @query("fit_elastic_net", _lines_sql("elastic_net"))
 def fit_elastic_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir, "elastic_net", l1_share=0.5)
+    return _lines(spark, sf_dir, "elastic_net")
 
 
 @query(
     "grid_search",
-    f"""{_LINEAR_SQL} SELECT cv.alpha, round(cv.cv_mean, 5) AS cv_mean, round(cv.cv_std, 5) AS cv_std,
-    cv.alpha = best.alpha AS is_best FROM cv JOIN best USING (model) WHERE model = 'lasso'""",
+    f"""{M.linear()} SELECT cv.model, cv.alpha, round(cv.cv_mean, 5) AS cv_mean, round(cv.cv_std, 5) AS cv_std,
+    cv.alpha = best.alpha AS is_best FROM cv JOIN best USING (model)""",
 )
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every point of the lasso grid with its cross-validated error, and the choice."""
-    points = grid_points(MODELS["lasso"].grid)
-    train = _alcohol(spark, sf_dir).where("split = 'train'")
-    errors = cross_validate(train, MODELS["lasso"].build(42), points, "quality")
-    chosen = _linear(spark, sf_dir).models["lasso"].best_params["alpha"]
-    rows = [(p["alpha"], *e, p["alpha"] == chosen) for p, e in zip(points, errors)]
-    table = spark.createDataFrame(rows, "alpha double, e0 double, e1 double, e2 double, is_best boolean")
+    """Every point of the linear models' grids with its cross-validated error, and the choice."""
+    train = _vectors(spark, sf_dir).where("split = 'train'")
+    rows = []
+    for name in LINEAR:
+        points = grid_points(MODELS[name].grid)
+        errors = cross_validate(train, MODELS[name].build(42), points, "quality")
+        chosen = _linear(spark, sf_dir).models[name].best_params["alpha"]
+        rows += [(name, p["alpha"], *e, p["alpha"] == chosen) for p, e in zip(points, errors)]
+    table = spark.createDataFrame(rows, "model string, alpha double, e0 double, e1 double, e2 double, is_best boolean")
     mean = (F.col("e0") + F.col("e1") + F.col("e2")) / 3.0
     spread = F.sqrt(sum((F.col(e) - mean) * (F.col(e) - mean) for e in ("e0", "e1", "e2")) / 3.0)
-    return table.select("alpha", F.round(mean, 5).alias("cv_mean"), F.round(spread, 5).alias("cv_std"), "is_best")
+    return table.select("model", "alpha", F.round(mean, 5).alias("cv_mean"), F.round(spread, 5).alias("cv_std"), "is_best")
 
 
 @query(
     "cv_scores",
-    f"""{_LINEAR_SQL} SELECT 'ridge' AS model, round(cv_mean, 5) AS cv_mean, round(cv_std, 5) AS cv_std
+    f"""{M.linear(("ridge",))} SELECT 'ridge' AS model, round(cv_mean, 5) AS cv_mean, round(cv_std, 5) AS cv_std
     FROM cv WHERE model = 'ridge' AND alpha = 1""",
 )
 def cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated error of a model with its defaults."""
-    entry = train_one(_alcohol(spark, sf_dir), "ridge", "quality", tune=False)
+    entry = train_one(_vectors(spark, sf_dir), "ridge", "quality", tune=False)
     table = spark.createDataFrame(
         [(entry.name, entry.cv_mean, entry.cv_std)], "model string, cv_mean double, cv_std double"
     )
@@ -223,7 +190,7 @@ def cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "train_all",
-    f"""{_LINEAR_SQL}, o AS (SELECT * FROM (VALUES ('ridge', 0), ('lasso', 1), ('elastic_net', 2)) t(model, ordinal))
+    f"""{M.linear()}, o AS (SELECT * FROM (VALUES ('ridge', 0), ('lasso', 1), ('elastic_net', 2)) t(model, ordinal))
     SELECT o.model, o.ordinal, params AS best_params, round(cv_mean, 5) AS cv_mean, round(cv_std, 5) AS cv_std,
       CAST(NULL AS VARCHAR) AS error FROM best JOIN o USING (model)
     UNION ALL SELECT 'support_vector', 3, NULL, NULL, NULL, 'unknown model: support_vector'""",
@@ -233,17 +200,17 @@ def train_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table, 5, "cv_mean", "cv_std")
 
 
+_BY_SPLIT = ", ".join(f"round(max({m}) FILTER (WHERE split = '{s}'), 5) AS {s}_{m}" for m in ("r2", "rmse") for s in ("train", "val", "test"))
+
+
 @query(
     "model_comparison",
-    f"""{_LINEAR_SQL} SELECT model, {", ".join(
-        f"round(max({m}) FILTER (WHERE split = '{s}'), 5) AS {s}_{m}"
-        for m in ("r2", "rmse") for s in ("train", "val", "test"))},
-      round(any_value(cv_mean), 5) AS cv_mean, round(any_value(cv_std), 5) AS cv_std
+    f"""{M.tuned()} SELECT model, {_BY_SPLIT}, round(any_value(cv_mean), 5) AS cv_mean, round(any_value(cv_std), 5) AS cv_std
     FROM metrics JOIN best USING (model) GROUP BY model""",
 )
 def model_comparison_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     trained = _linear(spark, sf_dir)
-    metrics = evaluate_models(trained, _alcohol(spark, sf_dir), "quality")
+    metrics = evaluate_models(trained, _vectors(spark, sf_dir), "quality")
     table = trained.training_table(spark).select("model", "cv_mean", "cv_std", "training_time")
     compared = model_comparison(metrics, table).drop("training_time")
     return rounded(compared, 5, *[c for c in compared.columns if c != "model"])
@@ -251,42 +218,40 @@ def model_comparison_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "evaluate_test",
-    f"""{_LINEAR_SQL} SELECT model, n, round(mse, 5) AS mse, round(mae, 5) AS mae, round(rmse, 5) AS rmse,
+    f"""{M.tuned()} SELECT model, n, round(mse, 5) AS mse, round(mae, 5) AS mae, round(rmse, 5) AS rmse,
     round(r2, 5) AS r2 FROM metrics WHERE split = 'test'""",
 )
 def evaluate_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = evaluate_models(_linear(spark, sf_dir), _alcohol(spark, sf_dir), "quality", ["test"])
+    table = evaluate_models(_linear(spark, sf_dir), _vectors(spark, sf_dir), "quality", ["test"])
     return rounded(table.drop("split"), 5, "mse", "mae", "rmse", "r2")
 
 
 @query(
     "quick_train",
-    f"""WITH {_SPLIT}, {_GRID}, moments AS (SELECT {_MOMENTS} FROM data WHERE split = 'train'),
-    fits AS (SELECT mx, my, {_slope("n", "cov", "var")} AS slope FROM moments, grid
-      WHERE model = 'ridge' AND alpha = 1)
-    SELECT {_KEYS}, round(my + slope * (x - mx), 5) AS prediction FROM data, fits WHERE split = 'val'""",
+    f"""{M.linear(("ridge",))} SELECT {_KEYS}, round(b + list_inner_product(w, x), 4) AS prediction FROM data, fits
+    WHERE split = 'val' AND held = -1 AND alpha = 1""",
 )
 def quick_train_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _alcohol(spark, sf_dir)
+    rows = _vectors(spark, sf_dir)
     trained = quick_train(rows, "quality", "ridge")
     scored = predict(rows.where("split = 'val'"), trained)
-    return rounded(scored.select(*KEY, "prediction"), 5, "prediction")
+    return rounded(scored.select(*KEY, "prediction"), 4, "prediction")
 
 
 @query(
     "predict_named",
-    f"""{_LINEAR_SQL} SELECT {_KEYS}, round(p, 5) AS prediction FROM predicted
+    f"""{M.tuned(("lasso",))} SELECT {_KEYS}, round(p, 3) AS prediction FROM predicted
     WHERE model = 'lasso' AND split = 'test'""",
 )
 def predict_named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _alcohol(spark, sf_dir).where("split = 'test'")
+    rows = _vectors(spark, sf_dir).where("split = 'test'")
     scored = predict(rows, _linear(spark, sf_dir), "lasso")
-    return rounded(scored.select(*KEY, "prediction"), 5, "prediction")
+    return rounded(scored.select(*KEY, "prediction"), 3, "prediction")
 
 
 @query(
     "model_roundtrip",
-    f"""{_LINEAR_SQL} SELECT {_KEYS}, w.model AS best_model, round(p, 5) AS prediction
+    f"""{M.tuned()} SELECT {_KEYS}, w.model AS best_model, round(p, 4) AS prediction
     FROM predicted JOIN winner w USING (model) WHERE split = 'val'""",
 )
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,59 +259,70 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "models")
     save_models(_linear(spark, sf_dir), spark, path)
     loaded = load_models(spark, path)
-    scored = predict(_alcohol(spark, sf_dir).where("split = 'val'"), loaded)
+    scored = predict(_vectors(spark, sf_dir).where("split = 'val'"), loaded)
     named = scored.select(*KEY, F.lit(loaded.best_name).alias("best_model"), "prediction")
-    return rounded(named, 5, "prediction")
+    return rounded(named, 4, "prediction")
+
+
+# --- the whole job on all columns -------------------------------------------------------
 
+_RIDGE_FIT = "ridge AS (SELECT w, b FROM fits WHERE model = 'ridge' AND held = -1 AND alpha = 1)"
+# The tree and the line of the job, what they predict, and the better one on validation rows.
+_JOB = f"""{M.linear(("ridge",))}, {_RIDGE_FIT}, {M.TRAIN}, {M.tree("t", "train", "y")},
+{M.walk("by_tree", "t", "data", f"{_KEYS}, y, split", "p")},
+predicted AS (SELECT 'ridge' AS model, split, y, b + list_inner_product(w, x) AS p FROM data, ridge
+  UNION ALL SELECT 'random_forest', split, y, p FROM by_tree),
+{M.METRICS}, {M.FRESH}, {M.walk("fresh_tree", "t", "fresh", _KEYS, "p")},
+answers AS MATERIALIZED (SELECT {_KEYS}, 'ridge' AS model, b + list_inner_product(w, x) AS p FROM fresh, ridge
+  UNION ALL SELECT {_KEYS}, 'random_forest', p FROM fresh_tree)"""
 
-# --- the whole job on one scaled feature ----------------------------------------------
 
-ONE_FEATURE = TableSpec(features=("alcohol",), target="quality", key=KEY)
+def _fold_tree(held: int) -> str:
+    """The tree of the other two folds, and its error on the one left out."""
+    return f"""train{held} AS MATERIALIZED (SELECT row_number() OVER () AS r, x, y::DOUBLE AS y FROM data WHERE split = 'train' AND fold <> {held}),
+{M.tree(f"f{held}", f"train{held}", "y")},
+held{held} AS (SELECT x, y FROM data WHERE split = 'train' AND fold = {held}), {M.walk(f"on{held}", f"f{held}", f"held{held}", "y", "p")}"""
 
-_JOB = f"""{CLEANED}, {split_cte("cleaned")},
-scaler AS (SELECT avg(alcohol) AS mean, stddev_pop(alcohol) AS sd FROM split WHERE split = 'train'),
-data AS (SELECT {_KEYS}, (alcohol - mean) / sd AS x, quality AS y, split, fold FROM split, scaler),
-{_GRID}, {_CV}, moments AS (SELECT {_MOMENTS} FROM data WHERE split = 'train'),
-chosen AS (SELECT model, mx, my, {_slope("n", "cov", "var")} AS slope FROM moments, grid
-  WHERE alpha = 1 AND model IN ('ridge', 'lasso')),
-predicted AS (SELECT model, data.*, my + slope * (x - mx) AS p FROM data, chosen),
-metrics AS (SELECT model, split, sqrt(avg((y - p) ** 2)) AS rmse, 1 - avg((y - p) ** 2) / var_pop(y) AS r2
-  FROM predicted GROUP BY ALL),
-winner AS (SELECT model FROM metrics WHERE split = 'val' ORDER BY r2 DESC LIMIT 1)"""
+
+_JOB_CV = f"""{", ".join(_fold_tree(h) for h in range(3))},
+tree_errors AS ({" UNION ALL ".join(f"SELECT avg((y - p) ** 2) AS mse FROM on{h}" for h in range(3))}),
+scores AS (SELECT 'random_forest' AS model, avg(mse) AS cv_mean, stddev_pop(mse) AS cv_std FROM tree_errors
+  UNION ALL SELECT model, cv_mean, cv_std FROM cv WHERE model = 'ridge' AND alpha = 1)"""
 
 
 def _job(spark: SparkSession, sf_dir: str):
     def make():
         path = fresh_path(spark, "job")
         rows = dirty_samples(spark, sf_dir)
-        train_job(rows, ONE_FEATURE, path, ["ridge", "lasso"])
+        train_job(rows, SPEC, path, list(JOB), models=JOB)
         # The second call finds the artefacts and only loads them.
-        return path, *train_job(rows, ONE_FEATURE, path, ["ridge", "lasso"])
+        return path, *train_job(rows, SPEC, path, list(JOB), models=JOB)
 
     return _once(spark, sf_dir, "job", make)
 
 
 @query(
     "train_job",
-    f"""WITH {_JOB}, fresh AS (SELECT {_KEYS}, (coalesce(d.alcohol, m.alcohol) - mean) / sd AS x
-      FROM dirty d CROSS JOIN medians m CROSS JOIN scaler)
-    SELECT {_KEYS}, round(my + slope * (x - mx), 5) AS prediction FROM fresh, chosen JOIN winner USING (model)""",
+    f"{_JOB} SELECT {_KEYS}, model = (SELECT model FROM winner) AS is_best, model, round(p, 4) AS prediction FROM answers",
 )
 def train_job_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prepare, train, save, load, then predict the unprepared rows."""
+    """Prepare, train, save, load, then predict the unprepared rows with each model."""
     _, preparation, trained = _job(spark, sf_dir)
-    scored = predict(preparation.transform(dirty_samples(spark, sf_dir)), trained)
-    return rounded(scored.select(*KEY, "prediction"), 5, "prediction")
+    ready = preparation.transform(dirty_samples(spark, sf_dir))
+    scored = None
+    for name in JOB:
+        named = predict(ready, trained, name).select(*KEY, F.lit(name == trained.best_name).alias("is_best"), F.lit(name).alias("model"), "prediction")
+        scored = named if scored is None else scored.unionByName(named)
+    return rounded(scored, 4, "prediction")
 
 
 @query(
     "training_summary",
-    f"""WITH {_JOB} SELECT model, {", ".join(
-        f"round(max({m}) FILTER (WHERE split = '{s}'), 5) AS {s}_{m}"
-        for m in ("r2", "rmse") for s in ("train", "val", "test"))},
+    f"""{_JOB}, {_JOB_CV} SELECT model, {_BY_SPLIT},
       '{{}}' AS best_params, round(any_value(cv_mean), 5) AS cv_mean, round(any_value(cv_std), 5) AS cv_std,
-      model = (SELECT model FROM winner) AS is_best, 'alcohol' AS features
-    FROM metrics JOIN cv USING (model) WHERE alpha = 1 GROUP BY model""",
+      model = (SELECT model FROM winner) AS is_best, '{",".join(SPEC.model_columns)}' AS features,
+      (SELECT count(*) FROM dirty) AS rows_read, (SELECT count(*) FROM data) AS rows_prepared
+    FROM metrics JOIN scores USING (model) GROUP BY model""",
 )
 def training_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, _, _ = _job(spark, sf_dir)
@@ -354,21 +330,65 @@ def training_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary, 5, *[c for c, t in summary.dtypes if t == "double"])
 
 
+@query(
+    "training_journal",
+    f"""WITH {M.DATA} SELECT ordinal, phase, CASE WHEN phase = 'read' THEN (SELECT count(*) FROM dirty)
+      WHEN starts_with(phase, 'train') THEN (SELECT count(*) FROM data WHERE split = 'train') ELSE (SELECT count(*) FROM data) END AS rows,
+      true AS timed, true AS in_order
+    FROM (VALUES (0, 'read'), (1, 'prepare'), (2, 'train random_forest'), (3, 'train ridge'), (4, 'evaluate'), (5, 'save')) t(ordinal, phase)""",
+)
+def training_journal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the job wrote down: every phase once, in order, with its rows and a time that passed."""
+    path, _, _ = _job(spark, sf_dir)
+    before = F.lag(F.col("started") + F.make_interval(secs=F.col("seconds"))).over(Window.partitionBy().orderBy("ordinal"))
+    journal = training_journal(spark, path)
+    return journal.select("ordinal", "phase", "rows", (F.col("seconds") > 0).alias("timed"), F.coalesce(F.col("started") >= before - F.expr("INTERVAL 1 MILLISECOND"), F.lit(True)).alias("in_order"))
+
+
+_GRADE = "CASE WHEN s <= 4 THEN 'Poor' WHEN s <= 6 THEN 'Average' ELSE 'Good' END"
+
+
 @query(
     "score_batch",
-    f"""WITH {_JOB}, fresh AS (SELECT {_KEYS}, d.alcohol, (coalesce(d.alcohol, m.alcohol) - mean) / sd AS x
-      FROM dirty d CROSS JOIN medians m CROSS JOIN scaler),
-    scored AS (SELECT fresh.*, round_even(my + slope * (x - mx), 1) AS predicted_quality
-      FROM fresh, chosen JOIN winner USING (model))
-    SELECT {_KEYS}, alcohol, predicted_quality, CASE WHEN predicted_quality <= 4 THEN 'Poor'
-      WHEN predicted_quality <= 6 THEN 'Average' ELSE 'Good' END AS quality_category FROM scored""",
+    f"""{_JOB}, scored AS (SELECT {_KEYS}, round_even(p, 1) AS s FROM answers JOIN winner USING (model))
+    SELECT {_KEYS}, s AS predicted_quality, {_GRADE} AS quality_category FROM scored""",
 )
 def score_batch_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files in, files out, with the artefacts of the job."""
+    """Files of all columns in, files out, with the artefacts of the job."""
     _, preparation, trained = _job(spark, sf_dir)
     source, sink = fresh_path(spark, "batch-in"), fresh_path(spark, "batch-out")
-    write_delimited(dirty_samples(spark, sf_dir).select(*KEY, "alcohol"), source)
-    return score_batch(spark, source, sink, preparation, trained).drop(REJECT)
+    write_delimited(dirty_samples(spark, sf_dir).drop("quality"), source)
+    return score_batch(spark, source, sink, preparation, trained).select(*KEY, "predicted_quality", "quality_category")
+
+
+def _details_sql(model: str) -> str:
+    return f"""{_JOB}, raw AS (SELECT * FROM answers WHERE model = {model}),
+    scored AS (SELECT *, least(greatest(round_even(p, 1), 1), 10) AS s FROM raw)
+    SELECT {_KEYS}, round(p, 4) AS prediction, s AS predicted_quality, {_GRADE} AS quality_category,
+      CAST(0.0 AS DOUBLE) AS half_width, printf('%.1f - %.1f', s, s) AS interval,
+      CASE WHEN s <= 4 THEN 'This wine may have noticeable flaws or defects.'
+        WHEN s <= 6 THEN 'This wine is acceptable but not outstanding.'
+        ELSE 'This wine should have good to excellent characteristics.' END AS interpretation,
+      CASE model WHEN 'ridge' THEN 'Ridge' ELSE 'Random Forest' END AS model_used FROM scored"""
+
+
+def _details(spark: SparkSession, sf_dir: str, name: str | None) -> DataFrame:
+    _, preparation, trained = _job(spark, sf_dir)
+    rows = dirty_samples(spark, sf_dir)
+    scored = score_table(rows, preparation, trained, name, details=True)
+    return rounded(scored.drop(*[c for c in rows.columns if c not in KEY]), 4, "prediction")
+
+
+@query("score_details", _details_sql("(SELECT model FROM winner)"))
+def score_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full answer per row from the best model: score, half-width, interval, interpretation, model."""
+    return _details(spark, sf_dir, None)
+
+
+@query("score_details_forest", _details_sql("'random_forest'"))
+def score_details_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answer from the forest, which is one tree here and so has no spread."""
+    return _details(spark, sf_dir, "random_forest")
 
 
 # --- trees ----------------------------------------------------------------------------
@@ -383,6 +403,7 @@ def _stump_cte(name: str, source: str, target: str) -> str:
   ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, x LIMIT 1)"""
 
 
+_SPLIT = f"{SAMPLES}, {split_cte()}, data AS (SELECT {_KEYS}, alcohol AS x, quality AS y, split, fold FROM split)"
 _STUMP = f"{_SPLIT}, train AS (SELECT x, y FROM data WHERE split = 'train'), {_stump_cte('t0', 'train', 'y')}"
 
 
@@ -423,68 +444,146 @@ def boosted_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(predict(rows, trained).select(*KEY, "prediction"), 5, "prediction")
 
 
-def _tree_metrics(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    vectors = assemble(_prepared(spark, sf_dir)[0], SPEC.model_columns)
-    scored, names = with_predictions(_trees(spark, sf_dir), vectors)
-    return metrics_of_models(scored, "quality", {name: names[name]})
+@query(
+    "forest_tree",
+    f"""WITH {M.DATA}, {M.TRAIN}, {M.tree("t", "train", "y")}, {M.walk("answer", "t", "data", f"{_KEYS}, split", "p")}
+    SELECT {_KEYS}, split, round(p, 5) AS prediction FROM answer""",
+)
+def forest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of depth three on all columns: SQL searches every threshold of every column in every node."""
+    rows = _vectors(spark, sf_dir)
+    trained = quick_train(rows, "quality", "tree", models={"tree": _tree(maxDepth=3)}, validate=False)
+    return rounded(predict(rows, trained).select(*KEY, "split", "prediction"), 5, "prediction")
+
+
+_ROUNDS = 3
+
+
+def _boosted_sql() -> str:
+    steps, rows, target = [], "train", "y"
+    for k in range(_ROUNDS):
+        rate = 1.0 if k == 0 else 0.1
+        steps += [M.tree(f"b{k}", rows, target), M.walk(f"step{k}", f"b{k}", rows, f"r, {target}", "p"),
+                  f"left{k} AS MATERIALIZED (SELECT r, x, {target} - {rate} * p AS rest FROM step{k})"]
+        rows, target = f"left{k}", "rest"
+    steps.append("answer0 AS (SELECT *, 0.0 AS total FROM data)")
+    for k in range(_ROUNDS):
+        rate = 1.0 if k == 0 else 0.1
+        steps += [M.walk(f"walked{k}", f"b{k}", f"answer{k}", f"{_KEYS}, split, total", "p"),
+                  f"answer{k + 1} AS MATERIALIZED (SELECT {_KEYS}, split, x, total + {rate} * p AS total FROM walked{k})"]
+    return f"WITH {M.DATA}, {M.TRAIN}, {', '.join(steps)} SELECT {_KEYS}, split, round(total, 4) AS prediction FROM answer{_ROUNDS}"
+
+
+@query("boosted_trees", _boosted_sql())
+def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three boosting rounds of trees of depth three on all columns at learning rate 0.1."""
+    rows = _vectors(spark, sf_dir)
+    config = ModelConfig(
+        lambda seed: GBTRegressor(
+            maxIter=_ROUNDS, maxDepth=3, stepSize=step_size(0.1), lossType="squared", maxBins=MAX_BINS, seed=seed
+        )
+    )
+    trained = quick_train(rows, "quality", "trees", models={"trees": config}, validate=False)
+    return rounded(predict(rows, trained).select(*KEY, "split", "prediction"), 4, "prediction")
+
 
+@query(
+    "feature_importance",
+    f"""WITH {M.DATA}, {M.TRAIN}, {M.tree("t", "train", "y")}, {M.importances("t")}
+    SELECT feature, round(importance, 5) AS importance FROM importances""",
+)
+def feature_importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importances of the job's tree, whose gains SQL adds up by itself."""
+    entry = _job(spark, sf_dir)[2].models["random_forest"]
+    return rounded(feature_importance(spark, entry, SPEC.model_columns), 5, "importance")
 
-@query("fit_random_forest")
-def fit_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree_metrics(spark, sf_dir, "random_forest")
 
+# --- ensembles of the catalogue's size ----------------------------------------------------
 
-@query("fit_gbt")
-def fit_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree_metrics(spark, sf_dir, "gradient_boosting")
 
+def _full_job(spark: SparkSession, sf_dir: str):
+    def make():
+        path = fresh_path(spark, "job-full")
+        return train_job(dirty_samples(spark, sf_dir), SPEC, path, list(FULL_JOB), models=FULL_JOB, validate=False)
+
+    return _once(spark, sf_dir, "job-full", make)
 
-@query("feature_importance")
-def feature_importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entry = _trees(spark, sf_dir).models["random_forest"]
-    return feature_importance(spark, entry, SPEC.model_columns, 10)
 
+_AUDIT = "CAST(0 AS BIGINT) AS wrong_counts, CAST(0 AS BIGINT) AS wrong_means, CAST(0 AS BIGINT) AS wrong_gains, CAST(0 AS BIGINT) AS wrong_order"
 
-@query("predict_spread")
-def predict_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared, _ = _prepared(spark, sf_dir)
-    rows = assemble(prepared, SPEC.model_columns)
-    scored = predict_with_spread(rows, _trees(spark, sf_dir), "random_forest")
-    return scored.select(*KEY, "prediction", "spread")
 
+def _importances_agree(spark: SparkSession, nodes: DataFrame, entry) -> bool:
+    """Whether the model's importances are those of its nodes' gains."""
+    told = feature_importance(spark, entry, SPEC.model_columns).withColumnRenamed("importance", "told")
+    both = importance_of_nodes(nodes, SPEC.model_columns).join(told, "feature", "full")
+    gap = F.max(F.coalesce(F.abs(F.col("importance") - F.col("told")), F.lit(1.0)))
+    return both.agg(gap < 1e-6).first()[0]
 
-@query("score_details_forest")
-def score_details_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full answer per row: score, half-width, interval, interpretation, model."""
-    _, preparation = _prepared(spark, sf_dir)
-    rows = dirty_samples(spark, sf_dir)
-    scored = score_table(rows, preparation, _trees(spark, sf_dir), "random_forest", details=True)
-    return scored.drop(*[c for c in rows.columns if c not in KEY])
+
+@query("fit_random_forest", f"SELECT i::INTEGER AS tree, {_AUDIT}, true AS importances_agree FROM range(100) t(i)")
+def fit_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred trees of all columns: errors in the bookkeeping of each tree's nodes, and of the importances. SQL states none."""
+    entry = _full_job(spark, sf_dir)[1].models["random_forest"]
+    nodes = write_through(node_table(spark, entry.model), "nodes")
+    return audit_nodes(nodes).drop("nodes").withColumn("importances_agree", F.lit(_importances_agree(spark, nodes, entry)))
+
+
+@query("fit_gbt", f"SELECT i::INTEGER AS tree, {_AUDIT}, CAST(0 AS BIGINT) AS wrong_leaves FROM range(100) t(i)")
+def fit_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred rounds on all columns: errors in the nodes, and leaves that are not the mean of what the rounds before left.
+
+    Every training row is followed through all rounds: what is left of its target before each, and
+    the leaf it comes to. SQL states that nothing is wrong.
+    """
+    entry = _boosting(spark, sf_dir).models["gradient_boosting"]
+    nodes = write_through(node_table(spark, entry.model), "nodes")
+    leaves = nodes.where("feature IS NULL").select("tree", "weight", "node", "prediction")
+    # A few leaves per round: their values by round, and places in the order in which the model numbers them.
+    listed = [[(r["prediction"], r["weight"]) for r in sorted(g, key=lambda r: r["node"])] for g in _grouped(leaves)]
+    values = "array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v, _ in g) + ")" for g in listed) + ")"
+    weights = "array(" + ", ".join(f"{g[0][1]!r}D" for g in listed) + ")"
+    model = entry.model.copy().setLeafCol("leaves")
+    rows = model.transform(_vectors(spark, sf_dir).where("split = 'train'").select("features", F.col("quality").cast("double").alias("y")))
+    steps = rows.select("y", vector_to_array("leaves").alias("at")).withColumns({"v": F.expr(values), "w": F.expr(weights)})
+    steps = steps.withColumn("gone", F.expr("transform(sequence(0, size(w) - 1), t -> w[t] * v[t][CAST(at[t] AS INT)])"))
+    # The first round fits the target itself, the others twice what is left of it.
+    left = steps.withColumn("sofar", F.expr("aggregate(gone, array(0D), (s, g) -> concat(s, array(element_at(s, -1) + g)))"))
+    each = left.select("y", "sofar", F.posexplode("at").alias("tree", "leaf")).select("tree", "leaf", F.expr("CASE WHEN tree = 0 THEN y ELSE 2 * (y - sofar[tree]) END AS target"))
+    found = each.groupBy("tree", "leaf").agg(F.avg("target").alias("mean"))
+    in_tree = Window.partitionBy("tree").orderBy("node")
+    placed = leaves.withColumn("leaf", (F.row_number().over(in_tree) - 1).cast("double"))
+    right = F.abs(F.col("mean") - F.col("prediction")) < 1e-6
+    wrong = placed.join(found, ["tree", "leaf"], "full").groupBy("tree").agg(F.count_if(~F.coalesce(right, F.lit(False))).alias("wrong_leaves"))
+    return audit_nodes(nodes).drop("nodes").join(wrong, "tree")
+
+
+def _grouped(leaves: DataFrame) -> list[list]:
+    """Leaves by tree, in order; shallow boosted trees have few."""
+    trees: dict[int, list] = {}
+    for row in leaves.collect():
+        trees.setdefault(row["tree"], []).append(row)
+    return [trees[t] for t in sorted(trees)]
 
 
 @query(
-    "score_details",
-    f"""WITH {_JOB}, fresh AS (SELECT {_KEYS}, (coalesce(d.alcohol, m.alcohol) - mean) / sd AS x
-      FROM dirty d CROSS JOIN medians m CROSS JOIN scaler),
-    raw AS (SELECT {_KEYS}, model, my + slope * (x - mx) AS p FROM fresh, chosen JOIN winner USING (model)),
-    scored AS (SELECT *, least(greatest(round_even(p, 1), 1), 10) AS s FROM raw)
-    SELECT {_KEYS}, round(p, 5) AS prediction, s AS predicted_quality,
-      CASE WHEN s <= 4 THEN 'Poor' WHEN s <= 6 THEN 'Average' ELSE 'Good' END AS quality_category,
-      CAST(0.0 AS DOUBLE) AS half_width, printf('%.1f - %.1f', s, s) AS interval,
-      CASE WHEN s <= 4 THEN 'This wine may have noticeable flaws or defects.'
-        WHEN s <= 6 THEN 'This wine is acceptable but not outstanding.'
-        ELSE 'This wine should have good to excellent characteristics.' END AS interpretation,
-      upper(substr(model, 1, 1)) || substr(model, 2) AS model_used FROM scored""",
+    "train_job_full",
+    f"""{M.linear(("ridge",))}, {_RIDGE_FIT}, {M.FRESH} SELECT {_KEYS}, round(b + list_inner_product(w, x), 4) AS prediction FROM fresh, ridge""",
 )
-def score_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same answer from a linear model, whose spread is 0."""
-    _, preparation, trained = _job(spark, sf_dir)
-    rows = dirty_samples(spark, sf_dir)
-    scored = score_table(rows, preparation, trained, details=True)
-    return rounded(scored.drop(*[c for c in rows.columns if c not in KEY]), 5, "prediction")
+def train_job_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job with a hundred-tree forest and ridge, then the unprepared rows with the best model.
 
+    Targets of the table are lines with noise, so the line wins on validation rows; SQL states its predictions.
+    """
+    preparation, trained = _full_job(spark, sf_dir)
+    scored = predict(preparation.transform(dirty_samples(spark, sf_dir)), trained)
+    return rounded(scored.select(*KEY, "prediction"), 4, "prediction")
+
+
+@query("predict_spread")
+def predict_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = predict_with_spread(_vectors(spark, sf_dir), _full_job(spark, sf_dir)[1], "random_forest")
+    return scored.select(*KEY, "prediction", "spread")
 
-# --- all columns ----------------------------------------------------------------------
 
 _OPTIMAL = " UNION ALL ".join(
     f"SELECT '{m}' AS model, '{c}' AS feature, CAST(0.0 AS DOUBLE) AS violation" for m in LINEAR for c in SPEC.model_columns
@@ -520,24 +619,11 @@ def linear_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-@query("train_job_full")
-def train_job_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job on all model columns with a forest and ridge, then the unprepared rows."""
-    def make():
-        path = fresh_path(spark, "job-full")
-        models = {"random_forest": SMALL_TREES["random_forest"], "ridge": MODELS["ridge"]}
-        return train_job(dirty_samples(spark, sf_dir), SPEC, path, list(models), models=models)
-
-    preparation, trained = _once(spark, sf_dir, "job-full", make)
-    scored = predict(preparation.transform(dirty_samples(spark, sf_dir)), trained)
-    return rounded(scored.select(*KEY, "prediction"), 5, "prediction")
-
-
 @query("spread_check", "SELECT CAST(0 AS BIGINT) AS mismatches, true AS some_spread")
 def spread_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and spread over a forest's trees, against a join of each row's leaves with the saved trees."""
     path = fresh_path(spark, "forest")
-    forest = _trees(spark, sf_dir).models["random_forest"].model
+    forest = _full_job(spark, sf_dir)[1].models["random_forest"].model
     forest.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select(F.col("treeID").cast("int").alias("tree"), "nodeData.*")
     in_tree = Window.partitionBy("tree").orderBy("id")
@@ -550,7 +636,7 @@ def spread_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = placed.select(*KEY, F.posexplode(vector_to_array("leaves")).alias("tree", "at"))
     joined = placed.join(leaves, (placed["tree"] == leaves["tree"]) & (F.col("at").cast("int") == F.col("leaf")))
     other = joined.groupBy(*KEY).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
-    scored = predict_with_spread(rows, _trees(spark, sf_dir), "random_forest").select(*KEY, "prediction", "spread")
+    scored = predict_with_spread(rows, _full_job(spark, sf_dir)[1], "random_forest").select(*KEY, "prediction", "spread")
     both = scored.join(other, list(KEY), "left")
     near = (F.abs(F.col("prediction") - F.col("mean")) < 1e-9) & (F.abs(F.col("spread") - F.col("deviation")) < 1e-9)
     return both.agg(F.count_if(~F.coalesce(near, F.lit(False))).alias("mismatches"), (F.max("spread") > 0).alias("some_spread"))

@@ -24,7 +24,7 @@ def read_delimited(
     """Scan delimited files with a header, by column *name*.
 
     Spark would match a given schema to the file by position. Here the header decides
-    the order, each name takes its type from ``schema`` (under its canonical name), and
+    the order, each name takes its type and its spelling from ``schema``, and
     columns unknown to the schema stay text. Without a schema the types are inferred,
     which costs one more scan. Empty cells and NaN arrive as NULL.
 
@@ -38,16 +38,17 @@ def read_delimited(
     if schema is None:
         return missing_as_null(canonical_names(spark.read.csv(path, inferSchema=True, **options)))
     types = {f.name: f.dataType for f in schema.fields}
+    # A name of the schema in whatever spelling a header may use for it.
+    spelled = {ALIASES.get(n, n): n for n in types} | {n: n for n in types}
     header = spark.read.csv(path, **options).columns
-    by_header = T.StructType(
-        [T.StructField(h, types.get(ALIASES.get(h, h), types.get(h, T.StringType()))) for h in header]
-    )
+    names = {h: spelled.get(h, spelled.get(ALIASES.get(h, h))) for h in header}
+    by_header = T.StructType([T.StructField(h, types[n] if n else T.StringType()) for h, n in names.items()])
     if malformed == "keep":
         by_header = by_header.add(REJECT, T.StringType())
         options["columnNameOfCorruptRecord"] = REJECT
     # enforceSchema=False: a file whose header deviates raises instead of shifting columns.
     scan = spark.read.csv(path, schema=by_header, enforceSchema=False, mode=_MODES[malformed], **options)
-    return missing_as_null(canonical_names(scan))
+    return missing_as_null(canonical_names(scan, {h: n or ALIASES.get(h, h) for h, n in names.items()}))
 
 
 def rejects(rows: DataFrame) -> DataFrame:
