@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.operators.wide import identifier, number, present, quoted, stacked_aggregate, text
+from assayline.operators.wide import number, present, quoted, stacked_aggregate, text
 from assayline.session import write_through
 
 TOLERANCES = (0.5, 1.0, 1.5)
@@ -54,8 +54,11 @@ def metrics_of_models(
 def tolerance_accuracy(
     df: DataFrame, actual: str, predicted: str, tolerances: Sequence[float] = TOLERANCES
 ) -> DataFrame:
-    """Rows ``(tolerance, percentage)`` of predictions no further off than the tolerance."""
-    error = f"abs({identifier(actual)} - {identifier(predicted)})"
+    """Rows ``(tolerance, percentage)`` of predictions no further off than the tolerance.
+
+    Of the rows that have both values; NaN is a missing value.
+    """
+    error = f"abs({present(actual)} - {present(predicted)})"
     return stacked_aggregate(
         df,
         [
@@ -69,10 +72,10 @@ def tolerance_accuracy(
 
 
 def prediction_ranges(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """One row: least, greatest and mean of actual and predicted values."""
+    """One row: least, greatest and mean of actual and predicted values; NaN is a missing value."""
     return df.agg(
         *[
-            how(quoted(column).cast("double")).alias(f"{side}_{name}")
+            how(F.expr(present(column))).alias(f"{side}_{name}")
             for side, column in (("actual", actual), ("predicted", predicted))
             for name, how in (("min", F.min), ("max", F.max), ("mean", F.avg))
         ]

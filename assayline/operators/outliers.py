@@ -73,8 +73,8 @@ def treat_outliers(
         clipped = {}
         for c in known:
             low, high = fences[c]
-            known, value = F.expr(present(c)), quoted(c)  # NaN is missing, not above the fence
-            clipped[c] = F.when(known < low, F.lit(low)).when(known > high, F.lit(high)).otherwise(value)
+            measured, value = F.expr(present(c)), quoted(c)  # NaN is missing, not above the fence
+            clipped[c] = F.when(measured < low, F.lit(low)).when(measured > high, F.lit(high)).otherwise(value)
         return df.withColumns(clipped)
     any_outlier = " OR ".join(is_outlier(c, fences) for c in known) or "false"
     return df.where(any_outlier if policy == "select" else f"NOT ({any_outlier})")

@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayline.operators.comoments import product_sums
 from assayline.operators.wide import number, per_column, present, quoted
 
+# Share of a sum of squares below which a spread is but rounding.
+ROUNDING = 1e-13
+
 
 def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:
     """Counts with one output column per entry of ``values``; absent cells are 0.
@@ -26,86 +28,49 @@ def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFr
 def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows ``(feature_x, feature_y, corr)``; each pair uses the rows where both are present.
 
-    Means first. Columns without gaps then need one more pass, which gathers the matrix of
-    their products. With gaps each pair has rows of its own: plain sums of centred products,
-    of which those that several pairs share are computed once, where ``corr`` would keep six
-    running values per pair. Only sums reach the driver. NULL for a constant column.
+    Means first. One more scan then adds up products of centred columns, and where there are
+    gaps also of their squares and of marks for what is present: the sums of a pair over its own rows
+    are products with the other column's marks (see ``comoments``). The number of scans does
+    not depend on the number of columns. NULL for a constant column, also one that is constant where the other is present.
     """
     pairs = list(pairs)
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
     facts = {r["feature"]: r for r in _extent(df, names).collect()}
-    slot = {c: f"d{i}" for i, c in enumerate(names)}
-    gaps = {c for c in names if facts[c]["present"] < facts[c]["rows"]}
-    constant = {c for c in names if facts[c]["least"] == facts[c]["greatest"]}
-
-    def total(pair: tuple[str, str], *factors: str) -> str:
-        """Sum of a product of centred columns over the rows where the pair is present.
-
-        A product with a missing factor is missing and drops out of the sum by itself.
-        """
-        product = "*".join(sorted(slot[f] for f in factors)) or "1D"
-        masks = sorted(slot[c] for c in (set(pair) & gaps) - set(factors))
-        if masks:
-            seen = " AND ".join(f"{m} IS NOT NULL" for m in masks)
-            product = f"CASE WHEN {seen} THEN {product} END"
-        return f"sum({product})"
-
-    def needed(a: str, b: str) -> list[str | float]:
-        """``n, x, y, xx, yy, xy``: sums, or their values where the means already tell them."""
-        sums: list[str | float] = [total((a, b), *f) for f in ((), (a,), (b,), (a, a), (b, b), (a, b))]
-        if b not in gaps:  # the pair is present wherever a is, and there a was centred
-            sums[0], sums[1] = float(facts[a]["present"]), 0.0
-        if a not in gaps:
-            sums[0], sums[2] = float(facts[b]["present"]), 0.0
-        return sums
-
-    if not gaps:
-        return _complete_pairs(df, pairs, [c for c in names if c not in constant], facts)
-    wanted = {(a, b): needed(a, b) for a, b in pairs if a != b and not {a, b} & constant}
-    sums = list(dict.fromkeys(s for parts in wanted.values() for s in parts if isinstance(s, str)))
-    values: dict[str, float | None] = {}
-    if sums:
-        centred = df.selectExpr(
-            *[f"{present(c)} - {number(facts[c]['mean'])} AS {slot[c]}" for c in names]
-        )
-        # Beyond maxFields Spark gives up generated code, which costs more than another pass.
-        width = max(int(df.sparkSession.conf.get("spark.sql.codegen.maxFields", "100")) - 10, 1)
-        for start in range(0, len(sums), width):
-            part = sums[start : start + width]
-            values.update(zip(part, centred.agg(*[F.expr(s) for s in part]).first()))
-
-    rows = []
-    for a, b in pairs:
-        if (a, b) in wanted:
-            rows.append((a, b, _pearson(*[values[s] if isinstance(s, str) else s for s in wanted[a, b]])))
-        else:
-            rows.append((a, b, None if {a, b} & constant else 1.0))
-    return df.sparkSession.createDataFrame(rows, "feature_x string, feature_y string, corr double")
-
-
-def _complete_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], names: list[str], facts: dict) -> DataFrame:
-    """Correlations of columns without gaps, of which ``names`` are not constant."""
-    place = {c: i for i, c in enumerate(names)}
-    matrix = None
-    if any(a != b and a in place and b in place for a, b in pairs):
-        centred = ", ".join(f"{present(c)} - {number(facts[c]['mean'])}" for c in names)
-        vectors = df.select(array_to_vector(F.expr(f"array({centred})")).alias("v"))
-        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-
-    def value(a: str, b: str) -> float | None:
-        if a not in place or b not in place:
-            return None
-        return 1.0 if a == b else max(-1.0, min(1.0, float(matrix[place[a], place[b]])))
-
-    rows = [(a, b, value(a, b)) for a, b in pairs]
+    varied = [c for c in names if facts[c]["least"] != facts[c]["greatest"]]
+    gaps = [c for c in varied if facts[c]["present"] < facts[c]["rows"]]
+    centred = {c: f"({present(c)} - {number(facts[c]['mean'])})" for c in varied}
+    cells = {"": "1D", **{c: f"coalesce({centred[c]}, 0D)" for c in varied}}
+    cells |= {f"mark {c}": f"CASE WHEN {centred[c]} IS NULL THEN 0D ELSE 1D END" for c in gaps}
+    if gaps:
+        cells |= {f"square {c}": f"coalesce({centred[c]} * {centred[c]}, 0D)" for c in varied}
+    place = {name: i for i, name in enumerate(cells)}
+    wanted = [(a, b) for a, b in pairs if a != b and a in centred and b in centred]
+    known = set(wanted)
+    sums = product_sums(df, list(cells.values())) if wanted else None
+
+    def total(of: str, other: str) -> float:
+        """Sum of ``of`` over the rows where the other column is present."""
+        return float(sums[place[of], place.get(f"mark {other}", 0)])
+
+    def square(of: str, other: str) -> float:
+        return total(f"square {of}", other) if other in gaps else float(sums[place[of], place[of]])
+
+    def pearson(a: str, b: str) -> float | None:
+        n = total(f"mark {a}" if a in gaps else "", b)
+        return _pearson(n, total(a, b), total(b, a), square(a, b), square(b, a), float(sums[place[a], place[b]]))
+
+    rows = [(a, b, pearson(a, b) if (a, b) in known else (1.0 if a == b and a in centred else None)) for a, b in pairs]
     return df.sparkSession.createDataFrame(rows, "feature_x string, feature_y string, corr double")
 
 
 def _pearson(n, x, y, xx, yy, xy) -> float | None:
     if not n:
         return None
-    spread = (xx - x * x / n) * (yy - y * y / n)
-    return max(-1.0, min(1.0, (xy - x * y / n) / math.sqrt(spread))) if spread > 0.0 else None
+    spread_x, spread_y = xx - x * x / n, yy - y * y / n
+    # What rounding leaves of a column that does not vary in these rows.
+    if spread_x <= ROUNDING * xx or spread_y <= ROUNDING * yy:
+        return None
+    return max(-1.0, min(1.0, (xy - x * y / n) / math.sqrt(spread_x * spread_y)))
 
 
 def _extent(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -24,6 +24,10 @@ NORMALS = {
 }
 EXPONENTIALS = {"residual sugar": 3.0}
 CATEGORIES = ("red", "white")
+# What the target takes from alcohol, volatile acidity and citric acid.
+ALCOHOL_BASE, ALCOHOL_WEIGHT = 8.0, 0.3
+ACIDITY_BASE, ACIDITY_SCALE, ACIDITY_WEIGHT = 12.0, 10.0, 0.2
+CITRIC_SCALE, CITRIC_WEIGHT = 2.0, 0.1
 # Intercept, noise deviation and limits of the target.
 TARGET_INTERCEPT = 5.5
 TARGET_NOISE = 0.5
@@ -47,9 +51,9 @@ def synthesise(keys: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame
     )
     drawn = keys.select(*ids, *[c.alias(n) for n, c in measures.items()])
     signal = (
-        (F.col("alcohol") - 8.0) * 0.3
-        + (12.0 - F.col("volatile acidity") * 10.0) * 0.2
-        + F.col("citric acid") * 2.0 * 0.1
+        (F.col("alcohol") - ALCOHOL_BASE) * ALCOHOL_WEIGHT
+        + (ACIDITY_BASE - F.col("volatile acidity") * ACIDITY_SCALE) * ACIDITY_WEIGHT
+        + F.col("citric acid") * CITRIC_SCALE * CITRIC_WEIGHT
         + hash_normal(digest("noise"), 0.0, TARGET_NOISE)
         + TARGET_INTERCEPT
     )
