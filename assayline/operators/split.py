@@ -16,15 +16,51 @@ SPLITS = ("train", "val", "test")
 # Upper ends of train and validation in tenths of a stratum: 60/20/20.
 CUTS = (6, 8)
 TENTHS = 10
+# Bits of a draw, and those that make the cells of one level of counting.
+DRAW_BITS, CELL_BITS = 52, 12
 
 
 def _last_of(tenths: int) -> Rank:
-    # Row rn (from 1) belongs below the cut while 10*(rn-1) < tenths*n; this is the
-    # zero-based position of the last such row.
-    return Rank(
-        tenths / TENTHS,
-        lambda n: F.floor((n * F.lit(tenths) + F.lit(TENTHS - 1)) / F.lit(float(TENTHS))) - 1,
-    )
+    """Place, counted from 0, of the last row below a cut."""
+    return Rank(tenths / TENTHS, lambda n: F.floor((n * F.lit(tenths) + F.lit(TENTHS - 1)) / F.lit(float(TENTHS))) - 1)
+
+
+def _sums_upto(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Add ``upto``, the number of rows up to and with this one in its group."""
+    window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("upto", F.sum("rows").over(window))
+
+
+def _holding(cells: DataFrame) -> Column:
+    """Whether the wanted place, counted from 0, lies in a cell that ends at ``upto``."""
+    return (F.col("upto") - F.col("rows") <= F.col("place")) & (F.col("place") < F.col("upto"))
+
+
+def cut_draws(draws: DataFrame, cuts: Sequence[int], cell_bits: int = CELL_BITS) -> DataFrame:
+    """Rows ``(s, q0, q1, ...)``: per stratum the draw of the last row below each cut, from rows ``(s, d)``.
+
+    Row rn (from 1) of n in order of its draw is below a cut while 10 * (rn - 1) < tenths * n. Draws are digests, so
+    cells of equal width hold about equally many: their leading bits are counted once for all rows, then the draws
+    of the few cells that hold a cut are looked at again, by the bits that follow and at last one by one. Rows of one draw
+    are counted before they travel.
+    """
+    first, second = DRAW_BITS - cell_bits, DRAW_BITS - 2 * cell_bits
+    count = F.count(F.lit(1)).alias("rows")
+    cells = write_through(draws.groupBy("s", F.shiftright("d", first).alias("cell")).agg(count), "split-cells")
+    places = ", ".join(f"named_struct('k', {k}, 'place', (whole * {t} + {TENTHS - 1}) DIV {TENTHS} - 1)" for k, t in enumerate(cuts))
+    running = _sums_upto(cells, ["s"], "cell").withColumn("whole", F.sum("rows").over(Window.partitionBy("s")))
+    held = running.selectExpr("s", "cell", "rows", "upto", f"inline(array({places}))").where(_holding(running))
+    held = write_through(held.selectExpr("s", "cell", "k", "place - (upto - rows) AS place"), "split-held")
+    chosen = write_through(held.groupBy("s").agg(F.collect_set("cell").alias("cells")), "split-chosen")
+    near = lookup_join(draws, chosen, ["s"]).where(F.array_contains("cells", F.shiftright("d", first)))
+    near = write_through(near.groupBy("s", "d").agg(count), "split-near").withColumn("cell", F.shiftright("d", first))
+    # From here on only a few cells' draws remain.
+    near = lookup_join(near, held, ["s", "cell"]).withColumn("sub", F.shiftright("d", second))
+    subs = near.groupBy("s", "k", "sub", "place").agg(F.sum("rows").alias("rows"))
+    subs = _sums_upto(subs, ["s", "k"], "sub").where(_holding(subs))
+    inner = lookup_join(near.drop("place", "cell"), subs.selectExpr("s", "k", "sub", "place - (upto - rows) AS place"), ["s", "k", "sub"])
+    last = _sums_upto(inner.where("place IS NOT NULL"), ["s", "k"], "d").where("upto > place")
+    return last.groupBy("s").agg(*[F.min(F.when(F.col("k") == k, F.col("d"))).alias(f"q{k}") for k in range(len(cuts))])
 
 
 def stratified_split(
@@ -39,15 +75,19 @@ def stratified_split(
     the next two validation, the rest test.
 
     No row is ranked: two exact thresholds per stratum are found from digests alone (see
-    ``quantiles``), and rows are then labelled by a projection. A stratum of any size is
+    ``cut_draws``), and rows are then labelled by a projection. A stratum of any size is
     spread over all tasks. Rows with equal keys share a side, so ``key`` should be unique;
-    empty means the whole row.
+    empty means the whole row. With ``tuning`` the limits are searched by ``order_statistics`` and these
+    options of its, which assumes nothing about how draws are spread.
     """
     key = list(key) or df.columns
-    draw = hash_number(key_digest(seed, *[quoted(k) for k in key])).cast("double")
-    draws = df.select(quoted(stratum), draw.alias("value"))
-    limits = order_statistics(draws, [stratum], [_last_of(c) for c in cuts], **tuning)
-    limits = write_through(limits.select(quoted(stratum), "q0", "q1"), "split-limits")
+    draw = hash_number(key_digest(seed, *[quoted(k) for k in key]))
+    draws = df.select(quoted(stratum).alias("s"), draw.alias("d"))
+    if tuning:
+        limits = order_statistics(draws, ["s"], [_last_of(c) for c in cuts], "d", **tuning)
+    else:
+        limits = cut_draws(draws, cuts)
+    limits = write_through(limits.select(F.col("s").alias(stratum), "q0", "q1"), "split-limits")
     located = lookup_join(df.withColumn("__draw", draw), limits, [stratum])
     split = (
         F.when(F.col("__draw") <= F.col("q0"), SPLITS[0])

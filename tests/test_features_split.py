@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayline.operators import features
-from assayline.operators.split import fold_of, split_report, stratified_split
+from assayline.operators.split import cut_draws, fold_of, split_report, stratified_split
 
 
 def test_labels_are_sorted_and_unseen_becomes_zero_per_row(spark):
@@ -53,6 +53,20 @@ def test_split_sizes_are_exact_in_every_stratum(spark, tuning):
         assert (got[s, "train"], got[s, "val"], got[s, "test"]) == (train, upto_val - train, n - upto_val)
 
 
+@pytest.mark.parametrize("bits", [1, 3, 12, 26])
+def test_cuts_of_draws_equal_sorting(spark, bits):
+    random = np.random.default_rng(bits)
+    rows = [("wide", int(d)) for d in random.integers(0, 2**52, 3000)]
+    rows += [("one draw", 5)] * 700 + [("mixed", 2**51)] * 400 + [("mixed", int(d)) for d in random.integers(0, 2**52, 601)]
+    rows += [(None, int(d)) for d in random.integers(2**51, 2**51 + 40, 500)] + [("single", 2**52 - 1)]
+    df = spark.createDataFrame(rows, "s string, d long").repartition(6)
+    found = {r["s"]: (r["q0"], r["q1"]) for r in cut_draws(df, (6, 8), bits).collect()}
+    for s in {s for s, _ in rows}:
+        ordered = sorted(d for t, d in rows if t == s)
+        assert found[s] == tuple(ordered[(len(ordered) * t + 9) // 10 - 1] for t in (6, 8))
+    assert cut_draws(df.limit(0), (6, 8)).collect() == []
+
+
 def test_split_ignores_partitioning_and_depends_on_the_seed(spark):
     df = spark.range(2000).select("id", (F.col("id") % 3).alias("s"))
     first = sorted(map(tuple, stratified_split(df, "s", ["id"]).collect()))
