@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.operators.cleaning import duplicate_count, is_missing, missing_counts
-from assayline.operators.quantiles import exact_quantiles
+from assayline.operators.quantiles import Search, exact_quantiles, linear_rank
 from assayline.operators.relations import top_correlated
 from assayline.operators.wide import identifier, numeric_columns, per_column, present, quoted, text
 from assayline.session import lookup_join, write_through
@@ -40,22 +40,14 @@ def head_rows(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows ``(feature, count, mean, std, min, q25, q50, q75, max)`` with exact quartiles."""
     columns = list(columns or numeric_columns(df))
-    moments = per_column(
-        df,
-        columns,
-        lambda c: {
-            "count": f"count({present(c)})",
-            "mean": f"avg({present(c)})",
-            "std": f"stddev_samp({present(c)})",
-            "min": f"min({present(c)})",
-            "max": f"max({present(c)})",
-        },
-    )
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).select(
-        "feature", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75")
+    search = Search(df, columns, [], [linear_rank(p) for p in (0.25, 0.5, 0.75)])
+    quartiles = search.result().select("feature", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
+    # Columns without a value have a row too.
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    joined = lookup_join(lookup_join(names, search.moments(), ["feature"]), quartiles, ["feature"])
+    return joined.select(
+        "feature", F.coalesce("n", F.lit(0)).alias("count"), "mean", "std", F.col("least").alias("min"), "q25", "q50", "q75", F.col("greatest").alias("max")
     )
-    joined = lookup_join(moments, quartiles, ["feature"])
-    return joined.select("feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -39,6 +39,8 @@ def _holding(cells: DataFrame) -> Column:
 def cut_draws(draws: DataFrame, cuts: Sequence[int], cell_bits: int = CELL_BITS) -> DataFrame:
     """Rows ``(s, q0, q1, ...)``: per stratum the draw of the last row below each cut, from rows ``(s, d)``.
 
+    ``draws`` is read twice.
+
     Row rn (from 1) of n in order of its draw is below a cut while 10 * (rn - 1) < tenths * n. Draws are digests, so
     cells of equal width hold about equally many: their leading bits are counted once for all rows, then the draws
     of the few cells that hold a cut are looked at again, by the bits that follow and at last one by one. Rows of one draw
@@ -86,7 +88,8 @@ def stratified_split(
     if tuning:
         limits = order_statistics(draws, ["s"], [_last_of(c) for c in cuts], "d", **tuning)
     else:
-        limits = cut_draws(draws, cuts)
+        # Strata and draws alone, so that the table is hashed once for them and once for the labels.
+        limits = cut_draws(write_through(draws, "split-draws"), cuts)
     limits = write_through(limits.select(F.col("s").alias(stratum), "q0", "q1"), "split-limits")
     located = lookup_join(df.withColumn("__draw", draw), limits, [stratum])
     split = (
