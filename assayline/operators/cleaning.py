@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from assayline.operators.quantiles import exact_quantiles
 from assayline.operators.wide import identifier, number, numeric_columns, per_column, quoted, text
-
+from assayline.session import write_through
 
 _FLOATING = (T.DoubleType, T.FloatType)
 
@@ -91,9 +91,23 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     )
 
 
-def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Keep one of the rows that are equal in every column (NULLs compare equal)."""
-    return df.dropDuplicates()
+def drop_duplicates(df: DataFrame, by_digest: bool = False) -> DataFrame:
+    """Keep one of the rows that are equal in every column (NULLs compare equal).
+
+    Whole rows are shuffled. That is too much for wide rows, as with texts, most of which occur once: ``by_digest``
+    shuffles the digests of all rows first, and then whole rows only among those whose digest is repeated.
+    The table of repeated digests is written, so the planner knows its size: it is broadcast where it is
+    small, and tasks that read the table leave the other rows where they are.
+    """
+    if not by_digest:
+        return df.dropDuplicates()
+    rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    rows = rows.withColumn("digest", F.unhex(row_digest(rows)))
+    counts = rows.select("digest").groupBy("digest").count()
+    repeated = write_through(counts.where("count > 1").select(F.col("digest").alias("repeated")), "repeated-digests")
+    again = rows.join(repeated, F.col("digest") == F.col("repeated"), "left_semi").drop("digest").dropDuplicates()
+    once = rows.join(repeated, F.col("digest") == F.col("repeated"), "left_anti").drop("digest")
+    return once.unionByName(again).toDF(*df.columns)
 
 
 def cleaning_report(df: DataFrame, fill_columns: Sequence[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -19,6 +20,9 @@ from assayline.operators.wide import identifier, number, present, quoted
 from assayline.session import write_through
 from assayline.spec import TableSpec
 
+# Version of the saved state.
+VERSION = 1
+
 
 @dataclass(frozen=True)
 class Preparation:
@@ -71,6 +75,8 @@ class Preparation:
         schema = "feature string, position int, median double, mean double, deviation double"
         meta = json.dumps(
             {
+                "version": VERSION,
+                "digest": self.digest(),
                 "features": self.spec.features,
                 "category": self.spec.category,
                 "target": self.spec.target,
@@ -83,12 +89,21 @@ class Preparation:
         state = spark.createDataFrame(rows, schema).withColumn("meta", F.lit(meta))
         state.coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
 
+    def digest(self) -> str:
+        """Digest of the columns, their order and all fitted numbers: two states with one digest prepare alike."""
+        numbers = [[c, self.medians.get(c), *self.scaler[c]] for c in self.spec.model_columns]
+        state = [list(self.spec.features), self.spec.category, self.spec.target, list(self.spec.key), self.seed, numbers]
+        return hashlib.sha256(json.dumps(state).encode()).hexdigest()
+
     @staticmethod
     def load(spark: SparkSession, path: str) -> Preparation:
+        """Read a saved state; one of another version, or whose numbers are not those that were saved, is refused."""
         rows = spark.read.parquet(f"{path}/columns").orderBy("position").collect()
         meta = json.loads(rows[0]["meta"])
         labels = Labels(spark.read.parquet(f"{path}/labels")) if meta["category"] else Labels()
-        return Preparation(
+        if meta.get("version") != VERSION:
+            raise ValueError(f"{path} holds a preparation of version {meta.get('version')}, not {VERSION}")
+        found = Preparation(
             spec=TableSpec(
                 tuple(meta["features"]), meta["category"], meta["target"], tuple(meta["key"])
             ),
@@ -97,6 +112,9 @@ class Preparation:
             scaler={r["feature"]: (r["mean"], r["deviation"]) for r in rows},
             seed=meta["seed"],
         )
+        if found.digest() != meta["digest"]:
+            raise ValueError(f"{path} is not as it was saved")
+        return found
 
 
 def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:

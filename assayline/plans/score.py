@@ -19,10 +19,12 @@ from assayline.functions.scores import (
 from assayline.functions.text import title
 from assayline.models.prediction import predict, predict_with_spread
 from assayline.models.training import ModelSet
+from assayline.operators.features import schema_differences
 from assayline.plans.prepare import Preparation
 from assayline.sources.delimited import REJECT, read_delimited, write_delimited
 
 SCORE, CATEGORY = "predicted_quality", "quality_category"
+ABSENT = ("default", "flag", "fail")
 
 
 def score_table(
@@ -93,15 +95,30 @@ def score_batch(
     name: str | None = None,
     sep: str = ",",
     mode: str = "errorifexists",
+    absent: str = "default",
 ) -> DataFrame:
     """Score delimited files into a directory and return a scan of the written rows.
 
+    The files have one header; one that deviates from the others raises. Model columns it lacks are filled as
+    ``absent`` says: ``default`` takes 0 for them, as ``align_schema`` does, ``flag`` does so too and names them
+    in the text column ``absent_columns``, ``fail`` refuses the batch with their names and those of the columns that nobody knows, as a
+    renamed column is both.
+
     Every line gives a row. A malformed one keeps its text in column ``malformed_line`` and
     gets no score, since its cells are not what was measured.
     """
+    if absent not in ABSENT:
+        raise ValueError(f"unknown choice {absent!r}, expected one of {ABSENT}")
     rows = read_delimited(spark, source, preparation.spec.schema(), sep, malformed="keep")
+    differences = schema_differences(rows.drop(REJECT), preparation.spec.model_columns)
+    if absent == "fail" and differences["missing"]:
+        known = {preparation.spec.target, *preparation.spec.key}
+        unknown = [c for c in differences["extra"] if c not in known]
+        raise ValueError(f"the batch lacks {', '.join(differences['missing'])}; unknown in it: {', '.join(unknown) or 'nothing'}")
     scored = score_table(rows, preparation, trained, name)
     added = [c for c in scored.columns if c not in rows.columns]
     scored = scored.withColumns({c: F.when(F.col(REJECT).isNull(), F.col(c)) for c in added})
+    if absent == "flag":
+        scored = scored.withColumn("absent_columns", F.lit(", ".join(differences["missing"]) or None).cast("string"))
     write_delimited(scored, sink, mode=mode)
     return read_delimited(spark, sink, scored.schema)

@@ -99,6 +99,11 @@ def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_count(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+@query("drop_duplicate_documents", "SELECT DISTINCT text, lang, source FROM documents")
+def drop_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_duplicates(table(spark, sf_dir, "documents").select("text", "lang", "source"), by_digest=True)
+
+
 @query("drop_duplicates", f"WITH {DIRTY} SELECT DISTINCT * FROM dirty")
 def drop_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_duplicates(dirty_samples(spark, sf_dir))
