@@ -22,14 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayline.llm.tokenizer import ByteLevel, decoded
+from assayline.llm.workers import held
 
 # Characters above which a text is cut. Bounds the work and memory of one encoding step.
 LEAF_CHARS = 32_768
 # Texts of one batch that are held as Python objects at a time.
 CHUNK = 256
 
-_CODECS: dict[int, ByteLevel] = {}
-
 
 def read_definition(path: str) -> str:
     """A tokenizer file; it is small (a vocabulary) and goes to the tasks by value."""
@@ -38,10 +37,7 @@ def read_definition(path: str) -> str:
 
 
 def _codec(shared) -> ByteLevel:
-    if shared.id not in _CODECS:
-        _CODECS.clear()
-        _CODECS[shared.id] = ByteLevel(shared.value)
-    return _CODECS[shared.id]
+    return held(("bytes", shared.id), lambda: ByteLevel(shared.value))
 
 
 class _Shared:

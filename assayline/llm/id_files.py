@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from assayline.llm.tokenizer import WordEncoder
+from assayline.llm.workers import held
 
 FORMAT, MAGIC, MANIFEST = "token_planes", b"IDPLANE1", "manifest.json"
 # Ids of a block and documents of a block of the document index.
@@ -341,26 +342,21 @@ def file_bounds(docs: DataFrame, id: str = "doc_id", text: str = "text", file_by
     return sorted(set(named.agg(F.percentile_approx("id", shares, max(10_000, 20 * files))).first()[0] or []))
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
 def encode(docs: DataFrame, definition: str, end_id: int, bounds: Sequence[int] = (), id: str = "doc_id", text: str = "text") -> DataFrame:
     """(file, id, ids) of each document: packed ids of its text and the end id, and the number of its file."""
-    encoder = WordEncoder(definition)
-    if end_id >= 1 << 8 * encoder.width:
+    width = WordEncoder(definition).width
+    if end_id >= 1 << 8 * width:
         raise ValueError("the end id is wider than the vocabulary's")
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    key, end = hash(definition), np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
+    key, end = hash(definition), np.array([end_id], dtype=f"<u{width}").tobytes()
     limits = np.array(bounds, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = WordEncoder(shared.value)
+        encoder = held(("words", key), lambda: WordEncoder(shared.value))
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                found = _ENCODERS[key].encode_many([t or "" for t in part.column(1).to_pylist()])
+                found = encoder.encode_many([t or "" for t in part.column(1).to_pylist()])
                 names = part.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
                 file = pa.array(np.searchsorted(limits, names).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([file, part.column(0), pa.array([f + end for f in found], pa.binary())], names=["file", "id", "ids"])

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from assayline.llm.workers import held
+
 MEMO_WORDS = 400_000
-_MEMO: dict[bytes, int] = {}
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -17,7 +18,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
-    memo = _MEMO
+    memo = held("word hashes", dict)
     try:
         return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
     except KeyError:

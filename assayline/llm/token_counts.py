@@ -19,12 +19,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.tokenizer import WordCounter
+from assayline.llm.tokenizer import WordEncoder
+from assayline.llm.workers import held, small_batches
 from assayline.session import write_through
 
 CHUNK = 256
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
-_COUNTERS: dict[str, WordCounter] = {}
 
 
 def version(definition: str) -> str:
@@ -55,7 +55,7 @@ def count_tokens(df: DataFrame, definition: str, cache: str, text: str = "text",
     """
     spark = df.sparkSession
     name = version(definition)
-    WordCounter(definition)
+    WordEncoder(definition)
     shared = spark.sparkContext.broadcast(definition)
     content = F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
     digested = df.select(content.alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256)))
@@ -64,19 +64,18 @@ def count_tokens(df: DataFrame, definition: str, cache: str, text: str = "text",
     misses = distinct.join(stored_counts(df, cache, name), "digest", "left_anti")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[name] = WordCounter(shared.value)
+        encoder = held(("words", name), lambda: WordEncoder(shared.value))
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(start, CHUNK)
-                counts = _COUNTERS[name].count_many(part.column(1).to_pylist())
+                counts = [len(ids) // encoder.width for ids in encoder.encode_many(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * part.num_rows), part.column(0), pa.array(counts, pa.int64())],
                     names=["tokenizer", "digest", "n_tokens"],
                 )
 
-    misses.mapInArrow(counted, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    with small_batches(spark):
+        misses.mapInArrow(counted, CACHE_SCHEMA).write.mode("append").parquet(cache)
     names = [*df.columns, out]
     source = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     own = F.col(f"c{df.columns.index(text)}")

@@ -6,7 +6,6 @@ the encoding of a text is the concatenation of the encodings of its units.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import re
@@ -27,21 +26,16 @@ _UNITS = re.compile(r"[ \n]+[^ \n]*|[^ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\u180e\u200b\u2060\ufeff]")
 _CUT = re.compile(r"(?<=[^\s\u180e\u200b\u2060\ufeff])[ \n]")
 
-_LOADED: dict[str, object] = {}
-
 
 def load(definition: str):
-    """The tokenizer of a JSON definition, once per worker."""
+    """The tokenizer of a JSON definition; workers keep what they build on it (see ``workers``)."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    key = hashlib.sha256(definition.encode()).hexdigest()
-    if key not in _LOADED:
-        tokenizer = Tokenizer.from_str(definition)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _LOADED[key] = tokenizer
-    return _LOADED[key]
+    tokenizer = Tokenizer.from_str(definition)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -219,9 +213,8 @@ class WordEncoder:
     """
 
     def __init__(self, definition: str):
-        WordCounter(definition)
         parsed = json.loads(definition)
-        self.tokenizer = load(definition)
+        self.tokenizer = WordCounter(definition).tokenizer
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
         self.dtype = f"<u{self.width}"
