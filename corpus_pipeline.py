@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.llm import bpe, jaccard, mixing, quality_classifier, secrets
+from assayline.llm.workers import small_batches
 from assayline.session import write_through
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -49,7 +50,9 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     definition = bpe.read_definition(public_tokenizers.path(TOKENIZER))
     rows = docs.select("doc_id", "lang", "source", "text").withColumn("expected", F.sha2(F.coalesce("text", F.lit("")), 256))
-    decoded = bpe.decode(bpe.encode(rows, definition).drop("text"), definition)
+    # Written between, so that no task keeps two workers busy at once.
+    encoded = write_through(bpe.encode(rows, definition).drop("text"), "packed-ids")
+    decoded = bpe.decode(encoded, definition)
     return decoded.select(
         "doc_id", "lang", "source", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), "ids",
         (F.sha2("decoded", 256) == F.col("expected")).alias("exact"),
@@ -68,6 +71,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = write_through(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = write_through(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
