@@ -40,6 +40,7 @@ from assayline.queries import model_sql as M
 from assayline.queries.registry import query, rounded
 from assayline.queries.samples import (
     KEY,
+    RANGES,
     SAMPLES,
     SPEC,
     columns,
@@ -47,8 +48,11 @@ from assayline.queries.samples import (
     samples,
     split_cte,
 )
+from assayline.queries.scoring_queries import CHECKS, VIOLATIONS
 from assayline.session import fresh_path, write_through
-from assayline.sources import REJECT, write_delimited
+from assayline.sources import write_delimited
+from assayline.spec import SAMPLE_CATEGORIES
+from assayline.streaming import read_stream, score_stream
 
 _KEYS = columns(*KEY)
 LINEAR = ("ridge", "lasso", "elastic_net")
@@ -391,6 +395,26 @@ def score_details_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _details(spark, sf_dir, "random_forest")
 
 
+@query(
+    "score_stream_model",
+    f"""{M.linear(("ridge",))}, {_RIDGE_FIT}, {M.STREAMED},
+    scored AS (SELECT *, round_even(b + list_inner_product(w, x), 1) AS s FROM streamed, ridge)
+    SELECT {_KEYS}, concat_ws(',', {VIOLATIONS}) AS violations, {CHECKS} AS valid,
+      CASE WHEN {CHECKS} THEN s END AS predicted_quality, CASE WHEN {CHECKS} THEN {_GRADE} END AS quality_category FROM scored""",
+)
+def score_stream_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that arrive as files, scored by the ridge model that the job saved."""
+    _, preparation, trained = _job(spark, sf_dir)
+    arrivals, sink = fresh_path(spark, "arrivals"), fresh_path(spark, "scored-stream")
+    rows = dirty_samples(spark, sf_dir)
+    rows.write.parquet(arrivals)
+    score_stream(
+        read_stream(spark, arrivals, rows.schema), lambda df: score_table(df, preparation, trained, "ridge"),
+        sink, fresh_path(spark, "stream-checkpoint"), RANGES, SAMPLE_CATEGORIES,
+    ).awaitTermination()
+    return spark.read.parquet(sink).select(*KEY, "violations", "valid", "predicted_quality", "quality_category")
+
+
 # --- trees ----------------------------------------------------------------------------
 
 

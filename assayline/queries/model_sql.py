@@ -3,7 +3,7 @@
 Each constant is a list of common table expressions that follow one another:
 
 ``DATA``     rows ``data(key, y, split, fold, x)``, x being the list of the standardised model columns
-``FRESH``    the unprepared rows as ``fresh(key, x)``
+``FRESH``    the unprepared rows as ``fresh(key, x)``, ``STREAMED`` with all their columns as ``streamed``
 ``linear``   ``fits(model, alpha, point, params, held, w, b)``, by elimination and coordinate descent; ``held`` is
              the fold left out, -1 for none
 ``tree``     leaves and split points of one regression tree over every column and every threshold
@@ -34,6 +34,10 @@ data AS MATERIALIZED (SELECT {KEYS}, y, split, fold, {_SCALED} FROM wide, scaler
 FRESH = f"""unprepared AS (SELECT {columns(*(f"d.{k}" for k in KEY))}, {_row("d.", "m.")} AS raw FROM dirty d, medians m),
 fresh AS MATERIALIZED (SELECT {KEYS}, {_SCALED} FROM unprepared, scaler)"""
 
+# The unprepared rows whole, with x.
+STREAMED = f"""arrived AS (SELECT d.*, {_row("d.", "m.")} AS raw FROM dirty d, medians m),
+streamed AS (SELECT arrived.*, {_SCALED} FROM arrived, scaler)"""
+
 GRID = "grid AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{m}', {a}::DOUBLE, {l1}::DOUBLE, {i}, '{params}')"
     for m, l1 in (("ridge", 0.0), ("lasso", 1.0), ("elastic_net", 0.5))

@@ -28,6 +28,7 @@ from assayline.queries.samples import (
     SAMPLES,
     columns,
     dirty_samples,
+    key_text,
     rule_cte,
 )
 from assayline.session import fresh_path
@@ -104,6 +105,22 @@ def rule_score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*KEY, F.round(rule_score(rows.columns, FROM_CANONICAL), 6).alias("score"))
 
 
+_DRAW = "(('0x' || substr(draw, {first}, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+
+
+@query(
+    "rule_score_noise",
+    f"""WITH {DIRTY}, drawn AS (SELECT *, md5('7:' || {key_text(*KEY)}) AS draw FROM dirty)
+    SELECT {_KEYS}, round(alcohol * 0.35 + ph * 1.2 + fixed_acidity * 0.08 + sulphates * 1.5
+      + CASE WHEN wine_type = 'red' THEN 4.0 ELSE 4.8 END
+      + 0.3 * sqrt(-2 * ln({_DRAW.format(first=1)})) * cos(2 * pi() * {_DRAW.format(first=14)}), 6) AS score FROM drawn""",
+)
+def rule_score_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule score with a normal draw per key, which a rerun task draws again."""
+    rows = dirty_samples(spark, sf_dir)
+    return rows.select(*KEY, F.round(rule_score(rows.columns, FROM_CANONICAL, noise_seed=7, noise_key=KEY), 6).alias("score"))
+
+
 @query(
     "score_rule_batch",
     f"""{_SCORED} SELECT {_KEYS}, predicted_quality, quality_category FROM scored""",
@@ -112,8 +129,8 @@ def score_rule_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_samples(spark, sf_dir).select(*KEY, "predicted_quality", "quality_category")
 
 
-_CHECKS = " AND ".join(f"coalesce({m} BETWEEN {lo} AND {hi}, false)" for m, (lo, hi) in RANGES.items())
-_NAMES = ", ".join(
+CHECKS = " AND ".join(f"coalesce({m} BETWEEN {lo} AND {hi}, false)" for m, (lo, hi) in RANGES.items())
+VIOLATIONS = ", ".join(
     f"CASE WHEN NOT coalesce({m} BETWEEN {lo} AND {hi}, false) THEN '{m}' END" for m, (lo, hi) in RANGES.items()
 )
 
@@ -121,9 +138,9 @@ _NAMES = ", ".join(
 @query(
     "score_stream",
     f"""WITH {DIRTY}, {rule_cte("dirty")}
-    SELECT {_KEYS}, concat_ws(',', {_NAMES}) AS violations, {_CHECKS} AS valid,
-      CASE WHEN {_CHECKS} THEN predicted_quality END AS predicted_quality,
-      CASE WHEN {_CHECKS} THEN quality_category END AS quality_category FROM scored""",
+    SELECT {_KEYS}, concat_ws(',', {VIOLATIONS}) AS violations, {CHECKS} AS valid,
+      CASE WHEN {CHECKS} THEN predicted_quality END AS predicted_quality,
+      CASE WHEN {CHECKS} THEN quality_category END AS quality_category FROM scored""",
 )
 def score_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dirty samples arrive as files, are validated and scored, and are read back."""
