@@ -7,7 +7,8 @@ around the join is encoded anew, and grown, until both sides agree with it exact
 where splits start, then, inside a split that spans the join, on the tokens next to it.
 
 Defined results: NULL text is an empty text; an empty text has no ids; equal rows give equal
-results, once per row; other columns, whatever their names, pass through.
+results, once per row; an empty table gives an empty one. Extra columns pass through, whatever their names; an
+ added column takes the place of one of its name.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayline.llm.columns import given_back, numbered
 from assayline.llm.tokenizer import ByteLevel, decoded
 from assayline.llm.workers import held
 
@@ -61,8 +63,7 @@ def encode(df: DataFrame, definition: str, text: str = "text", ids: str = "ids",
     ``add_special_tokens=False``.
     """
     shared = _Shared(df, definition)
-    names = [*df.columns, ids]
-    source = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    source = numbered(df)
     own = f"c{df.columns.index(text)}"
     whole = F.coalesce(F.col(own), F.lit(""))
     short = source.where(F.length(whole) <= leaf_chars)
@@ -81,7 +82,7 @@ def encode(df: DataFrame, definition: str, text: str = "text", ids: str = "ids",
     long = source.where(F.length(whole) > leaf_chars).withColumn("digest", F.unhex(F.sha2(own, 256)))
     joined = _encode_long(long.select("digest", F.col(own).alias("text")), shared, leaf_chars)
     rest = long.join(joined, "digest").select(*source.columns, "ids")
-    return short.mapInArrow(direct, schema).unionByName(rest).toDF(*names)
+    return given_back(short.mapInArrow(direct, schema).unionByName(rest), df.columns, {ids: "ids"})
 
 
 def _encode_long(texts: DataFrame, shared: _Shared, leaf: int) -> DataFrame:
@@ -261,9 +262,8 @@ def decode(df: DataFrame, definition: str, ids: str = "ids", text: str = "decode
     """Add column ``text``: the text of packed ids, added tokens included; NULL ids give NULL."""
     # Tasks get the bytes of each token, a few hundred kilobytes, and load no tokenizer.
     pieces = df.sparkSession.sparkContext.broadcast(ByteLevel(definition).pieces)
-    names = [*df.columns, text]
     position = df.columns.index(ids)
-    source = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    source = numbered(df)
     schema = T.StructType([*source.schema.fields, T.StructField("text", T.StringType())])
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,4 +274,4 @@ def decode(df: DataFrame, definition: str, ids: str = "ids", text: str = "decode
                 texts = [None if v is None else decoded(known, v) for v in part.column(position).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.fieldNames())
 
-    return source.mapInArrow(back, schema).toDF(*names)
+    return given_back(source.mapInArrow(back, schema), df.columns, {text: "text"})

@@ -7,7 +7,9 @@ labelled table below, says which blocks are main text.
 
 Defined results: NULL or empty html gives an empty text; broken markup is read as far as it
 goes, and an element whose closing tag is missing hides nothing but its tag (an open script or
-style hides the rest); self-closing tags are honoured; equal rows give equal results, once per row; extra columns pass through.
+style hides the rest); self-closing tags are honoured; equal rows give equal results, once per row; pages of any
+length are read whole; an empty table gives an empty one. Extra columns pass through, whatever their names; the text takes the place of
+a column of its name.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from assayline.llm.columns import given_back, numbered
+
 CHUNK = 256
 
 _TOKEN = re.compile(
@@ -325,8 +329,7 @@ def main_text(html: str | None, tree: tuple) -> str:
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Put column ``out`` in the place of ``html``."""
-    names = [c for c in pages.columns if c != html]
-    source = pages.toDF(*[f"c{i}" for i in range(len(pages.columns))])
+    source = numbered(pages)
     position = pages.columns.index(html)
     fields = [f for i, f in enumerate(source.schema.fields) if i != position]
     schema = T.StructType([*fields, T.StructField("text", T.StringType())])
@@ -339,4 +342,4 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
                 texts = pa.array([main_text(h, tree) for h in part.column(position).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(part.columns) if i != position], texts], names=schema.fieldNames())
 
-    return source.mapInArrow(run, schema).toDF(*names, out)
+    return given_back(source.mapInArrow(run, schema), pages.columns, {out: "text"}, [html])

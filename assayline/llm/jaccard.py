@@ -23,7 +23,8 @@ A document is the set of its word shingles, as 64-bit hashes. Two documents link
 
 Defined results: NULL or empty texts and texts without words have an empty set and link with
 nothing; a row without id links with nothing and has no component; rows that repeat an id
-are taken as they are, one result each; extra columns are ignored.
+are taken as they are, one result each; texts of any length are compared whole; an empty table gives an
+empty one. Extra columns are ignored by the join and kept as they are by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayline.llm.columns import given_back, number_of, numbered
 from assayline.llm.components import connected_components
 from assayline.llm.shingles import mixed, shingles
 from assayline.session import write_through
@@ -265,10 +267,11 @@ def keep_one(docs: DataFrame, width: int = 5, numerator: int = 80, denominator:
 
     Rows without id stay. Of rows that repeat an id one stays.
     """
+    names, id, text, docs = docs.columns, number_of(docs, id), number_of(docs, text), numbered(docs)
     rows = write_through(jaccard_components(docs, width, numerator, denominator, id, text), "groups")
     kept = rows.where(F.col(id).isNotNull()).groupBy(id).agg(F.min("component_id").alias("__least"), F.count("*").alias("__rows"))
     kept = kept.where(F.col(id) == F.col("__least")).select(F.col(id).alias("__kept"), "__rows")
-    found = docs.join(kept, F.col(f"`{id}`") == F.col("__kept"))
+    found = docs.join(kept, F.col(id) == F.col("__kept"))
     once = found.where("__rows = 1").drop("__kept", "__rows")
     several = found.where("__rows > 1").drop("__kept", "__rows").dropDuplicates([id])
-    return once.unionByName(several).unionByName(docs.where(F.col(f"`{id}`").isNull()))
+    return given_back(once.unionByName(several).unionByName(docs.where(F.col(id).isNull())), names)

@@ -10,7 +10,8 @@ documents of one more block.
 
 DataFrame functions only. Defined results: a NULL source is a source; a NULL text has no
 tokens; a source without tokens is used once; documents with equal ids and source share
-their place in the order, so they are used equally often; extra columns pass through.
+their place in the order, so they are used equally often; texts of any length count whole; an empty table gives an
+empty one. Extra columns pass through, whatever their names; ``copies`` takes the place of a column of that name.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayline.llm.columns import given_back, number_of, numbered
 from assayline.session import write_through
 
 # Exponents that one pass over the sources evaluates, and passes: an accuracy of 16 ** -8.
@@ -143,16 +145,15 @@ def place(id: Column, source: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, target: Target, id: str = "doc_id", source: str = "source", tokens: Column | None = None, seed: int = SEED) -> DataFrame:
     """Add column ``copies``: how often each document is used; one row per row of ``docs``."""
-    used = plan(docs, target, id, source, tokens, seed).select(F.col("source").alias("__source"), "passes", "last")
-    names = docs.columns
-    found = docs.join(used, F.col(f"`{source}`").eqNullSafe(F.col("__source")))
-    part = F.coalesce((place(F.col(f"`{id}`"), F.col(f"`{source}`"), seed) <= F.col("last")).cast("long"), F.lit(0))
-    found = found.withColumn("__copies", F.col("passes") + part)
-    return found.select(*[docs[f"`{c}`"] for c in names], F.col("__copies").alias("copies"))
+    rows = numbered(docs, words(F.col("text")) if tokens is None else tokens)
+    own, origin = number_of(docs, id), number_of(docs, source)
+    used = plan(rows, target, own, origin, F.col("e0"), seed).select("source", "passes", "last")
+    found = rows.join(used, F.col(origin).eqNullSafe(F.col("source")))
+    part = F.coalesce((place(F.col(own), F.col(origin), seed) <= F.col("last")).cast("long"), F.lit(0))
+    return given_back(found.withColumn("copies", F.col("passes") + part), docs.columns, ["copies"])
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
     """One row per use; columns as before ``mix``."""
-    names = [c for c in mixed.columns if c != "copies"]
-    rows = mixed.withColumn("__use", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(*[F.col(f"`{c}`") for c in names])
+    used = numbered(mixed).withColumn("use", F.explode(F.array_repeat(F.lit(1), F.col(number_of(mixed, "copies")).cast("int"))))
+    return given_back(used, mixed.columns, without=["copies"])

@@ -16,7 +16,8 @@ few hundred numbers.
 Defined results: NULL and empty texts get the score of their bins; a row without id is
 scored, and learnt from as unlabelled; an id with several labels is trusted if all of them
 are positive; rows that repeat an id count each; without trusted positives all scores are
-the prior's default; extra columns pass through.
+the prior's default; texts of any length are described whole, and an empty table gives an empty one.
+Extra columns pass through, whatever their names; the score takes the place of a column of its name.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayline.llm.columns import given_back, number_of, numbered
 from assayline.llm.shingles import windows, word_hashes
 from assayline.session import write_through
 
@@ -119,9 +121,8 @@ class Model:
 
     def score(self, docs: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
         """Add column ``out``; one pass, no shuffle."""
-        names = docs.columns
-        source = docs.toDF(*[f"c{i}" for i in range(len(names))])
-        position = names.index(text)
+        source = numbered(docs)
+        position = docs.columns.index(text)
         schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,7 @@ class Model:
                     found = self.scores(np.array([measures(t) for t in part.column(position).to_pylist()]))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=schema.fieldNames())
 
-        return source.mapInArrow(run, schema).toDF(*names, out)
+        return given_back(source.mapInArrow(run, schema), docs.columns, {out: "score"})
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -226,6 +227,5 @@ def minimise(model: Model, cells: DataFrame, prior: float | None) -> Model:
 def filter_documents(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents whose score reaches ``limit``; columns as given."""
     model, _ = fit(docs, labels, id, text)
-    scored = model.score(docs.withColumnRenamed(text, "__text"), "__text", "__score")
-    kept = scored.where(F.col("__score") >= limit)
-    return kept.select(*[F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    scored = model.score(numbered(docs), number_of(docs, text), "score")
+    return given_back(scored.where(F.col("score") >= limit), docs.columns)

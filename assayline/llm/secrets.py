@@ -8,17 +8,21 @@ the candidates that are not random are told from those that are by the Benjamini
 step at a fixed false-discovery rate; those that remain are spans as well.
 
 DataFrame functions only. Positions are code points, ends exclusive. Defined results: NULL
-text is an empty text without spans; equal rows give equal results, once per row; extra
-columns pass through; the p-values of a whole table are counted in a grid of fixed size.
+text is an empty text without spans; equal rows give equal results, once per row; texts of any length are
+scanned whole; an empty table gives an empty one; the p-values of a whole table are counted in a grid of fixed size.
+Extra columns pass through, whatever their names; the spans take the place of a column of their name.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayline.llm.columns import given_back, number_of, numbered
+
 # Fixed values of the contract. A keyword may be in either case; a hexadecimal or access run
 # is maximal, so that its least length can stand in the pattern. A short assigned value cannot:
 # such a match takes its characters, and is dropped afterwards.
@@ -50,20 +54,50 @@ def spans(text: Column, pattern: str) -> Column:
     places follow from lengths.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pieces = F.zip_with(F.transform(between, F.length), found, lambda gap, match: F.struct(F.coalesce(gap, F.lit(0)).alias("gap"), match.alias("match")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{Span}>").alias("out"))
+    between = F.transform(F.split(text, pattern, -1), F.length)
+    gaps = F.slice(between, 1, F.size(found))
+    moves = F.zip_with(gaps, found, lambda gap, match: F.coalesce(gap, F.lit(0)) + F.length(match))
 
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + piece["gap"]
-        end = start + F.length(piece["match"])
-        grown = F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), piece["match"].alias("text"))))
-        return F.when(piece["match"].isNull(), state).otherwise(F.struct(end.alias("at"), grown.alias("out")))
+    def place(before: Column, gap: Column, match: Column) -> Column:
+        start = before + F.coalesce(gap, F.lit(0))
+        return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("text"))
 
-    placed = F.aggregate(pieces, empty, step, lambda state: state["out"])
+    known = F.zip_with(gaps, found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+    placed = F.zip_with(running(moves, lambda a, b: a + b), known, lambda before, piece: place(before, piece["gap"], piece["match"]))
     return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(f"array<{Span}>"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def blocks(values: Column) -> Column:
+    """An array cut into about as many blocks as each has elements."""
+    def cut(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        places = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / width).cast("int") - 1, F.lit(0)))
+        return F.transform(places, lambda i: F.slice(v, i * width + 1, width))
+
+    return once(values, cut)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of some integers what ``join`` makes of those before it, from 0 on.
+
+    Within blocks first and then over the blocks, as an array that grows by one is copied each time.
+    """
+    def grown(items: Column, amount: Callable[[Column], Column]) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, zero, lambda s, x: F.struct(join(s["at"], amount(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+
+    def over(parts: Column) -> Column:
+        starts = grown(parts, lambda p: p["at"])["out"]
+        return F.flatten(F.zip_with(parts, starts, lambda p, start: F.transform(p["out"], lambda x: join(start, x))))
+
+    return once(F.transform(blocks(values), lambda block: grown(block, lambda x: x)), over)
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """Spans of each fixed kind."""
     assigned = F.filter(spans(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2)) >= LEAST_VALUE)
@@ -155,8 +189,9 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame
     Two passes: one counts p-values, one finds all spans with the thresholds as constants.
     Nothing is shuffled but the grid.
     """
+    own, docs, text = docs.columns, numbered(docs), number_of(docs, text)
     limits = thresholds(docs, text)
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    whole = F.coalesce(F.col(text), F.lit(""))
     table = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair]) if limits else None
     base = base_spans(whole)
     fixed = docs.withColumns({f"__{k}": v for k, v in base.items()})
@@ -170,15 +205,29 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame
     if table is None:
         added = F.slice(F.col("__given"), 1, 0)
     else:
-        free = F.filter(
-            candidates(whole),
-            lambda c: (c["p"] > F.coalesce(table[c["class"]], F.lit(1.0))) & ~F.exists("__given", lambda g: (g["start"] < c["end"]) & (c["start"] < g["end"])),
-        )
-        added = ranked("random", free)
+        likely = F.filter(candidates(whole), lambda c: c["p"] > F.coalesce(table[c["class"]], F.lit(1.0)))
+        added = ranked("random", clear_of(likely, F.col("__given")))
     every = F.array_sort(F.concat(F.col("__given"), added))
     names = F.array(*[F.lit(k) for k in KINDS])
     listed = F.transform(every, lambda s: F.struct(F.get(names, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return fixed.withColumn(out, listed).drop("__given")
+    return given_back(fixed.withColumn("found", listed), own, {out: "found"})
+
+
+def clear_of(found: Column, given: Column) -> Column:
+    """The spans of one array that overlap none of another, in order.
+
+    All lie in one order, spans of the first at their ends and those of the second at their starts: where a
+    span ends, the farthest end of those that started before it must not lie beyond its start.
+    """
+    ends = F.transform(found, lambda c: F.struct(c["end"].alias("at"), F.lit(0).alias("given"), c["start"].alias("start"), F.lit(0).alias("reach")))
+    starts = F.transform(given, lambda g: F.struct(g["start"].alias("at"), F.lit(1).alias("given"), g["start"].alias("start"), g["end"].alias("reach")))
+
+    def cleared(events: Column) -> Column:
+        farthest = running(F.transform(events, lambda e: e["reach"]), F.greatest)
+        marked = F.zip_with(events, farthest, lambda e, far: F.struct(e["start"].alias("start"), e["at"].alias("end"), ((e["given"] == 0) & (far <= e["start"])).alias("clear")))
+        return F.filter(marked, lambda m: m["clear"])
+
+    return once(F.array_sort(F.concat(ends, starts)), cleared)
 
 
 def digest_text(found: Column, kinds: tuple[str, ...] = KINDS) -> Column:
@@ -188,22 +237,35 @@ def digest_text(found: Column, kinds: tuple[str, ...] = KINDS) -> Column:
 
 
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch that spans cover put as ``mark``."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each stretch that spans cover put as ``mark``.
+
+    The text is cut block by block of spans, as finding a place in a text takes as long as the text before it.
+    """
+    def cut(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        return F.zip_with(spans, reach, lambda s, before: F.struct(s["start"].alias("start"), s["end"].alias("end"), before.alias("before")))
+
+    def block_text(block: Column) -> Column:
+        base, end = block[0]["before"], F.array_max(F.transform(block, lambda s: s["end"]))
+        def pieces(chunk: Column) -> Column:
+            def piece(s: Column) -> Column:
+                hidden = (s["start"] < s["before"]) & (s["before"] > 0)
+                return F.when(hidden, "").otherwise(F.concat(F.substring(chunk, s["before"] - base + 1, s["start"] - s["before"]), F.lit(mark)))
+
+            return F.array_join(F.transform(block, piece), "")
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(state["out"], gap, F.lit(mark)).alias("out"))
-        within = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
-        return F.when((s["start"] < state["at"]) & (state["at"] > 0), within).otherwise(fresh)
+        return once(F.substring(text, base + 1, end - base), pieces)
 
-    joined = F.aggregate(found, zero, step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, joined).otherwise(text)
+    parts = F.transform(blocks(cut(found)), block_text)
+    rest = F.substring(text, F.array_max(F.transform(found, lambda s: s["end"])) + 1, F.length(text))
+    return F.when(F.size(found) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
 
 
 def redact_documents(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """The documents with their secrets redacted; ``length`` follows the text where it is a column."""
-    found = scan(docs.withColumnRenamed(text, "__text"), "__text", "__secrets")
-    clean = found.withColumn("__clean", redact(F.col("__text"), F.col("__secrets")))
-    kept = [F.col("__clean").alias(text) if c == text else F.length("__clean").cast(docs.schema[c].dataType).alias(c) if c == length else F.col(f"`{c}`") for c in docs.columns]
-    return clean.select(*kept)
+    own = number_of(docs, text)
+    found = scan(numbered(docs), own, "found")
+    clean = found.withColumn("clean", redact(F.col(own), F.col("found")))
+    if length in docs.columns:
+        clean = clean.withColumn(number_of(docs, length), F.length("clean").cast(docs.schema[length].dataType))
+    return given_back(clean.withColumn(own, F.col("clean")), docs.columns)

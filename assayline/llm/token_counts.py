@@ -6,7 +6,8 @@ the same tokenizer version; only distinct contents without a count are encoded,
 counts are appended to the table.
 
 Defined results: NULL text is an empty text with 0 bytes and 0 tokens; equal rows give equal
-results, once per row; other columns pass through; the first use finds an empty cache.
+results, once per row; texts of any length are counted whole, and an empty table gives an empty one; the first use finds
+an empty cache. Extra columns pass through, whatever their names; the count takes the place of a column of its name.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayline.llm.columns import given_back, number_of, numbered
 from assayline.llm.tokenizer import WordEncoder
 from assayline.llm.workers import held, small_batches
 from assayline.session import write_through
@@ -76,11 +78,9 @@ def count_tokens(df: DataFrame, definition: str, cache: str, text: str = "text",
 
     with small_batches(spark):
         misses.mapInArrow(counted, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    names = [*df.columns, out]
-    source = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    own = F.col(f"c{df.columns.index(text)}")
+    source, own = numbered(df), F.col(number_of(df, text))
     key = F.unhex(F.sha2(F.trim(F.regexp_replace(F.coalesce(own, F.lit("")), r"[ \t\n\x0B\f\r]+", " ")), 256))
     # A plain table on this side lets Spark split the join at a digest that very many rows have.
     counts = write_through(stored_counts(df, cache, name), "counts").withColumnRenamed("digest", "digest_")
     joined = source.withColumn("digest", key).join(counts, F.col("digest") == F.col("digest_"), "left")
-    return joined.select(*source.columns, "n_tokens").toDF(*names)
+    return given_back(joined, df.columns, {out: "n_tokens"})

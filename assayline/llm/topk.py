@@ -10,7 +10,8 @@ merged per query.
 
 Defined results: vectors that are NULL, or hold NULL or non-finite components, or whose id is
 NULL take no part, nor do vectors of another length than the query's; equal scores go to the
-smaller id; repeated rows are candidates each; fewer than k candidates are all returned.
+smaller id; repeated rows are candidates each; fewer than k candidates are all returned, and an empty table gives no
+rows. Other columns, whatever their names, are not carried along.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ smoothed towards the share of all labels; branches at or above a limit are block
 
 DataFrame functions only. Defined results: a NULL url, or one without ``://``, has an empty
 host and path and is judged like any other; equal rows get equal results, once per row;
-without any label nothing is blocked; extra columns pass through.
+without any label nothing is blocked; paths of any length are judged by their first segments; an empty table gives an
+empty one. Extra columns pass through, whatever their names; an added column takes the place of one of its name.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayline.llm.columns import given_back, number_of, numbered
 from assayline.session import write_through
 
 # Fixed values of the contract: verdict, host, path.
@@ -61,6 +63,9 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return name, verdict
 
 
+ADDED = ("host", "path", "rule", "verdict", "template", "purity")
+
+
 def segments(path: Column) -> Column:
     """Segments of a path with wildcards for those that hold a digit; at most ``DEPTH`` and a rest."""
     def general(s: Column) -> Column:
@@ -72,19 +77,16 @@ def segments(path: Column) -> Column:
 
 def classify(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
     """Add host, path, rule, verdict, template and purity (share of blocked labels of the branch)."""
-    own = F.coalesce(F.col(f"`{url}`"), F.lit(""))
-    names = [f"c{i}" for i in range(len(pages.columns))]
-    rows = pages.withColumns({"__host": host_of(own), "__path": path_of(own)})
-    rows = rows.toDF(*names, "host", "path")
+    own = F.coalesce(F.col(number_of(pages, url)), F.lit(""))
+    rows = numbered(pages).withColumns({"host": host_of(own), "path": path_of(own)})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "given": verdict, "shape": F.array_join(segments(F.col("path")), "/")})
     judged = branches(rows.select("host", "shape", "given"))
     judged = write_through(judged, "judged")
     found = rows.join(judged.withColumnsRenamed({"host": "h", "shape": "s"}), (F.col("host") == F.col("h")) & (F.col("shape") == F.col("s")), "left")
     method = F.when(F.col("purity") >= LIMIT, "block").otherwise("allow")
-    return found.select(*names, "host", "path", "rule", F.coalesce("given", method).alias("verdict"), "template", "purity").toDF(
-        *pages.columns, "host", "path", "rule", "verdict", "template", "purity"
-    )
+    found = found.withColumn("verdict", F.coalesce("given", method))
+    return given_back(found, pages.columns, ADDED)
 
 
 def branches(rows: DataFrame) -> DataFrame:
