@@ -53,7 +53,7 @@ def cut_draws(draws: DataFrame, cuts: Sequence[int], cell_bits: int = CELL_BITS)
     running = _sums_upto(cells, ["s"], "cell").withColumn("whole", F.sum("rows").over(Window.partitionBy("s")))
     held = running.selectExpr("s", "cell", "rows", "upto", f"inline(array({places}))").where(_holding(running))
     held = write_through(held.selectExpr("s", "cell", "k", "place - (upto - rows) AS place"), "split-held")
-    chosen = write_through(held.groupBy("s").agg(F.collect_set("cell").alias("cells")), "split-chosen")
+    chosen = held.groupBy("s").agg(F.collect_set("cell").alias("cells"))
     near = lookup_join(draws, chosen, ["s"]).where(F.array_contains("cells", F.shiftright("d", first)))
     near = write_through(near.groupBy("s", "d").agg(count), "split-near").withColumn("cell", F.shiftright("d", first))
     # From here on only a few cells' draws remain.
