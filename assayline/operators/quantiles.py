@@ -11,8 +11,8 @@ not hold for billions of distinct measurements. Here
 3. one pass counts the values inside the brackets one by one, in bins of equal depth; a bracket that is
    one value, as usual where a column has few values, needs no such look.
 
-Sketches only decide where to look; all counts are exact. No pass turns a row into one row
-per column: only the values inside brackets leave their row.
+Sketches only decide where to look; all counts are exact. Only the values inside brackets leave
+their row's task, counted.
 """
 
 from __future__ import annotations
