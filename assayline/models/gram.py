@@ -33,6 +33,8 @@ class Sums:
     yy: float
     shift_x: np.ndarray
     shift_y: float
+    # Labelled rows of the whole table, in a fold or in none.
+    labelled: int = 0
 
     def __sub__(self, other: Sums) -> Sums:
         return self._with(other, -1.0)
@@ -57,12 +59,12 @@ class Sums:
         return float(self.shift_y + intercept - weights @ self.shift_x)
 
 
-def shifts(df: DataFrame, label: str, features: str) -> tuple[np.ndarray, float] | None:
-    """Mean of every feature and of the label over labelled rows; None without such rows."""
+def shifts(df: DataFrame, label: str, features: str) -> tuple[np.ndarray, float, int] | None:
+    """Mean of every feature and of the label over labelled rows, and their number; None without such rows."""
     # Grouped, as the summary of no rows is an error.
     labelled = df.where(F.col(label).isNotNull()).groupBy(F.lit(1))
-    found = labelled.agg(Summarizer.mean(F.col(features)).alias("x"), F.avg(F.col(label).cast("double")).alias("y")).first()
-    return (found["x"].toArray(), found["y"]) if found else None
+    found = labelled.agg(Summarizer.mean(F.col(features)).alias("x"), F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).alias("n")).first()
+    return (found["x"].toArray(), found["y"], found["n"]) if found else None
 
 
 def fold_sums(df: DataFrame, label: str, fold: str | None, folds: int, features: str = "features") -> list[Sums]:
@@ -73,7 +75,7 @@ def fold_sums(df: DataFrame, label: str, fold: str | None, folds: int, features:
     found = shifts(df, label, features)
     if found is None:
         return []
-    shift_x, shift_y = found
+    shift_x, shift_y, labelled = found
     place = F.lit(0)
     if fold is not None:
         place = F.when(F.col(fold).between(0, folds - 1), F.col(fold)).when(F.col(fold).isNotNull(), folds)
@@ -86,7 +88,7 @@ def fold_sums(df: DataFrame, label: str, fold: str | None, folds: int, features:
     d, sums = len(shift_x), []
     for f in range(blocks):
         m = matrix[f * (d + 2) : (f + 1) * (d + 2), f * (d + 2) : (f + 1) * (d + 2)]
-        sums.append(Sums(m[-1, -1], m[:d, -1], m[d, -1], m[:d, :d], m[:d, d], m[d, d], shift_x, shift_y))
+        sums.append(Sums(m[-1, -1], m[:d, -1], m[d, -1], m[:d, :d], m[:d, d], m[d, d], shift_x, shift_y, labelled))
     return sums
 
 
@@ -115,9 +117,8 @@ def solve(sums: Sums, alpha: float, l1_share: float, summed_loss: bool, passes:
     return found, float(mean_y - mean_x @ found)
 
 
-def cross_validate_linear(df: DataFrame, estimator, points: Sequence[dict], label: str, fold: str, folds: int) -> list[list[float]]:
-    """Mean squared error per grid point and fold."""
-    parts = fold_sums(df, label, fold, folds, estimator.getFeaturesCol())
+def cross_validate_linear(parts: Sequence[Sums], estimator, points: Sequence[dict], folds: int) -> list[list[float]]:
+    """Mean squared error per grid point and fold, from the sums of the folds."""
     if not parts:
         raise ValueError("fold 0 holds no labelled rows")
     if empty := [f for f in range(folds) if not parts[f].n]:

@@ -17,7 +17,7 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.models.gram import fold_sums, shifts, solve
+from assayline.models.gram import Sums, fold_sums, shifts, solve
 
 
 class PenalisedRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter):
@@ -83,6 +83,10 @@ class PenalisedRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionC
             raise ValueError("no labelled rows")
         return found
 
+    def fit_sums(self, dataset: DataFrame, sums: Sums) -> LinearRegressionModel:
+        """The model of rows whose sums are known; reads none of them."""
+        return self._fitted(dataset, [sums])
+
     def _fitted(self, dataset: DataFrame, facts) -> LinearRegressionModel:
         if self.getOrDefault("solver") == "sums":
             weights, intercept = solve(facts[0], *self.penalty())
@@ -108,8 +112,9 @@ class PenalisedRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionC
         found = shifts(dataset, label, features)
         if found is None:
             return None
-        n, deviation = dataset.agg(F.count(F.col(label)), F.stddev_pop(F.col(label).cast("double"))).first()
-        return n, deviation or 0.0, *found
+        shift_x, shift_y, n = found
+        deviation = dataset.agg(F.stddev_pop(F.col(label).cast("double"))).first()[0]
+        return n, deviation or 0.0, shift_x, shift_y
 
     def _solver(self, n: int, deviation: float) -> LinearRegression:
         weight, share, summed = self.penalty()

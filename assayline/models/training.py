@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.models.catalogue import DEFAULT_MODELS, MODELS, ModelConfig
-from assayline.models.gram import cross_validate_linear
+from assayline.models.gram import cross_validate_linear, fold_sums
 from assayline.models.regression import PenalisedRegression
 from assayline.operators.evaluate import metrics_of_models
 
@@ -94,7 +94,7 @@ def cross_validate(
     """
     if isinstance(estimator, PenalisedRegression):
         if one_scan and estimator.getOrDefault("solver") == "sums":
-            return cross_validate_linear(df, estimator, points, label, fold, folds)
+            return cross_validate_linear(fold_sums(df, label, fold, folds, estimator.getFeaturesCol()), estimator, points, folds)
         estimator = estimator.copy({estimator.solver: "iterative"})
     errors: list[list[float]] = [[] for _ in points]
     for held_out in range(folds):
@@ -151,13 +151,24 @@ def train_one(
     estimator = config.build(seed)
     points = grid_points(config.grid) if tune and config.grid else [{}]
     train = df.where(F.col(split) == "train").select("features", label, fold)
+    parts = []
     if validate or len(points) > 1:
-        errors = cross_validate(train, estimator, points, label, fold, folds, parallelism, one_scan)
+        if one_scan and isinstance(estimator, PenalisedRegression) and estimator.getOrDefault("solver") == "sums":
+            parts = fold_sums(train, label, fold, folds, estimator.getFeaturesCol())
+            errors = cross_validate_linear(parts, estimator, points, folds)
+        else:
+            errors = cross_validate(train, estimator, points, label, fold, folds, parallelism, one_scan)
         mean, best = min((statistics.fmean(e), i) for i, e in enumerate(errors))
         deviation = statistics.pstdev(errors[best])
     else:
         mean, best, deviation = None, 0, None
-    model = _fit_points(train, estimator, [points[best]], label, 1)[0]
+    whole = sum(parts[1:], parts[0]) if parts else None
+    if whole and whole.n == whole.labelled:
+        # The folds hold all rows, so their sums are those of the last fit too.
+        chosen = {estimator.getParam(k): v for k, v in points[best].items()}
+        model = estimator.copy({**chosen, estimator.labelCol: label}).fit_sums(train, whole)
+    else:
+        model = _fit_points(train, estimator, [points[best]], label, 1)[0]
     return Trained(
         name=name,
         model=model,

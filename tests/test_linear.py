@@ -105,3 +105,25 @@ def test_models_from_sums_can_be_saved_and_loaded(spark):
     for name in ("ridge", "lasso"):
         one, other = (predict(rows, t, name).agg(F.sum("prediction")).first()[0] for t in (trained, loaded))
         assert one == other
+
+
+def test_search_and_last_fit_share_their_sums(spark, monkeypatch):
+    from assayline.models import gram, train_one
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 3)) + 1e5
+    rows = vectors(spark, x, x[:, 0] + rng.normal(size=200))
+    calls = []
+    plain = gram.product_sums
+    monkeypatch.setattr(gram, "product_sums", lambda df, cells: (calls.append(1), plain(df, cells))[1])
+    entry = train_one(rows, "ridge", "quality")
+    assert len(calls) == 1
+    alone = PenalisedRegression(alpha=entry.best_params["alpha"], summed_loss=True, labelCol="quality").fit(rows)
+    assert np.allclose(entry.model.coefficients.toArray(), alone.coefficients.toArray(), rtol=1e-9) and np.isclose(entry.model.intercept, alone.intercept, rtol=1e-9)
+    # Rows of no fold belong to the last fit alone.
+    loose = rows.withColumn("fold", F.when(F.col("fold") < 2, F.col("fold")))
+    calls.clear()
+    other = train_one(loose, "ridge", "quality", folds=2)
+    assert len(calls) == 2
+    again = PenalisedRegression(alpha=other.best_params["alpha"], summed_loss=True, labelCol="quality").fit(loose)
+    assert np.allclose(other.model.coefficients.toArray(), again.coefficients.toArray(), rtol=1e-9)
