@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayline.operators import features
-from assayline.operators.split import cut_draws, fold_of, split_report, stratified_split
+from assayline.operators.split import cut_draws, draw_of, fold_of, split_report, stratified_split
 
 
 def test_labels_are_sorted_and_unseen_becomes_zero_per_row(spark):
@@ -90,3 +90,11 @@ def test_split_report_shares(spark):
     df = spark.createDataFrame([("train", 3), ("train", 4), ("test", 3), ("val", 3)], "split string, q int")
     got = {(r.split, r.q): (r["count"], r.split_percentage) for r in split_report(df, "q").collect()}
     assert got["train", 4] == (1, 50.0) and got["val", 3] == (1, 25.0)
+
+
+def test_draws_of_a_written_table_split_it_alike(spark):
+    df = spark.range(900).selectExpr("id", "id % 4 AS s")
+    drawn = df.withColumn("d", draw_of(["id"], 42))
+    got = stratified_split(drawn, "s", ["id"], drawn="d")
+    assert got.columns == ["id", "s", "split"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stratified_split(df, "s", ["id"]).collect()))
