@@ -321,3 +321,25 @@ def test_malformed_lines_get_a_row_without_score(spark, prepared, trained, tmp_p
     bad = [r for r in rows if r["malformed_line"]]
     assert len(bad) == 1 and bad[0]["predicted_quality"] is None
     assert all(r["predicted_quality"] is not None for r in rows if not r["malformed_line"])
+
+
+def test_a_preparation_takes_each_digest_once(spark, synthetic):
+    """Draws and folds are written with the cleaned rows; fits and labels after that read them, and give the old sides."""
+    from assayline.operators.split import fold_of, stratified_split
+    from assayline.plans import prepare
+
+    rows, _ = fit_preparation(synthetic, SPEC)
+    assert "md5" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    cleaned, _ = prepare.clean(synthetic, SPEC)
+    before = stratified_split(cleaned, SPEC.target, SPEC.key).withColumn("fold", fold_of(SPEC.key))
+    sides = lambda df: sorted(map(tuple, df.select(*SPEC.key, "split", "fold").collect()))
+    assert sides(rows) == sides(before)
+
+
+def test_a_job_can_share_a_preparation(spark, synthetic, tmp_path, monkeypatch):
+    from assayline.plans import train
+
+    prepared = fit_preparation(synthetic, SPEC)
+    monkeypatch.setattr(train, "fit_preparation", lambda *a, **k: pytest.fail("prepared again"))
+    preparation, trained = train_job(synthetic, SPEC, str(tmp_path / "job"), ["ridge"], prepared=prepared)
+    assert preparation.digest() == prepared[1].digest() and trained.best_name == "ridge"
