@@ -5,11 +5,20 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from assayline.models import MODELS, ModelConfig, train_one
-from assayline.models.trees import Spread, audit_nodes, importance_of_nodes, node_table
+from assayline.models import MODELS, ModelConfig, ModelSet, Trained, predict_with_spread, train_one
+from assayline.models.trees import (
+    Spread,
+    audit_nodes,
+    boosted_leaf_means,
+    importance_of_nodes,
+    leaf_values,
+    node_table,
+    spread_gaps,
+)
 from assayline.plans.train import train_job, training_journal, training_summary
 from assayline.session import write_through
 from assayline.spec import SAMPLE_SPEC
@@ -122,3 +131,41 @@ def test_journal_of_a_job_and_of_one_that_failed_first(spark, synthetic, tmp_pat
     assert len(summary) == 1 and summary[0]["rows_read"] == synthetic.count()
     info = spark.read.parquet(f"{path}/table")
     assert info.count() == len(synthetic.columns)
+
+
+def test_leaves_are_followed_batch_by_batch(spark):
+    """Means of what boosting left and gaps of the spread, against NumPy over collected leaves, without a shuffle of rows."""
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (300, 3))
+    y = x[:, 0] * 2 + x[:, 1] ** 2 + rng.normal(0, 0.1, 300)
+    rows = spark.createDataFrame([(Vectors.dense(a.tolist()), float(b)) for a, b in zip(x, y)], ["features", "y"]).coalesce(3)
+    boosted = GBTRegressor(maxIter=4, maxDepth=2, stepSize=0.05, labelCol="y", seed=1).fit(rows)
+    nodes = node_table(spark, boosted)
+    values = leaf_values(nodes)
+    weights = np.array(boosted.treeWeights)
+    collected = boosted.copy().setLeafCol("at").transform(rows).select("y", "at").collect()
+    expected: dict[tuple[int, int], list[float]] = {}
+    for r in collected:
+        gone = 0.0
+        for t, leaf in enumerate(int(v) for v in r["at"]):
+            expected.setdefault((t, leaf), []).append(r["y"] if t == 0 else 2 * (r["y"] - gone))
+            gone += weights[t] * values[t, leaf]
+    found = boosted_leaf_means(rows, boosted, "y", values, weights)
+    got = {(r["tree"], r["leaf"]): r["mean"] for r in found.collect()}
+    assert got.keys() == expected.keys()
+    assert all(abs(got[k] - np.mean(v)) < 1e-9 for k, v in expected.items())
+    told = {(r["tree"], r["leaf"]): r["prediction"] for r in nodes.where("feature IS NULL").selectExpr(
+        "tree", "row_number() OVER (PARTITION BY tree ORDER BY node) - 1 AS leaf", "prediction").collect()}
+    assert all(abs(got[k] - told[k]) < 1e-6 for k in got)
+
+    forest = RandomForestRegressor(numTrees=5, maxDepth=3, labelCol="y", seed=1).fit(rows)
+    trained = ModelSet({"f": Trained("f", forest, {}, None, None, 0.0)}, best_name="f")
+    scored = predict_with_spread(rows.unionByName(rows), trained)  # repeated rows count as well
+    votes = leaf_values(node_table(spark, forest))
+    gaps = spread_gaps(scored, forest, "prediction", "spread", votes).collect()
+    assert sum(r["mismatches"] for r in gaps) == 0 and max(r["spread"] for r in gaps) > 0
+    off = scored.withColumn("spread", F.col("spread") + F.when(F.col("y") > 0, 0.01).otherwise(0.0))
+    wrong = sum(r["mismatches"] for r in spread_gaps(off, forest, "prediction", "spread", votes).collect())
+    assert wrong == 2 * int((y > 0).sum())
+    plan = spread_gaps(scored, forest, "prediction", "spread", votes)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Generate " not in plan
