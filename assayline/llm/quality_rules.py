@@ -3,9 +3,9 @@
 The model is a modified Kneser-Ney model of the characters of words, counted with Spark over
 all documents that are long enough and hold few symbols (of a language without any such, over
 all its documents), and smoothed with the discounts that its own counts give. Its entries
-lie in arrays sorted by a 64-bit hash, whose size is bounded: beyond the bound the rarest
-entries of the two highest orders are pruned, and the weight of lower orders takes their
-place. The mean logarithm of a text's character probabilities is held against its
+are known by a 64-bit hash. As many as a bound allows lie in sorted arrays that every task has; of a model with
+more, these are the grams used most, and a text's other grams are joined to the written table of all
+entries, so that no entry is left out of any text's score. The mean logarithm of a text's character probabilities is held against its
 language's band, which lies around the median of all documents that pass the basic rules;
 both too surprising and too predictable texts are rejected.
 
@@ -33,7 +33,7 @@ from assayline.llm.shingles import windows, word_hashes
 from assayline.session import write_through
 
 ORDER = 4
-MAX_ENTRIES = 2_000_000  # of all languages together; 16 bytes each
+MAX_ENTRIES = 2_000_000  # that a task holds, of all languages together; 16 bytes each
 # Perplexity of a kept text, as a part and a multiple of its language's median.
 LOWEST, HIGHEST = 1 / 1.5, 2.5
 LEAN = 2  # documents that the median of all languages counts as beside a language's own
@@ -108,24 +108,31 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     for n in range(1, ORDER + 1):
         table = orders[n].withColumn("context", F.substring("gram", 1, n - 1))
         table = table.join(_discounts(table), "lang").withColumn("held", F.col("n") - F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        least = _least_count(table) if n > 2 else 0
-        totals = table.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("n") > least, F.col("held")).otherwise(0.0)).alias("kept"))
+        totals = table.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("held").alias("kept"))
         totals = totals.withColumn("back", 1 - F.col("kept") / F.col("total"))
-        table = table.where(F.col("n") > least).join(totals, ["lang", "context"])
+        table = table.join(totals, ["lang", "context"])
         if lower is None:
             table = table.join(characters, "lang").withColumn("p", F.col("held") / F.col("total") + F.col("back") / (F.col("size") + 1))
         else:
             below = lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("q"))
             table = table.withColumn("rest", F.substring("gram", 2, n - 1)).join(below, ["lang", "rest"])
             table = table.withColumn("p", F.col("held") / F.col("total") + F.col("back") * F.col("q"))
-        lower = write_through(table.select("lang", "gram", "p"), f"p{n}")
-        parts.append(lower.select(F.xxhash64("lang", "gram").alias("key"), F.log("p").cast("float").alias("value"), F.lit(True).alias("is_p")))
-        parts.append(totals.select(F.xxhash64("lang", "context").alias("key"), F.log(F.greatest("back", F.lit(1e-9))).cast("float").alias("value"), F.lit(False).alias("is_p")))
+        lower = write_through(table.select("lang", "gram", "n", "p"), f"p{n}")
+        # A text asks first for grams of the highest order and for those at a word's start; others are met on the way back.
+        uses = F.col("n") if n == ORDER else F.when(F.col("gram").startswith(" "), F.col("n")).otherwise(0)
+        parts.append(lower.select(F.xxhash64("lang", "gram").alias("key"), F.log("p").cast("float").alias("value"), F.lit(True).alias("is_p"), uses.alias("uses")))
+        back = F.log(F.greatest("back", F.lit(1e-9))).cast("float")
+        parts.append(totals.select(F.xxhash64("lang", "context").alias("key"), back.alias("value"), F.lit(False).alias("is_p"), F.lit(0).alias("uses")))
     entries = parts[0]
     for part in parts[1:]:
         entries = entries.unionByName(part)
-    sizes = {row["lang"]: row["size"] for row in characters.orderBy(F.desc("size"), "lang").limit(MAX_ENTRIES).collect()}
-    return Model.of(entries.toArrow(), sizes)
+    entries = write_through(entries, "entries")
+    if entries.count() <= MAX_ENTRIES:
+        # No more languages than entries.
+        return Model.of(entries.drop("uses").toArrow(), {row["lang"]: row["size"] for row in characters.collect()})
+    model = Model.of(entries.where(F.col("uses") > _least_uses(entries)).drop("uses").toArrow(), {}, complete=False)
+    model.tables = (entries.drop("uses"), write_through(characters, "characters"))
+    return model
 
 
 def _discounts(table: DataFrame) -> DataFrame:
@@ -141,27 +148,52 @@ def _discounts(table: DataFrame) -> DataFrame:
     return counts.select("lang", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
 
 
-def _least_count(table: DataFrame) -> int:
-    """Count up to which entries of an order are pruned, so that the rest fits its share of the bound."""
-    rows = table.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect()
+def _least_uses(entries: DataFrame) -> int:
+    """Number of uses up to which entries are left to the join, so that the others fit the bound."""
+    cell = F.floor(F.log2("uses") * 8).alias("cell")
+    rows = entries.where("uses > 0").groupBy(cell).agg(F.count("*").alias("entries"), F.max("uses").alias("most")).orderBy(F.desc("cell")).collect()
     kept = 0
     for row in rows:
-        kept += row["count"]
-        if kept > MAX_ENTRIES // 3:
-            return row["n"]
+        kept += row["entries"]
+        if kept > MAX_ENTRIES:
+            return row["most"]
     return 0
 
 
+def rest_values(wanted: DataFrame, entries: DataFrame, characters: DataFrame) -> DataFrame:
+    """(lang, gram, value): log-probability of the last character of some distinct grams, from the table of all entries.
+
+    A gram asks for itself and what follows its first characters, and for the weight of each context on the way."""
+    steps = []
+    for k in range(ORDER):
+        rest = f"substring(gram, {k + 1})"
+        steps += [f"named_struct('k', {k}, 'asks_p', true, 'own', xxhash64(lang, {rest}))",
+                  f"named_struct('k', {k}, 'asks_p', false, 'own', xxhash64(lang, substring({rest}, 1, length({rest}) - 1)))"]
+    asked = wanted.selectExpr("lang", "gram", f"inline(array({', '.join(steps)}))").where("k < length(gram)")
+    met = asked.join(entries, (F.col("own") == F.col("key")) & (F.col("asks_p") == F.col("is_p")))
+    cells = [F.max(F.when((F.col("k") == k) & (F.col("asks_p") == p), F.col("value").cast("double"))).alias(f"{name}{k}") for k in range(ORDER) for name, p in (("p", True), ("b", False))]
+    known = wanted.join(met.groupBy("lang", "gram").agg(*cells), ["lang", "gram"], "left").join(characters, "lang", "left")
+    value = -F.log(F.coalesce("size", F.lit(1)) + F.lit(1.0))
+    for k in reversed(range(ORDER)):
+        value = F.coalesce(f"p{k}", F.coalesce(f"b{k}", F.lit(0.0)) + value)
+    return known.select("lang", "gram", value.alias("value"))
+
+
 class Model:
-    """Arrays of log-probabilities and back-off weights, sorted by hash."""
+    """Arrays of log-probabilities and back-off weights, sorted by hash.
+
+    Of a model that is not ``complete`` they hold the probabilities used most, and no way back: ``tables`` has all entries, and
+    what a task cannot tell is NaN.
+    """
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, back_keys: np.ndarray, back_values: np.ndarray, sizes: dict[str, int]):
-        self.keys, self.values, self.back_keys, self.back_values, self.sizes = keys, values, back_keys, back_values, sizes
+    def __init__(self, keys: np.ndarray, values: np.ndarray, back_keys: np.ndarray, back_values: np.ndarray, sizes: dict[str, int], complete: bool = True):
+        self.keys, self.values, self.back_keys, self.back_values, self.sizes, self.complete = keys, values, back_keys, back_values, sizes, complete
+        self.tables: tuple[DataFrame, DataFrame] | None = None
         self.characters: dict[str, dict[str, float]] = {}
         self.words: dict[str, dict[bytes, float]] = {}
 
     @classmethod
-    def of(cls, entries: pa.Table, sizes: dict[str, int]) -> Model:
+    def of(cls, entries: pa.Table, sizes: dict[str, int], complete: bool = True) -> Model:
         keys, values = entries["key"].to_numpy(), entries["value"].to_numpy()
         is_p = entries["is_p"].to_numpy()
 
@@ -169,10 +201,10 @@ class Model:
             order = np.argsort(keys[chosen], kind="stable")
             return keys[chosen][order], values[chosen][order].astype(np.float32)
 
-        return cls(*part(is_p), *part(~is_p), sizes)
+        return cls(*part(is_p), *part(~is_p), sizes, complete)
 
     def __getstate__(self) -> tuple:
-        return self.keys, self.values, self.back_keys, self.back_values, self.sizes
+        return self.keys, self.values, self.back_keys, self.back_values, self.sizes, self.complete
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
@@ -184,13 +216,15 @@ class Model:
         return float(values[i]) if i < len(keys) and keys[i] == key else None
 
     def character(self, lang: str, gram: str) -> float:
-        """Log-probability of a gram's last character after the others."""
+        """Log-probability of a gram's last character after the others; NaN where it takes the table of all entries."""
         seed = xxhash.xxh64_intdigest(lang.encode(), 42)
         weight = 0.0
         while gram:
             found = self._find(self.keys, self.values, seed, gram)
             if found is not None:
                 return weight + found
+            if not self.complete:
+                return math.nan
             weight += self._find(self.back_keys, self.back_values, seed, gram[:-1]) or 0.0
             gram = gram[1:]
         return weight - math.log(self.sizes.get(lang, 1) + 1)
@@ -209,7 +243,7 @@ class Model:
         return total
 
     def total(self, lang: str, words: list[bytes]) -> float:
-        """Log-probability of all characters of some words."""
+        """Log-probability of all characters of some words; NaN where ``open`` has to part them."""
         known = self.words.setdefault(lang, {})
         try:
             return math.fsum(map(known.__getitem__, words))
@@ -222,6 +256,22 @@ class Model:
                     (known if len(w) <= 64 else rest)[w] = self.word(lang, w)
             return math.fsum(map((known | rest if rest else known).__getitem__, words))
 
+    def open(self, lang: str, words: list[bytes]) -> tuple[float, dict[str, int]]:
+        """Log-probability of the characters that a task can tell, and the other grams with their number."""
+        known, sums, rest = self.characters.setdefault(lang, {}), [], Counter()
+        for word, times in Counter(words).items():
+            s = spelled(word)
+            for i in range(1, len(s)):
+                gram = s[max(0, i - ORDER + 1) : i + 1]
+                value = known.get(gram)
+                if value is None:
+                    value = self.character(lang, gram)
+                if value == value:
+                    sums.append(times * value)
+                else:
+                    rest[gram] += times
+        return math.fsum(sums), rest
+
 
 # -- rules ---------------------------------------------------------------------------------
 
@@ -256,8 +306,11 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", lowest: float
     names = docs.columns
     source = docs.toDF(*[f"c{i}" for i in range(len(names))])
     position, code = names.index(text), names.index(lang)
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, text, lang))
+    fitted = fit(docs, text, lang)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     added = [*[T.StructField(n, T.LongType()) for n in _NAMES], T.StructField("log_perplexity", T.DoubleType())]
+    if not fitted.complete:
+        added.append(T.StructField("rest", T.ArrayType(T.StructType([T.StructField("gram", T.StringType()), T.StructField("times", T.LongType())]))))
     kept_fields = [f for i, f in enumerate(source.schema.fields) if i != position]
     schema = T.StructType([*kept_fields, *added])
 
@@ -266,17 +319,29 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", lowest: float
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(start, CHUNK)
-                rows, scores = [], []
+                rows, scores, rests = [], [], []
                 for t, c in zip(part.column(position).to_pylist(), part.column(code).to_pylist(), strict=True):
                     words, counts = counts_of(t or "")
                     rows.append(counts)
+                    total, rest = lm.total(c or "", words), {}
+                    if total != total:
+                        total, rest = lm.open(c or "", words)
                     # One more for each word's end.
-                    scores.append(-lm.total(c or "", words) / (counts[1] + len(words)) if words else None)
+                    scores.append(-total / (counts[1] + len(words)) if words else None)
+                    rests.append([{"gram": g, "times": n} for g, n in rest.items()])
                 columns = [c for i, c in enumerate(part.columns) if i != position]
                 columns += [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] + [pa.array(scores, pa.float64())]
+                if not lm.complete:
+                    columns.append(pa.array(rests, pa.list_(pa.struct([("gram", pa.string()), ("times", pa.int64())]))))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    counted = write_through(source.mapInArrow(run, schema), "judged")
+    counted = source.mapInArrow(run, schema)
+    if fitted.complete:
+        counted = write_through(counted, "judged")
+    else:
+        # Numbers of rows are fixed as they are written.
+        counted = write_through(counted.withColumn("row", F.monotonically_increasing_id()), "judged")
+        counted = write_through(_completed(counted, F.coalesce(f"c{code}", F.lit("")), fitted.tables), "completed")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = counted.withColumn("base_failed", failed).withColumn("__lang", F.coalesce(f"c{code}", F.lit("")))
     limits = bands(rows.where("not base_failed"), lowest, highest)
@@ -286,6 +351,15 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", lowest: float
     return given_back(out, names, [*_NAMES, "base_failed", "log_perplexity", "kept"], [text])
 
 
+def _completed(counted: DataFrame, lang: Column, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Rows with the share of the grams in ``rest`` in their ``log_perplexity``; only these grams are shuffled."""
+    asked = counted.select("row", lang.alias("lang"), F.inline("rest"))
+    values = write_through(rest_values(write_through(asked.select("lang", "gram").distinct(), "rest-grams"), *tables), "rest-values")
+    more = asked.join(values, ["lang", "gram"]).groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
+    whole = F.col("log_perplexity") - F.coalesce("more", F.lit(0.0)) / (F.col("word_chars") + F.col("n_words"))
+    return counted.drop("rest").join(more, "row", "left").withColumn("log_perplexity", whole).drop("row", "more")
+
+
 def bands(rows: DataFrame, lowest: float, highest: float) -> DataFrame:
     """(lang, low, high) of every language, around its median shrunk towards that of all.
 

@@ -129,6 +129,26 @@ def test_pruned_models_stay_within_their_bound(spark, monkeypatch):
     assert -12 < model.character("en", " the") < 0
 
 
+@pytest.mark.parametrize("most", [1, 600])
+def test_entries_beyond_the_bound_count_as_those_within_it(spark, monkeypatch, documents, most):
+    rng = random.Random(6)
+    odd = [(5000 + i, " ".join("".join(chr(rng.randint(0x400, 0x4FF)) for _ in range(4)) + rng.choice(["", "#&|$"]) for _ in range(80)), rng.choice(["en", None])) for i in range(20)]
+    frame = spark.createDataFrame(documents[:60] + documents[400:-1] + odd, "doc_id long, text string, lang string").repartition(3)
+    columns = ["doc_id", "lang", "n_words", "n_repeat_words", "base_failed", "kept"]
+
+    def judged():
+        rows = quality_rules.judge(frame.withColumn("raw", F.col("text"))).collect()
+        return sorted(((str([r[c] for c in columns]), r["raw"] or "", r["log_perplexity"]) for r in rows), key=lambda r: r[:2])
+
+    whole = judged()
+    monkeypatch.setattr(quality_rules, "MAX_ENTRIES", most)
+    assert len(quality_rules.fit(frame).keys) <= most
+    bounded = judged()
+    assert [r[:2] for r in bounded] == [r[:2] for r in whole]
+    for (_, _, a), (_, _, b) in zip(bounded, whole, strict=True):
+        assert (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9))
+
+
 def test_language_of_symbols_alone_has_a_model(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, 120), "en") for i in range(100)]
