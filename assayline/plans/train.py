@@ -9,7 +9,6 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from assayline.models.training import ModelSet, evaluate_models, train_all, trai
 from assayline.operators.evaluate import model_comparison
 from assayline.operators.outliers import POLICIES
 from assayline.operators.profile import table_info
+from assayline.operators.wide import quoted
 from assayline.plans.prepare import Preparation, assemble, fit_preparation
 from assayline.session import write_through
 from assayline.spec import TableSpec
@@ -84,8 +84,8 @@ def train_job(
 
     ``folds`` and ``outliers`` (a policy of ``treat_outliers``) go to the preparation;
     ``options`` go to ``train_all``. Unknown options raise before any work. ``prepared`` is what
-    ``fit_preparation`` gave for these rows and arguments, where a caller has that already; give written rows, as
-    they are read again rather than kept in memory beside what the models keep.
+    ``fit_preparation`` gave for these rows and arguments, where a caller has that already; give written rows. Prepared rows
+    are written and read again by each pass, not kept in memory beside what the models keep, so a table may be larger than that.
     """
     spark = df.sparkSession
     known = set(inspect.signature(train_all).parameters) | set(inspect.signature(train_one).parameters)
@@ -103,9 +103,10 @@ def train_job(
             done["rows"] = info.agg(F.max("rows")).first()[0]
         with journal.phase("prepare") as done:
             rows, preparation = prepared or fit_preparation(df, spec, seed=seed, folds=folds, outliers=outliers)
-            vectors = assemble(rows, spec.model_columns).select("features", spec.target, "split", "fold")
             if prepared is None:
-                vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+                names_kept = dict.fromkeys([*spec.model_columns, spec.target, "split", "fold"])
+                rows = write_through(rows.select(*[quoted(c) for c in names_kept]), "prepared")
+            vectors = assemble(rows, spec.model_columns).select("features", spec.target, "split", "fold")
             sizes = {r["split"]: r["count"] for r in vectors.groupBy("split").count().collect()}
             done["rows"] = sum(sizes.values())
 
@@ -115,15 +116,11 @@ def train_job(
                 yield
                 done["rows"] = sizes.get("train", 0)
 
-        try:
-            trained = train_all(vectors, spec.target, names, tune, folds=folds, seed=seed, phase=training, **options)
-            with journal.phase("evaluate") as done:
-                metrics = evaluate_models(trained, vectors, spec.target)
-                metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
-                done["rows"] = sum(sizes.values())
-        finally:
-            if prepared is None:
-                vectors.unpersist()
+        trained = train_all(vectors, spec.target, names, tune, folds=folds, seed=seed, phase=training, **options)
+        with journal.phase("evaluate") as done:
+            metrics = evaluate_models(trained, vectors, spec.target)
+            metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
+            done["rows"] = sum(sizes.values())
         with journal.phase("save") as done:
             preparation.save(spark, f"{path}/preparation")
             save_models(trained, spark, path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayline.models import MODELS
 from assayline.operators.cleaning import drop_duplicates
-from assayline.plans import score_batch, train_job
+from assayline.plans import score_batch, train, train_job
 from assayline.plans.prepare import Preparation
 from assayline.spec import SAMPLE_SPEC
 
@@ -70,3 +70,22 @@ def test_headers_of_batches(spark, artefacts, tmp_path):
     assert "absent_columns" not in scored.columns and scored.count() == 2
     with pytest.raises(ValueError, match="unknown choice"):
         score_batch(spark, sound, str(tmp_path / "out-no"), preparation, trained, absent="hide")
+
+
+def test_equal_rows_meet_before_they_are_compared(spark):
+    rows = [(1.0, 0.0, "a"), (1.0, -0.0, "a"), (float("nan"), None, None), (float("nan"), None, None), (None, 0.0, "a"), (2.0, 0.0, "a"), (2.0, 0.0, "a")]
+    found = drop_duplicates(spark.createDataFrame(rows, "x double, `y.z` double, X2 string").repartition(3))
+    assert found.columns == ["x", "y.z", "X2"]
+    assert sorted(str(tuple(r)).replace("-0.0", "0.0") for r in found.collect()) == sorted(map(str, [rows[0], rows[2], rows[4], rows[5]]))
+    scanned = drop_duplicates(spark.range(100).selectExpr("id % 7 AS a", "CAST(id % 3 AS DOUBLE) AS b"))
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    # One shuffle, below both steps of the comparison: no task compares the rows that it read.
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("HashAggregate")
+
+
+def test_prepared_rows_are_not_kept_in_memory(spark, synthetic, tmp_path, monkeypatch):
+    seen = []
+    real = train.train_all
+    monkeypatch.setattr(train, "train_all", lambda df, *a, **o: seen.append(df.storageLevel.useMemory) or real(df, *a, **o))
+    train_job(synthetic, SAMPLE_SPEC, str(tmp_path / "job"), ["ridge"], models={"ridge": MODELS["ridge"]})
+    assert seen == [False]
