@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
-from assayline.models import MODELS, PenalisedRegression, load_models, predict, save_models, train_all
+from assayline.models import MODELS, PenalisedRegression, gram, load_models, predict, save_models, train_all, training
 from assayline.models.gram import fold_sums
 from assayline.models.training import cross_validate, grid_points
 from assayline.operators.comoments import product_sums
@@ -127,3 +127,17 @@ def test_search_and_last_fit_share_their_sums(spark, monkeypatch):
     assert len(calls) == 2
     again = PenalisedRegression(alpha=other.best_params["alpha"], summed_loss=True, labelCol="quality").fit(loose)
     assert np.allclose(other.model.coefficients.toArray(), again.coefficients.toArray(), rtol=1e-9)
+
+
+def test_linear_models_of_one_table_share_their_sums(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [([float(v) for v in rng.normal(size=3)], float(rng.normal()), i % 3, "train" if i % 5 else "val") for i in range(200)]
+    frame = spark.createDataFrame(rows, "x array<double>, y double, fold int, split string").withColumn("features", array_to_vector("x"))
+    taken = []
+    monkeypatch.setattr(training, "fold_sums", lambda *a: taken.append(1) or gram.fold_sums(*a))
+    shared = train_all(frame, "y", ["ridge", "lasso", "elastic_net"])
+    assert len(taken) == 1
+    for name, entry in shared.models.items():
+        alone = training.train_one(frame, name, "y")
+        assert (entry.best_params, entry.cv_mean, entry.cv_std) == (alone.best_params, alone.cv_mean, alone.cv_std)
+        assert entry.model.coefficients.toArray().tolist() == alone.model.coefficients.toArray().tolist()
