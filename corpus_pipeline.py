@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from assayline.llm import bpe, jaccard, mixing, quality_classifier, secrets
 from assayline.llm.workers import small_batches
-from assayline.session import write_through
+from assayline.session import intermediates, write_through
 
 TOKENIZER = "byte_bpe_50k.json"
 MOST_PASSES = 2.0
@@ -69,9 +69,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    A stage's intermediate tables go when its result is written, and the result of the stage before with them.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     with small_batches(spark):
         for name, stage in STAGES:
-            docs = write_through(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            with intermediates(spark) as written:
+                docs = write_through(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+                result = written.pop()
+                written += last
+            last = [result]
     return docs

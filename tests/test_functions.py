@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from assayline.functions import (
@@ -16,6 +19,7 @@ from assayline.functions import (
     title,
 )
 from assayline.functions.scores import SCORE_RANGE
+from assayline import session
 
 
 def values(df, column):
@@ -89,3 +93,22 @@ def test_rule_noise_is_reproducible(spark):
     first = sorted(map(tuple, noisy.collect()))
     assert first == sorted(map(tuple, df.repartition(7).select("id", rule_score(df.columns, noise_seed=3, noise_key=["id"]).alias("s")).collect()))
     assert 0.2 < np.std([s for _, s in first]) < 0.4
+
+
+def test_intermediate_tables_go_and_results_stay(spark):
+    before = session.write_through(spark.range(3), "kept-before")
+    with session.intermediates(spark) as written:
+        step = session.write_through(spark.range(5), "step")
+        with session.intermediates(spark) as inner:
+            session.write_through(step, "inner")
+        result = session.write_through(step.selectExpr("id * 2 AS id"), "result")
+        paths = [*inner, *written[:-1]]
+        written.pop()
+    after = session.write_through(spark.range(2), "kept-after")
+    assert len(paths) == 3 and not any(Path(p).exists() for p in paths)
+    assert (before.count(), result.count(), after.count()) == (3, 5, 2)
+    with pytest.raises(ValueError):
+        with session.intermediates(spark) as written:
+            session.write_through(spark.range(1), "of-a-failure")
+            raise ValueError
+    assert Path(written[0]).exists()
