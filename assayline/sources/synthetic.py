@@ -32,12 +32,18 @@ CITRIC_SCALE, CITRIC_WEIGHT = 2.0, 0.1
 TARGET_INTERCEPT = 5.5
 TARGET_NOISE = 0.5
 TARGET_LIMITS = (3.0, 9.0)
+# Columns that are drawn in one step, and a number of partitions that no table has.
+STEP = 7
+NO_FEWER = 1 << 24
+NOISE = "__noise"
 
 
 def synthesise(keys: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
     """One synthetic sample per row of ``keys``, drawn from a digest of its key.
 
-    The draws do not depend on partitioning, so a rerun task yields the same rows.
+    The draws do not depend on partitioning, so a rerun task yields the same rows. Columns are drawn a few at a time:
+    the code of one projection of all of them is a method beyond the 8,000 bytes up to which the JVM compiles any, and is interpreted.
+    A ``coalesce`` that joins no partitions stands between, since neighbouring projections become one.
     """
     ids = [F.col(f"`{k}`") for k in key]
 
@@ -49,17 +55,20 @@ def synthesise(keys: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame
     measures["wine_type"] = F.when(hash_uniform(digest("wine_type")) < 0.5, CATEGORIES[0]).otherwise(
         CATEGORIES[1]
     )
-    drawn = keys.select(*ids, *[c.alias(n) for n, c in measures.items()])
+    measures[NOISE] = hash_normal(digest("noise"), 0.0, TARGET_NOISE)
+    drawn, names = keys.select(*ids), list(measures)
+    for first in range(0, len(names), STEP):
+        drawn = drawn.withColumns({n: measures[n] for n in names[first : first + STEP]}).coalesce(NO_FEWER)
     signal = (
         (F.col("alcohol") - ALCOHOL_BASE) * ALCOHOL_WEIGHT
         + (ACIDITY_BASE - F.col("volatile acidity") * ACIDITY_SCALE) * ACIDITY_WEIGHT
         + F.col("citric acid") * CITRIC_SCALE * CITRIC_WEIGHT
-        + hash_normal(digest("noise"), 0.0, TARGET_NOISE)
+        + F.col(NOISE)
         + TARGET_INTERCEPT
     )
     low, high = TARGET_LIMITS
     target = F.rint(F.least(F.greatest(signal, F.lit(low)), F.lit(high))).cast("int")
-    return drawn.withColumn("quality", target)
+    return drawn.withColumn("quality", target).drop(NOISE)
 
 
 def synthetic_samples(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:

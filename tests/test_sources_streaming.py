@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from assayline.plans.score import score_by_rule
+from assayline.queries.registry import rounded
 from assayline.session import shared_dir
 from assayline.sources import (
     canonical_names,
@@ -16,6 +19,7 @@ from assayline.sources import (
     write_delimited,
     write_splits,
 )
+from assayline.sources.synthetic import EXPONENTIALS, NORMALS
 from assayline.spec import SAMPLE_CATEGORIES, SAMPLE_RANGES, SAMPLE_SPEC
 from assayline.streaming import read_stream, score_stream
 
@@ -156,3 +160,21 @@ def test_malformed_lines_are_kept_dropped_or_refused(spark, tmp_path):
         read_delimited(spark, path, schema).collect()
     with pytest.raises(ValueError):
         read_delimited(spark, path, schema, malformed="guess")
+
+
+def test_methods_that_draw_samples_are_small_enough_to_be_compiled(spark, capsys):
+    # The JVM interprets methods beyond 8,000 bytes for ever.
+    rounded(synthetic_samples(spark, 10), 5, *NORMALS, *EXPONENTIALS).explain("codegen")
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8_000
+
+
+def test_rounding_is_that_of_spark(spark):
+    tenths = F.expr("(id - 200000) / 100000D")
+    cells = [tenths, tenths / 2, tenths + 0.000005, tenths * 1e9, tenths * 1e-9, F.expr("sin(id) * 12"), F.expr("pow(10, id % 40 - 20) * 1.000005")]
+    odd = spark.sql("SELECT explode(array(double('NaN'), double('-inf'), -0.0D, -1e-9D, CAST(NULL AS DOUBLE))) AS x")
+    rows = spark.range(400_001).select(F.explode(F.array(*cells)).alias("x")).union(odd)
+    for digits in (0, 4, 5):
+        text = F.col("x").cast("string")
+        both = rounded(rows.withColumn("told", F.round("x", digits)), digits, "x").withColumn("text", text)
+        assert both.where(~text.eqNullSafe(F.col("told").cast("string"))).isEmpty()
