@@ -9,7 +9,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from assayline.models import MODELS, ModelConfig, ModelSet, Trained, predict_with_spread, train_one
+from assayline.models import MODELS, ModelConfig, ModelSet, Trained, predict_with_spread, train_one, training
 from assayline.models.trees import (
     Spread,
     audit_nodes,
@@ -19,6 +19,7 @@ from assayline.models.trees import (
     node_table,
     spread_gaps,
 )
+from assayline.plans.prepare import assemble
 from assayline.plans.train import train_job, training_journal, training_summary
 from assayline.session import write_through
 from assayline.spec import SAMPLE_SPEC
@@ -169,3 +170,18 @@ def test_leaves_are_followed_batch_by_batch(spark):
     assert wrong == 2 * int((y > 0).sum())
     plan = spread_gaps(scored, forest, "prediction", "spread", votes)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "Generate " not in plan
+
+
+def test_boosting_deals_out_the_rows_of_large_partitions(spark, monkeypatch):
+    monkeypatch.setattr(training, "TASK_ROWS", 100)
+    rows = assemble(spark.range(1_050).selectExpr("CAST(id % 17 AS DOUBLE) AS x", "CAST(id % 17 AS DOUBLE) AS y", "'train' AS split", "0 AS fold").coalesce(1), ["x"])
+    seen = []
+    plain = GBTRegressor.fitMultiple
+    monkeypatch.setattr(GBTRegressor, "fitMultiple", lambda self, df, maps: (seen.append(df), plain(self, df, maps))[1])
+    config = ModelConfig(lambda seed: GBTRegressor(maxIter=2, maxDepth=5, seed=seed))
+    trained = training.quick_train(rows, "y", "trees", models={"trees": config}, validate=False)
+    (given,) = seen
+    assert given.rdd.getNumPartitions() == 11 and given.count() == 1_050
+    assert max(row["count"] for row in given.groupBy(F.spark_partition_id()).count().collect()) <= 100
+    assert trained.models["trees"].model.getNumTrees == 2
+    assert training.dealt_out(rows, 2_000).rdd.getNumPartitions() == 1
