@@ -96,6 +96,7 @@ def score_batch(
     sep: str = ",",
     mode: str = "errorifexists",
     absent: str = "default",
+    compression: str | None = None,
 ) -> DataFrame:
     """Score delimited files into a directory and return a scan of the written rows.
 
@@ -104,6 +105,7 @@ def score_batch(
     in the text column ``absent_columns``, ``fail`` refuses the batch with their names and those of the columns that nobody knows, as a
     renamed column is both.
 
+    Files that end in the suffix of a codec are read through it; ``compression`` names the one of the written files.
     Every line gives a row. A malformed one keeps its text in column ``malformed_line`` and
     gets no score, since its cells are not what was measured.
     """
@@ -120,5 +122,5 @@ def score_batch(
     scored = scored.withColumns({c: F.when(F.col(REJECT).isNull(), F.col(c)) for c in added})
     if absent == "flag":
         scored = scored.withColumn("absent_columns", F.lit(", ".join(differences["missing"]) or None).cast("string"))
-    write_delimited(scored, sink, mode=mode)
+    write_delimited(scored, sink, mode=mode, compression=compression)
     return read_delimited(spark, sink, scored.schema)

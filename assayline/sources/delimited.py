@@ -11,6 +11,7 @@ from assayline.sources.names import ALIASES, canonical_names
 
 # Text of a malformed line, NULL for a sound one.
 REJECT = "malformed_line"
+FILE_ROWS = 2_000_000
 _MODES = {"keep": "PERMISSIVE", "fail": "FAILFAST", "drop": "DROPMALFORMED"}
 
 
@@ -58,9 +59,14 @@ def rejects(rows: DataFrame) -> DataFrame:
     return rows.where(F.col(REJECT).isNotNull() & touched).select(REJECT)
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
-    """Write a directory of delimited part files, each with a header."""
-    df.write.mode(mode).csv(path, header=True, sep=sep)
+def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists", compression: str | None = None) -> None:
+    """Write a directory of delimited part files, each with a header.
+
+    ``compression`` names a codec of Spark's, such as ``gzip``. One task reads such a file from end to end, so a file then holds
+    no more than ``FILE_ROWS`` rows.
+    """
+    options = {"compression": compression, "maxRecordsPerFile": FILE_ROWS} if compression else {}
+    df.write.mode(mode).options(**options).csv(path, header=True, sep=sep)
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split", mode: str = "errorifexists") -> None:

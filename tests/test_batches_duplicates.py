@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from assayline.models import MODELS
 from assayline.operators.cleaning import drop_duplicates
 from assayline.plans import score_batch, train, train_job
 from assayline.plans.prepare import Preparation
+from assayline.sources import delimited
 from assayline.spec import SAMPLE_SPEC
 
 
@@ -89,3 +92,20 @@ def test_prepared_rows_are_not_kept_in_memory(spark, synthetic, tmp_path, monkey
     monkeypatch.setattr(train, "train_all", lambda df, *a, **o: seen.append(df.storageLevel.useMemory) or real(df, *a, **o))
     train_job(synthetic, SAMPLE_SPEC, str(tmp_path / "job"), ["ridge"], models={"ridge": MODELS["ridge"]})
     assert seen == [False]
+
+
+def test_batches_in_compressed_files(spark, artefacts, tmp_path, monkeypatch):
+    _, preparation, trained = artefacts
+    monkeypatch.setattr(delimited, "FILE_ROWS", 40)
+    cells = [F.expr(f"CAST(id % 13 AS DOUBLE) / {i + 2} AS `{c}`") for i, c in enumerate(SAMPLE_SPEC.features)]
+    rows = spark.range(90).coalesce(1).select(*cells, F.lit("red").alias("wine_type"))
+    told = []
+    for compression in (None, "gzip"):
+        source, sink = (str(tmp_path / f"{name}-{compression}") for name in ("in", "out"))
+        delimited.write_delimited(rows, source, compression=compression)
+        found = score_batch(spark, source, sink, preparation, trained, compression=compression)
+        told.append(sorted(map(str, found.collect())))
+        files = [f.name for folder in (source, sink) for f in Path(folder).glob("part-*")]
+        assert all(f.endswith(".csv.gz") == bool(compression) for f in files)
+        assert len(list(Path(source).glob("part-*"))) == (3 if compression else 1)
+    assert told[0] == told[1] and len(told[0]) == 90
