@@ -20,6 +20,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,11 @@ def spelled(word: bytes) -> str:
     return " " + word.decode("utf-8", "replace").lower() + " "
 
 
+def pieces(s: str) -> list[str]:
+    """Each character after the first with up to three before it."""
+    return [s[:i] for i in range(2, min(ORDER, len(s) + 1))] + [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
+
+
 def grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, clean, gram, n): each character of each word with up to three before it, counted.
 
@@ -72,9 +79,8 @@ def grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
             for kind, found in words.items():
                 into = counts.setdefault(kind, Counter())
                 for word, n in found.items():
-                    s = spelled(word)
-                    for i in range(1, len(s)):
-                        into[s[max(0, i - ORDER + 1) : i + 1]] += n
+                    for gram in pieces(spelled(word)):
+                        into[gram] += n
             if sum(map(len, counts.values())) > MEMO_WORDS:
                 yield from _counted(counts)
                 counts = {}
@@ -233,14 +239,14 @@ class Model:
         known = self.characters.setdefault(lang, {})
         if len(known) > MEMO_WORDS:
             known.clear()
-        s, total = spelled(word), 0.0
-        for i in range(1, len(s)):
-            gram = s[max(0, i - ORDER + 1) : i + 1]
-            value = known.get(gram)
-            if value is None:
-                value = known[gram] = self.character(lang, gram)
-            total += value
-        return total
+        found = pieces(spelled(word))
+        try:
+            return reduce(add, map(known.__getitem__, found), 0.0)
+        except KeyError:
+            for gram in found:
+                if gram not in known:
+                    known[gram] = self.character(lang, gram)
+            return reduce(add, map(known.__getitem__, found), 0.0)
 
     def total(self, lang: str, words: list[bytes]) -> float:
         """Log-probability of all characters of some words; NaN where ``open`` has to part them."""
@@ -250,19 +256,22 @@ class Model:
         except KeyError:
             if sum(map(len, self.words.values())) > MEMO_WORDS:
                 known.clear()
-            rest = {}
+            # Long words are not remembered, so a text has values of its own; the memo, as large as it may be, is not copied for them.
+            own = {}
             for w in set(words):
-                if w not in known:
-                    (known if len(w) <= 64 else rest)[w] = self.word(lang, w)
-            return math.fsum(map((known | rest if rest else known).__getitem__, words))
+                value = known.get(w)
+                if value is None:
+                    value = self.word(lang, w)
+                    if len(w) <= 64:
+                        known[w] = value
+                own[w] = value
+            return math.fsum(map(own.__getitem__, words))
 
     def open(self, lang: str, words: list[bytes]) -> tuple[float, dict[str, int]]:
         """Log-probability of the characters that a task can tell, and the other grams with their number."""
         known, sums, rest = self.characters.setdefault(lang, {}), [], Counter()
         for word, times in Counter(words).items():
-            s = spelled(word)
-            for i in range(1, len(s)):
-                gram = s[max(0, i - ORDER + 1) : i + 1]
+            for gram in pieces(spelled(word)):
                 value = known.get(gram)
                 if value is None:
                     value = self.character(lang, gram)

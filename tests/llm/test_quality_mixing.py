@@ -149,6 +149,22 @@ def test_entries_beyond_the_bound_count_as_those_within_it(spark, monkeypatch, d
         assert (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9))
 
 
+def test_a_text_with_a_long_word_does_not_copy_the_memo():
+    class Memo(dict):
+        def __or__(self, other):
+            raise AssertionError("copied")
+
+    none = np.array([], dtype=np.int64), np.array([], dtype=np.float32)
+    model = quality_rules.Model(*none, *none, {"en": 30})
+    model.words["en"] = Memo()
+    long = b"x" * 100
+    # 1 + 3 + 101 characters to predict, each as likely as any of 31; a long word is not remembered.
+    for _ in range(2):
+        assert model.total("en", [b"a", b"bc", long]) == pytest.approx(-(2 + 3 + 101) * math.log(31))
+    assert set(model.words["en"]) == {b"a", b"bc"}
+    assert quality_rules.pieces(" ab ") == [" a", " ab", " ab "] and quality_rules.pieces("  ") == ["  "]
+
+
 def test_language_of_symbols_alone_has_a_model(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, 120), "en") for i in range(100)]
