@@ -20,8 +20,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +41,7 @@ LEAST_WORDS, MOST_SYMBOLS = 50, 0.01  # of a document that the model learns from
 STEP = 0.002  # resolution of the histogram of mean log-probabilities
 CHUNK = 256
 MEMO_WORDS = 300_000
+MEMO_VALUES = 600_000  # words of all languages together whose values a task remembers
 
 # Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -54,12 +53,12 @@ SPACE = " \t\n\x0b\x0c\r"
 
 def spelled(word: bytes) -> str:
     """Characters that the model predicts, after a word start."""
-    return " " + word.decode("utf-8", "replace").lower() + " "
+    return f" {word.decode('utf-8', 'replace').lower()} "
 
 
 def pieces(s: str) -> list[str]:
     """Each character after the first with up to three before it."""
-    return [s[:i] for i in range(2, min(ORDER, len(s) + 1))] + [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
+    return [*[s[:i] for i in range(2, min(ORDER, len(s) + 1))], *[s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]]
 
 
 def grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -68,7 +67,7 @@ def grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     Documents that read like running text, with enough words and few symbols, are clean. Words are counted within a task first, so few rows leave it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str | None, bool], Counter] = {}
+        counts: dict[tuple[str | None, bool], dict[str, int]] = {}
         for batch in batches:
             words: dict[tuple[str | None, bool], Counter] = {}
             for t, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -77,10 +76,11 @@ def grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 if found:
                     words.setdefault((code, clean), Counter()).update(found)
             for kind, found in words.items():
-                into = counts.setdefault(kind, Counter())
+                into = counts.setdefault(kind, {})
+                get = into.get
                 for word, n in found.items():
                     for gram in pieces(spelled(word)):
-                        into[gram] += n
+                        into[gram] = get(gram, 0) + n
             if sum(map(len, counts.values())) > MEMO_WORDS:
                 yield from _counted(counts)
                 counts = {}
@@ -89,7 +89,7 @@ def grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).mapInArrow(run, "lang string, clean boolean, gram string, n long").groupBy("lang", "clean", "gram").agg(F.sum("n").alias("n"))
 
 
-def _counted(counts: dict[tuple[str | None, bool], Counter]) -> Iterator[pa.RecordBatch]:
+def _counted(counts: dict[tuple[str | None, bool], dict[str, int]]) -> Iterator[pa.RecordBatch]:
     for (code, clean), found in counts.items():
         columns = [pa.array([code] * len(found), pa.string()), pa.array([clean] * len(found)), pa.array(list(found)), pa.array(list(found.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["lang", "clean", "gram", "n"])
@@ -241,31 +241,27 @@ class Model:
             known.clear()
         found = pieces(spelled(word))
         try:
-            return reduce(add, map(known.__getitem__, found), 0.0)
+            return sum(map(known.__getitem__, found))
         except KeyError:
             for gram in found:
                 if gram not in known:
                     known[gram] = self.character(lang, gram)
-            return reduce(add, map(known.__getitem__, found), 0.0)
+            return sum(map(known.__getitem__, found))
 
     def total(self, lang: str, words: list[bytes]) -> float:
         """Log-probability of all characters of some words; NaN where ``open`` has to part them."""
         known = self.words.setdefault(lang, {})
-        try:
-            return math.fsum(map(known.__getitem__, words))
-        except KeyError:
-            if sum(map(len, self.words.values())) > MEMO_WORDS:
-                known.clear()
-            # Long words are not remembered, so a text has values of its own; the memo, as large as it may be, is not copied for them.
-            own = {}
-            for w in set(words):
-                value = known.get(w)
-                if value is None:
-                    value = self.word(lang, w)
-                    if len(w) <= 64:
-                        known[w] = value
-                own[w] = value
-            return math.fsum(map(own.__getitem__, words))
+        if sum(map(len, self.words.values())) > MEMO_VALUES:
+            # All languages start anew: one that is met seldom would else be forgotten at each of its texts.
+            for memo in self.words.values():
+                memo.clear()
+        # Long words are not remembered, so a text has values of its own; the memo, as large as it may be, is not copied for them.
+        own = {}
+        for w in set(words).difference(known):
+            (known if len(w) <= 64 else own)[w] = self.word(lang, w)
+        if own:
+            return math.fsum([own[w] if w in own else known[w] for w in words])
+        return math.fsum(map(known.__getitem__, words))
 
     def open(self, lang: str, words: list[bytes]) -> tuple[float, dict[str, int]]:
         """Log-probability of the characters that a task can tell, and the other grams with their number."""
@@ -292,13 +288,10 @@ def counts_of(text: str) -> tuple[list[bytes], tuple[int, int, int, int, int]]:
     repeated = 0
     if len(words) > 3:
         found = windows(word_hashes(words), 3)
-        order = np.argsort(found, kind="stable")
-        ranked = found[order]
-        same = ranked[1:] == ranked[:-1]
-        if same.any():
-            twice = np.zeros(len(found), dtype=bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
+        ranked = np.sort(found)
+        again = ranked[1:][ranked[1:] == ranked[:-1]]
+        if len(again):
+            twice = again[np.minimum(np.searchsorted(again, found), len(again) - 1)] == found
             inside = np.zeros(len(words), dtype=bool)
             for i in range(3):
                 inside[i : len(words) - 2 + i] |= twice

@@ -16,20 +16,22 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+class _Hashes(dict):
+    """Hashes of the words met lately; a long word is hashed wherever it stands."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
-    memo = held("word hashes", dict)
-    try:
-        return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-    except KeyError:
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        rest = {}
-        for word in set(words):
-            if word not in memo:
-                (memo if len(word) <= 64 else rest)[word] = xxhash.xxh64_intdigest(word)
-        known = memo | rest if rest else memo
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    memo = held("word hashes", _Hashes)
+    if len(memo) > MEMO_WORDS:
+        memo.clear()
+    return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

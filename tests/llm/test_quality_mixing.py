@@ -165,6 +165,19 @@ def test_a_text_with_a_long_word_does_not_copy_the_memo():
     assert quality_rules.pieces(" ab ") == [" a", " ab", " ab "] and quality_rules.pieces("  ") == ["  "]
 
 
+def test_a_language_keeps_its_words_where_the_others_fill_the_memo(monkeypatch):
+    monkeypatch.setattr(quality_rules, "MEMO_WORDS", 10)
+    monkeypatch.setattr(quality_rules, "MEMO_VALUES", 10, raising=False)
+    none = np.array([], dtype=np.int64), np.array([], dtype=np.float32)
+    model, asked = quality_rules.Model(*none, *none, {"en": 30, "de": 30}), []
+    plain = model.word
+    monkeypatch.setattr(model, "word", lambda lang, word: asked.append((lang, word)) or plain(lang, word))
+    model.total("en", [b"w%d" % i for i in range(12)])
+    for word in (b"b", b"c", b"d"):
+        assert model.total("de", [b"a", word, b"a"]) == pytest.approx(-6 * math.log(31))
+    assert asked.count(("de", b"a")) == 1
+
+
 def test_language_of_symbols_alone_has_a_model(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, 120), "en") for i in range(100)]
