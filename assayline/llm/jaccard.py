@@ -29,7 +29,7 @@ empty one. Extra columns are ignored by the join and kept as they are by ``keep_
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from assayline.llm.columns import given_back, number_of, numbered
 from assayline.llm.components import connected_components
 from assayline.llm.shingles import mixed, shingles
-from assayline.session import write_through
+from assayline.session import intermediates, write_through
 
 FOLD_WORDS, WIDE_WORDS = 8, 64
 _FOLDS = [f"f{i}" for i in range(FOLD_WORDS)]
@@ -226,7 +226,7 @@ class Join:
         pairs = write_through(self.against_least(), "pairs")
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
         best = write_through(best, "best")
-        found = write_through(connected_components(self.verified(best)), "components")
+        found = self._joined(lambda: self.verified(best))
         of_a = found.select(F.col("node").alias("a"), F.col("component").alias("p"))
         of_b = found.select(F.col("node").alias("b"), F.col("component").alias("q"))
         apart = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
@@ -239,8 +239,15 @@ class Join:
         if pairs.isEmpty():
             return found
         # A component is one link from each node to its smallest: earlier links are done with.
-        links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(self.verified(pairs))
-        return write_through(connected_components(links), "components")
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return self._joined(lambda: links.union(self.verified(pairs)))
+
+    def _joined(self, links: Callable[[], DataFrame]) -> DataFrame:
+        """Components of some links; the sets that these were verified by go when they are written."""
+        with intermediates(self.docs.sparkSession) as written:
+            found = write_through(connected_components(links()), "components")
+            written.pop()
+        return found
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, numerator: int = 90, denominator: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,10 +272,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, numerator: int = 90, den
 def keep_one(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of linked ones: that with the smallest id; columns as given.
 
-    Rows without id stay. Of rows that repeat an id one stays.
+    Rows without id stay. Of rows that repeat an id one stays. What the join writes goes when its result is written.
     """
     names, id, text, docs = docs.columns, number_of(docs, id), number_of(docs, text), numbered(docs)
-    rows = write_through(jaccard_components(docs, width, numerator, denominator, id, text), "groups")
+    with intermediates(docs.sparkSession) as written:
+        rows = write_through(jaccard_components(docs, width, numerator, denominator, id, text), "groups")
+        written.pop()
     kept = rows.where(F.col(id).isNotNull()).groupBy(id).agg(F.min("component_id").alias("__least"), F.count("*").alias("__rows"))
     kept = kept.where(F.col(id) == F.col("__least")).select(F.col(id).alias("__kept"), "__rows")
     found = docs.join(kept, F.col(id) == F.col("__kept"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from assayline.llm import jaccard, topk
 from assayline.llm.components import connected_components
+from assayline.session import shared_dir
 
 
 def sets(text, width):
@@ -71,6 +73,17 @@ def test_one_of_each_group_stays(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_the_join_leaves_only_its_result_in_the_shared_folder(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    frame = spark.createDataFrame(corpus(random.Random(4), 80), "doc_id long, text string")
+    before = set(folder.iterdir())
+    kept = jaccard.keep_one(frame)
+    left = set(folder.iterdir()) - before
+    assert [p.name.rpartition("-")[0] for p in left] == ["groups"]
+    # The result does not read what went.
+    assert kept.count() == kept.select("doc_id").distinct().count() > 0
+
+
 def test_rows_without_id_and_empty_tables(spark):
     frame = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (3, "a  b\nc d")], "doc_id long, text string")
     found = jaccard.jaccard_components(frame).collect()
